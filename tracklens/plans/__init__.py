@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal"]
+MODULES = ["causal", "response"]
 
 
 def load_all():
