@@ -27,12 +27,11 @@ CELL_ROWS = 64
 
 def standardise(df: DataFrame, axes: list[str]) -> DataFrame:
     """Adds integer z-scores ``_z0.._zA``; a missing axis value counts as the mean."""
-    stats = df.agg(*[f(a).alias(f"_{n}{i}") for i, a in enumerate(axes) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = df.crossJoin(F.broadcast(stats))  # one row
     for i, a in enumerate(axes):
-        v = F.when(F.col(f"_s{i}") > 0, (F.col(a) - F.col(f"_m{i}")) / F.col(f"_s{i}"))
-        z = z.withColumn(f"_z{i}", F.coalesce(F.round(v * 1000), F.lit(0)).cast("long"))
-    return z.drop(*[f"_{n}{i}" for i in range(len(axes)) for n in "ms"])
+        mean, sd = df.agg(F.avg(a)).scalar(), df.agg(F.stddev_pop(a)).scalar()
+        v = F.try_divide(F.col(a) - mean, sd)
+        df = df.withColumn(f"_z{i}", F.coalesce(F.round(v * 1000), F.lit(0)).cast("long"))
+    return df
 
 
 def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response"]
+MODULES = ["causal", "response", "joins"]
 
 
 def load_all():

