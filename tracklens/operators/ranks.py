@@ -105,3 +105,25 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank
 
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, hot: DataFrame | None = None) -> DataFrame:
+    """min, sorted[n // 2] and max per key."""
+    run = _running(value_counts(df, keys, value), keys, value, hot)
+    total = run.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    k = F.floor(F.col("_total") / 2)
+    hit = (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    return run.join(total, keys).groupBy(*keys).agg(
+        F.min(value).alias("min"), F.max(F.when(hit, F.col(value))).alias("median_hi"), F.max(value).alias("max"))
+
+
+def pearson(x, y):
+    """corr, NULL for a constant side."""
+    from pyspark.sql import functions as F
+
+    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+
+
+def lazy_hot(df: DataFrame, keys: list[str], lead: str) -> DataFrame:
+    """Hot keys without a look-ahead job: for keys of low cardinality, where hot groups are the rule."""
+    return skew.hot_keys(df, keys, lead)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response", "joins"]
+MODULES = ["causal", "response", "joins", "audit"]
 
 
 def load_all():
