@@ -28,13 +28,17 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot: DataFrame | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per key; one row per key with a column per entry of ``probs``."""
+    """Linear-interpolated quantiles per key; one row per key with a column per entry of ``probs``
+    (a level, or a function from the group size to a level)."""
     run = _running(value_counts(df, keys, value), keys, value, hot)
     total = run.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    j = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))  # one-row total
+    j = run.join(total, keys) if keys else run.withColumn("_total", total.scalar())
+
+    def level(p):
+        return p(F.col("_total")) if callable(p) else F.lit(p)
 
     def at(p, edge):  # value at position floor / ceil of p * (n - 1)
-        k = edge(F.lit(p) * (F.col("_total") - 1))
+        k = edge(level(p) * (F.col("_total") - 1))
         hit = (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
         return F.max(F.when(hit, F.col(value)))
 
@@ -44,7 +48,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     agg = j.groupBy(*keys).agg(F.first("_total").alias("_total"), *parts)
     cols = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_total") - 1)
+        pos = level(p) * (F.col("_total") - 1)
         frac = pos - F.floor(pos)
         cols.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * frac).cast("double").alias(name))
     return agg.select(*keys, *cols)

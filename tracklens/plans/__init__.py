@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response", "joins", "audit"]
+MODULES = ["causal", "response", "joins", "audit", "splits"]
 
 
 def load_all():
