@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import skew
 
 
 def _running(df: DataFrame, keys: list[str], value: str, hot: DataFrame | None) -> DataFrame:
     aggs = {"_before": ("sum", F.col("_n"))}
+    if not keys or hot is not None:
+        df = cut(df)  # compressed counts are read three times below
     if keys:
         # a hot key may still have few distinct values: decide on the compressed rows
         by_value = None if hot is None else skew.hot_keys(df, keys, value)

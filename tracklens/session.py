@@ -28,8 +28,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is configured."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        current = spark.sparkContext.getCheckpointDir()
+        if current is not None:
+            return current
         import tempfile
 
         set_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
+
+
+def cut(df):
+    """Reliable checkpoint of a small or repeatedly read intermediate: later steps re-read files
+    instead of recomputing the lineage, also after losing an executor."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
