@@ -63,10 +63,10 @@ def edge_bins(df: DataFrame, value: str, n: int, right_closed: bool) -> DataFram
     """Bin index from the n-quantile edges of ``value`` (edges: one small row)."""
     probs = {f"e{i}": i / n for i in range(1, n)}
     edges = ranks.quantiles(df, [], value, probs)
-    out = df.withColumns({f"_{e}": edges.select(e).scalar() for e in probs})
+    out = df.withColumn("_edges", edges.select(F.struct(*probs)).scalar())
     v = F.col(value)
-    hits = sum((((v > F.col(f"_{e}")) if right_closed else (v >= F.col(f"_{e}"))).cast("int") for e in probs), F.lit(0))
-    return out.withColumn("bin", hits).drop(*[f"_{e}" for e in probs])
+    hits = sum((((v > F.col(f"_edges.{e}")) if right_closed else (v >= F.col(f"_edges.{e}"))).cast("int") for e in probs), F.lit(0))
+    return out.withColumn("bin", hits).drop("_edges")
 
 
 def calibration(pr: DataFrame, n: int = 10, within: float = 5.0) -> DataFrame:

@@ -33,7 +33,12 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles per key; one row per key with a column per entry of ``probs``
     (a level, or a function from the group size to a level)."""
-    run = _running(value_counts(df, keys, value), keys, value, hot)
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, hot)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot: DataFrame | None = None) -> DataFrame:
+    """``quantiles`` of (keys, value, _n) rows, e.g. with implied zeros added as one row."""
+    run = _running(counts, keys, value, hot)
     total = run.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     j = run.join(total, keys) if keys else run.withColumn("_total", total.scalar())
 
@@ -87,7 +92,9 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, hot: DataFrame | No
     cells = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
     ks = keys or ["_g"]
     if not keys:
-        cells, both = cells.withColumn("_g", F.lit(0)), both
+        cells = cells.withColumn("_g", F.lit(0))
+    if not keys or hot is not None:
+        cells = cut(cells)
     def marg(v, out):
         m = cells.groupBy(*ks, v).agg(F.sum("_n").alias("_n"))
         if keys:
