@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence"]
+MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence", "grid"]
 
 
 def load_all():
