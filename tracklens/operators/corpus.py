@@ -6,10 +6,13 @@ corpus is parsed by scans, group-bys and running sums; a long chart is never one
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import decode_index
+from ..session import cut
 from . import skew
 
 # fixed values: line patterns of the chart format
@@ -184,20 +187,54 @@ def pair_alternating(ob: DataFrame, meas: DataFrame, hot=None) -> DataFrame:
 
 
 class Chart:
-    """All frames of a parsed corpus; each attribute is a lazy DataFrame."""
+    """All frames of a parsed corpus.
+
+    The text is read and matched once: classified lines, heads and placed objects are cut to
+    files, because every later step (tempo, pairing, timing) reads them several times.
+    """
 
     def __init__(self, lines: DataFrame, hot=None):
-        self.hot = hot
-        self.cls = classify(lines)
-        self.heads = chart_heads(self.cls)
-        self.headers = headers(self.cls)
-        self.defs = definitions(self.headers, self.heads)
-        self.chan = channel_lines(self.cls)
-        self.meas = measures(self.chan, hot)
-        self.obj = beats(objects(self.chan, self.heads), self.meas)
-        self.kp = tempo_map(self.obj, self.defs, self.heads, hot)
-        self.tap = pair_terminators(taps(self.obj, self.defs), hot)
-        self.held = pair_alternating(self.obj, self.meas, hot)
+        self.lines, self.hot = lines, hot
+
+    @cached_property
+    def cls(self):
+        return cut(classify(self.lines))
+
+    @cached_property
+    def heads(self):
+        return cut(chart_heads(self.cls))
+
+    @cached_property
+    def headers(self):
+        return headers(self.cls)
+
+    @cached_property
+    def defs(self):
+        return definitions(self.headers, self.heads)
+
+    @cached_property
+    def chan(self):
+        return channel_lines(self.cls)
+
+    @cached_property
+    def meas(self):
+        return cut(measures(self.chan, self.hot))
+
+    @cached_property
+    def obj(self):
+        return cut(beats(objects(self.chan, self.heads), self.meas))
+
+    @cached_property
+    def kp(self):
+        return cut(tempo_map(self.obj, self.defs, self.heads, self.hot))
+
+    @cached_property
+    def tap(self):
+        return pair_terminators(taps(self.obj, self.defs), self.hot)
+
+    @cached_property
+    def held(self):
+        return pair_alternating(self.obj, self.meas, self.hot)
 
     def notes(self) -> DataFrame:
         """(item, measure, lane, beat, held, value, t, end_t, dur)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence", "grid", "corpus"]
+MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence", "grid", "corpus", "sources", "models", "scoring", "streaming"]
 
 
 def load_all():
