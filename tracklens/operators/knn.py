@@ -5,10 +5,12 @@ row.  Two exact plans:
 
 * players with at most ``BLOCK`` rows: sorted streaming over partitions, one small numpy
   distance block per player;
-* larger players: grid search.  A target only meets candidates from the 3^A cells around
-  it; it is settled once the k-th distance fits inside the searched cube, otherwise the
-  cell side doubles.  Of equal points only the first k rows can ever matter, so they are
-  the only ones kept as candidates.
+* larger players: grid search from fine to coarse.  A target only meets candidates from the
+  3^A cells around it; it is settled once the k-th distance fits inside the searched cube,
+  otherwise the cell side doubles, so a dense region is settled with small cells.  Targets and
+  candidates also join on the epoch (power of two of the row number), which keeps later rows
+  out of the join.  Of equal points only the first k rows can ever matter, so they are the
+  only ones kept as candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from ..session import checkpoint_dir
 from . import ranks, skew
 
 BLOCK = 4096
-CELL_ROWS = 64
 
 
 def standardise(df: DataFrame, axes: list[str]) -> DataFrame:
@@ -92,29 +93,30 @@ def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
     return src.repartition("player").sortWithinPartitions("player", "_idx").mapInPandas(run, schema).select("player", "item", *cols)
 
 
-def _large(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
+def _large(df: DataFrame, na: int, ks: list[int], start_level: int) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     kmax = max(ks)
     zs = [f"_z{i}" for i in range(na)]
     rows = df.select("player", "item", "_idx", "acc", *zs)
     points = ranks.top_n(rows, ["player", *zs], ["_idx"], kmax, "_pt").drop("_pt", "item")
     span = rows.groupBy("player").agg(F.greatest(*[F.max(z) - F.min(z) for z in zs]).alias("_span"))
-    side = F.greatest(F.col("_span") / F.pow(F.greatest(F.col("_idx") / CELL_ROWS, F.lit(1.0)), F.lit(1.0 / na)), F.lit(1.0))
-    todo = rows.join(F.broadcast(span), "player").withColumn("_lv", F.ceil(F.log2(side)).cast("int")).checkpoint()
+    epoch = F.ceil(F.log2(F.col("_idx"))).cast("int")
+    todo = rows.join(F.broadcast(span), "player").withColumns({"_lv": F.lit(start_level), "_ep": epoch}).checkpoint()
     top = F.ceil(F.log2(F.col("_span") + 1)).cast("int")
     done = None
     offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(t)]) for t in itertools.product((-1, 0, 1), repeat=na)])
+    level = start_level
     while not todo.isEmpty():
-        def cell(z, lv):
-            return F.floor(F.col(z) / F.pow(F.lit(2.0), lv)).cast("long")
+        def cell(z):
+            return F.floor(F.col(z) / float(2**level)).cast("long")
 
-        levels = todo.groupBy("player", "_lv").agg(F.max("_idx").alias("_upto"))  # few levels per player
-        cand = points.join(F.broadcast(levels), "player").filter(F.col("_idx") < F.col("_upto"))
-        cand = cand.select("player", "_lv", F.col("_idx").alias("_ci"), F.col("acc").alias("_ca"), *[F.col(z).alias("c" + z) for z in zs],
-                           *[cell(z, F.col("_lv")).alias(f"_g{i}") for i, z in enumerate(zs)])
+        # a candidate serves every epoch that still has open targets and ends after it: at most log2(rows) of them
+        open_ = todo.groupBy("player", "_ep").agg(F.max("_idx").alias("_upto"))
+        cand = points.join(F.broadcast(open_), "player").filter(F.col("_idx") < F.col("_upto"))
+        cand = cand.select("player", "_ep", F.col("_idx").alias("_ci"), F.col("acc").alias("_ca"), *[F.col(z).alias("c" + z) for z in zs], *[cell(z).alias(f"_g{i}") for i, z in enumerate(zs)])
         tg = todo.withColumn("_o", F.explode(offsets))
-        tg = tg.withColumns({f"_g{i}": cell(z, F.col("_lv")) + F.col(f"_o.o{i}") for i, z in enumerate(zs)})
-        pairs = tg.join(cand, ["player", "_lv", *[f"_g{i}" for i in range(na)]]).filter(F.col("_ci") < F.col("_idx"))
+        tg = tg.withColumns({f"_g{i}": cell(z) + F.col(f"_o.o{i}") for i, z in enumerate(zs)})
+        pairs = tg.join(cand, ["player", "_ep", *[f"_g{i}" for i in range(na)]]).filter(F.col("_ci") < F.col("_idx"))
         dist = sum((F.col(z) - F.col("c" + z)) * (F.col(z) - F.col("c" + z)) for z in zs)
         near = ranks.top_n(pairs.select("player", "item", "_ci", "_ca", dist.alias("_d")), ["player", "item"], ["_d", "_ci"], kmax, "_r")
         agg = near.groupBy("player", "item").agg(
@@ -122,15 +124,17 @@ def _large(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
             *[F.count(F.when(F.col("_r") <= k, 1)).alias(f"n_{k}") for k in ks],
             *[F.avg(F.when(F.col("_r") <= k, F.col("_ca"))).alias(f"knn_{k}") for k in ks])
         need = F.least(F.lit(kmax), F.col("_idx") - 1)
-        inside = (F.col("_lv") >= top) | ((F.coalesce("_found", F.lit(0)) >= need) & (F.coalesce("_far", F.lit(0)) <= F.pow(F.lit(4.0), F.col("_lv"))))
+        # everything outside the searched cube is farther than one cell side
+        inside = (F.lit(level) >= top) | ((F.coalesce("_found", F.lit(0)) >= need) & (F.coalesce("_far", F.lit(0)) <= float(4**level)))
         step = todo.join(agg, ["player", "item"], "left").withColumn("_ok", inside).checkpoint()
         hit = step.filter("_ok").select("player", "item", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in ks], *[f"knn_{k}" for k in ks])
         done = hit if done is None else done.unionByName(hit)
-        todo = step.filter(~F.col("_ok")).select(*todo.columns).withColumn("_lv", F.col("_lv") + 1)
+        todo = step.filter(~F.col("_ok")).select(*todo.columns)
+        level += 1
     return done
 
 
-def prior_neighbours(fp: DataFrame, order: list[str], axes: list[str], ks: list[int], hot=None, block: int = BLOCK) -> DataFrame:
+def prior_neighbours(fp: DataFrame, order: list[str], axes: list[str], ks: list[int], hot=None, block: int = BLOCK, start_level: int = 0) -> DataFrame:
     """(player, item, n_k, knn_k ...) for every row; n_k is how many neighbours were available."""
     z = skew.prefix(standardise(fp, axes), ["player"], order, {"_idx": ("rank",)}, hot)
     sizes = fp.groupBy("player").agg(F.count(F.lit(1)).alias("_size"))
@@ -140,4 +144,4 @@ def prior_neighbours(fp: DataFrame, order: list[str], axes: list[str], ks: list[
     large = z.join(F.broadcast(big.select("player")), "player", "left_semi")
     small = z.join(F.broadcast(big.select("player")), "player", "left_anti")
     cols = ["player", "item", *[c for k in ks for c in (f"n_{k}", f"knn_{k}")]]
-    return _small(small, len(axes), ks).unionByName(_large(large, len(axes), ks).select(*cols))
+    return _small(small, len(axes), ks).unionByName(_large(large, len(axes), ks, start_level).select(*cols))

@@ -211,24 +211,13 @@ def jn_prior_self(spark, sf):
     return out.filter(F.col("n_prior") > 0).select(*KEY, "n_prior", "prior_min", "prior_max")
 
 
-@query("win_future_rows", f"""WITH {S.SAMPLES}, {S.CLIENTS}, c AS (SELECT player, max(ts) + 86400 AS ts FROM fp GROUP BY player),
- cand AS (SELECT player, item, ts, x1, x2 FROM c JOIN (SELECT player, items.* FROM (SELECT player FROM c) p JOIN items ON items.item % 97 = p.player % 97) USING (player)
- WHERE (player, item) NOT IN (SELECT (player, item) FROM fp)), f AS (SELECT player, CAST(count(x1) AS DOUBLE) AS n_x1, sum(x1) AS sx_x1, sum(acc) AS sy_x1, sum(x1 * acc) AS sxy_x1, sum(x1 * x1) AS sxx_x1,
- CAST(count(*) AS BIGINT) AS h_n, avg(acc) AS m FROM smp GROUP BY player)
- SELECT player, item, h_n, round(m, 4) AS h_acc_mean, {out_sql(min_n=5, axes=['x1'], kinds=('resp',))} FROM cand JOIN f USING (player)""")
-def win_future_rows(spark, sf):
-    """Candidates appended as NULL-target future rows: the training feature code also scores them."""
-    fp, hot = smp(spark, sf)
-    dim = t.items(spark, sf).select("item", "notes", "x1", "x2")
-    now = fp.groupBy("player").agg((F.max("ts") + 86400).alias("ts"))
-    # each player is offered the items of its own catalogue shelf (equi-join on the shelf key)
-    shelf = now.withColumn("shelf", F.col("player") % 97).join(dim.withColumn("shelf", F.col("item") % 97), "shelf").drop("shelf")
-    cand = shelf.join(fp.select(*KEY), KEY, "left_anti").withColumn("seq", F.lit(0).cast("long")).withColumn("future", F.lit(True))
-    cols = [*KEY, "ts", "seq", "acc", "x1", "future"]
-    both = fp.withColumn("future", F.lit(False)).select(*cols).unionByName(cand.select(*[c for c in cols if c != "acc"]), allowMissingColumns=True)
-    from ..operators import skew
+@query("prj_registry", f"""WITH {S.SAMPLES}, s AS ({fit_sql('smp', 'acc', '1.0')}), o AS (SELECT {out_sql()} FROM s) SELECT feature, count(v) AS n_present, (SELECT count(*) FROM o) AS n_rows FROM (SELECT * FROM o UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(NAMES)}))) GROUP BY feature""")
+def prj_registry(spark, sf):
+    """The registered response block, expanded from the axes, with the share of rows where each feature exists."""
+    from ..functions import registry as reg
+    from ..operators.audit import long_form
 
-    sums = causal.response_sums(both, ORD, ["x1"], "acc", hot=hot)
-    sums = skew.prefix(sums, ["player"], ORD, {"h_n": ("count", F.col("acc")), "_s": ("sum", F.col("acc"))}, hot)
-    return sums.filter("future").select(*KEY, "h_n", r(F.col("_s") / F.col("h_n"), 4).alias("h_acc_mean"),
-                                        r(causal.response_columns(sums, ["x1"], min_n=5.0)[0], 4).alias("h_resp_x1"))
+    fp, hot = smp(spark, sf)
+    cols = reg.block("h_", reg.AXES)
+    f = reg.select_features(causal.response(fp, ORD, list(reg.AXES), hot=hot), KEY, cols)
+    return long_form(f, [], cols, "feature", "v").groupBy("feature").agg(F.count("v").alias("n_present"), F.count(F.lit(1)).alias("n_rows"))
