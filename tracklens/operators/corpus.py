@@ -79,7 +79,8 @@ def objects(chan: DataFrame, heads: DataFrame) -> DataFrame:
     keep = [*TAP_LANES, *HELD_LANES, "03", "08", "09"]
     n = F.floor(F.length("data") / 2).cast("int")
     c = chan.filter(F.col("channel").isin(keep)).withColumn("n", n).filter("n > 0").join(heads.select("item", "base"), "item")
-    x = c.select("item", "line_no", "measure", "channel", "base", "n", "data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    filled = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("data", i * 2 + 1, F.lit(2)) != "00")
+    x = c.select("item", "line_no", "measure", "channel", "base", "n", "data", F.explode(filled).alias("i"))
     pair = F.substr("data", F.col("i") * 2 + 1, F.lit(2))
     value = F.when(F.col("channel") == "03", F.conv(pair, 16, 10).cast("int")).otherwise(decode_index(pair, F.col("base")))
     x = x.select("item", "line_no", "measure", "channel", (F.col("i") / F.col("n")).alias("frac"), value.cast("int").alias("value")).filter("value > 0")

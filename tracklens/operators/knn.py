@@ -28,11 +28,12 @@ BLOCK = 4096
 
 def standardise(df: DataFrame, axes: list[str]) -> DataFrame:
     """Adds integer z-scores ``_z0.._zA``; a missing axis value counts as the mean."""
+    stats = df.agg(F.struct(*[f(a).alias(f"{n}{i}") for i, a in enumerate(axes) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("st")).scalar()
+    out = df.withColumn("_st", stats)
     for i, a in enumerate(axes):
-        mean, sd = df.agg(F.avg(a)).scalar(), df.agg(F.stddev_pop(a)).scalar()
-        v = F.try_divide(F.col(a) - mean, sd)
-        df = df.withColumn(f"_z{i}", F.coalesce(F.round(v * 1000), F.lit(0)).cast("long"))
-    return df
+        v = F.try_divide(F.col(a) - F.col(f"_st.m{i}"), F.col(f"_st.s{i}"))
+        out = out.withColumn(f"_z{i}", F.coalesce(F.round(v * 1000), F.lit(0)).cast("long"))
+    return out.drop("_st")
 
 
 def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
@@ -43,12 +44,10 @@ def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
     cols = [c for k in ks for c in (f"n_{k}", f"knn_{k}")]
     schema = "player long, item long, " + ", ".join(f"n_{k} long, knn_{k} double" for k in ks)
 
-    def one(pdf):
-        n = len(pdf)
-        z = pdf[[f"_z{i}" for i in range(na)]].to_numpy(np.int64)
-        acc = pdf["acc"].to_numpy(float)
+    def one(z, acc):
+        """(rows, ks) means for one player's rows in order."""
+        n = len(acc)
         res = np.full((n, len(ks)), np.nan)
-        cnt = np.minimum(np.arange(n)[:, None], np.array(ks)[None, :])
         for lo in range(0, n, 256):
             hi = min(lo + 256, n)
             d = np.zeros((hi - lo, hi), np.int64)
@@ -57,37 +56,40 @@ def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
             key = d * n + np.arange(hi)[None, :]
             key[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = np.iinfo(np.int64).max
             m = min(kmax, hi)
-            near = np.argpartition(key, m - 1, axis=1)[:, :m] if m < hi else np.broadcast_to(np.arange(hi), (hi - lo, hi)).copy()
+            near = np.argpartition(key, m - 1, axis=1)[:, :m] if m < hi else np.broadcast_to(np.arange(hi), (hi - lo, hi))
             sub = np.take_along_axis(key, near, 1)
             o = np.argsort(sub, axis=1, kind="stable")
             near = np.take_along_axis(near, o, 1)
-            valid = np.take_along_axis(sub, o, 1) < np.iinfo(np.int64).max
-            a = np.where(valid, acc[near], np.nan)
+            a = np.where(np.take_along_axis(sub, o, 1) < np.iinfo(np.int64).max, acc[near], np.nan)
             known = ~np.isnan(a)
             cs, cn = np.cumsum(np.where(known, a, 0.0), 1), np.cumsum(known, 1)
             for q, k in enumerate(ks):
                 e = min(k, m) - 1
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    res[lo:hi, q] = np.where(cn[:, e] > 0, cs[:, e] / cn[:, e], np.nan)
-        out = pd.DataFrame({"player": pdf["player"].to_numpy(), "item": pdf["item"].to_numpy()})
+                res[lo:hi, q] = np.where(cn[:, e] > 0, cs[:, e] / np.maximum(cn[:, e], 1), np.nan)
+        return res
+
+    def solve(pdf, edges):
+        z = pdf[[f"_z{i}" for i in range(na)]].to_numpy(np.int64)
+        acc = pdf["acc"].to_numpy(float)
+        pos = pdf["_idx"].to_numpy(np.int64) - 1
+        res = np.concatenate([one(z[a:b], acc[a:b]) for a, b in zip(edges, edges[1:])])
+        out = {"player": pdf["player"].to_numpy(), "item": pdf["item"].to_numpy()}
         for q, k in enumerate(ks):
-            out[f"n_{k}"] = cnt[:, q]
-            out[f"knn_{k}"] = pd.Series(res[:, q]).astype(object).where(~np.isnan(res[:, q]), None)
-        return out
+            out[f"n_{k}"] = np.minimum(pos, k)
+            out[f"knn_{k}"] = pd.Series(res[:, q]).astype("Float64").where(~np.isnan(res[:, q]), pd.NA)
+        return pd.DataFrame(out)
 
     def run(batches):
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            p = pdf["player"].to_numpy()
-            cuts = np.flatnonzero(np.diff(p)) + 1
-            last = cuts[-1] if len(cuts) else 0
-            if last:
-                edges = [0, *cuts]
-                yield pd.concat([one(pdf.iloc[a:b]) for a, b in zip(edges, edges[1:])], ignore_index=True)
-            rest = pdf.iloc[last:]
+            cuts = np.flatnonzero(np.diff(pdf["player"].to_numpy())) + 1
+            if len(cuts):  # the last player of a batch may continue in the next one
+                yield solve(pdf.iloc[: cuts[-1]], [0, *cuts])
+                pdf = pdf.iloc[cuts[-1]:].reset_index(drop=True)
+            rest = pdf
         if rest is not None and len(rest):
-            yield one(rest.reset_index(drop=True))
+            yield solve(rest, [0, len(rest)])
 
     src = df.select("player", "item", "_idx", "acc", *[f"_z{i}" for i in range(na)])
     return src.repartition("player").sortWithinPartitions("player", "_idx").mapInPandas(run, schema).select("player", "item", *cols)

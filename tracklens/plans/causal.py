@@ -28,7 +28,7 @@ def fp_hot(spark, sf):
 def flagship(spark, sf):
     fp, hot = fp_hot(spark, sf)
     h = causal.history(fp, ORD, hot)
-    ph = causal.phase(h, causal.cutoffs(fp, hot)).filter(F.col("phase") != "history")
+    ph = causal.phase(h, hot).filter(F.col("phase") != "history")
     fail = (F.col("lamp") == 1).cast("double")
     return ph.groupBy("phase", "player").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("acc"), 4).alias("acc_mean"), r(F.avg(fail), 4).alias("fail_rate"),
@@ -55,7 +55,7 @@ def flt_attempt(spark, sf):
  round(avg(CAST(lamp = 1 AS INT)), 4) AS fail_rate FROM fp JOIN cut USING (player) GROUP BY 1, 2""")
 def agg_group_summary(spark, sf):
     fp, hot = fp_hot(spark, sf)
-    return causal.phase(fp, causal.cutoffs(fp, hot)).groupBy("phase", "player").agg(
+    return causal.phase(fp, hot).groupBy("phase", "player").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("acc"), 4).alias("acc_mean"), r(F.avg((F.col("lamp") == 1).cast("int")), 4).alias("fail_rate"))
 
 
@@ -68,7 +68,7 @@ def agg_cut_quantile(spark, sf):
  SELECT player, item, CASE WHEN ts <= t1 THEN 'history' WHEN ts <= t2 THEN 'train' ELSE 'test' END AS phase FROM fp JOIN cut USING (player)""")
 def win_phase(spark, sf):
     fp, hot = fp_hot(spark, sf)
-    return causal.phase(fp, causal.cutoffs(fp, hot)).select(*KEY, "phase")
+    return causal.phase(fp, hot).select(*KEY, "phase")
 
 
 @query("win_prior_counts", f"WITH {S.FP} SELECT player, item, count(*) {W_SQL} AS h_n_firstplays, count(acc) {W_SQL} AS h_n_known_acc FROM fp")

@@ -30,7 +30,7 @@ def matrix(spark, sf):
 def history_samples(spark, sf):
     """(train, test) first plays with causal history and item axes, split by each player's own time line."""
     fp, hot = t.samples(spark, sf), t.hot(spark, sf, "player")
-    h = causal.phase(causal.history(fp, t.FP_ORDER, hot), causal.cutoffs(fp, hot))
+    h = causal.phase(causal.history(fp, t.FP_ORDER, hot), hot)
     h = cut(h.select(*KEY, "ts", "seq", "acc", "lamp", "bp", "phase", "notes", *CONTENT, *HIST))
     return h.filter("phase = 'train'"), h.filter("phase = 'test'")
 

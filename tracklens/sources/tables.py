@@ -56,8 +56,15 @@ def clients(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_plays(spark: SparkSession, sf: str) -> DataFrame:
-    """Earliest row per (player, item); aborted or zero-score first rows remove the pair."""
-    fp = ranks.top_n(play_log(spark, sf), ["player", "item"], PLAY_ORDER, 1, "_rn").drop("_rn")
+    """Earliest row per (player, item); aborted or zero-score first rows remove the pair.
+
+    Without hot players the log is hashed by player once: that partitioning serves this window
+    and every per-player scan after it.
+    """
+    log = play_log(spark, sf)
+    if hot(spark, sf, "player") is None:
+        log = log.repartition("player")
+    fp = ranks.top_n(log, ["player", "item"], PLAY_ORDER, 1, "_rn").drop("_rn")
     return fp.filter((F.col("lamp") != 0) & (F.col("acc") > 0))
 
 
