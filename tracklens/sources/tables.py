@@ -27,17 +27,17 @@ def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
 
 def play_log(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
-    od = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    od = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey", epoch_seconds("o_orderdate").alias("ts"))
     return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("player"),
         F.col("l_partkey").alias("item"),
-        epoch_seconds("o_orderdate").alias("ts"),
+        "ts",
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("ex"),
         (F.col("l_quantity") * 2).alias("acc"),
         F.when(F.col("l_linenumber") == 7, 8).otherwise(F.col("l_linenumber") - 1).alias("lamp"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("bp"),
+        F.floor(F.col("l_tax") * 100 + 0.5).cast("int").alias("bp"),
     )
 
 

@@ -14,7 +14,9 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Da
 
 
 def first_plays_in_order(stream: DataFrame, keep: str) -> DataFrame:
-    """For a feed in time order: the first row per key passes, state is dropped ``keep`` after it."""
+    """For a feed in time order: one row per key passes, from the first micro-batch that has the key; state is
+    dropped ``keep`` after it.  Which of several rows inside that micro-batch passes is not defined - use
+    ``first_plays`` where the exact time matters."""
     return stream.withWatermark("time", keep).dropDuplicatesWithinWatermark(KEY)
 
 
