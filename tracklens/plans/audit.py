@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import draw_long, r
 from ..operators import audit, joins, ranks
+from ..session import cut
 from ..sources import tables as t
 from . import sqlparts as S
 from .joins import LV, level_tables, levels, team_items
@@ -137,8 +138,8 @@ def _corr_sql():
 @query("agg_corr_block", _corr_sql())
 def agg_corr_block(spark, sf):
     b = t.samples(spark, sf).join(t.clients(spark, sf), "player").select("client", "acc", "bp", "lamp", (F.col("bp") / F.col("notes")).alias("ratio"))
-    # one pass over the compressed value combinations serves both scopes
-    scoped = b.select(F.explode(F.array("client", F.lit("all"))).alias("scope"), "acc", "bp", "lamp", "ratio")
+    # both scopes and all pairs read this one copy
+    scoped = cut(b.select(F.explode(F.array("client", F.lit("all"))).alias("scope"), "acc", "bp", "lamp", "ratio"))
     out = None
     for x, y in PAIRS:
         p = scoped.groupBy("scope").agg(ranks.pearson(x, y).alias("pearson"))

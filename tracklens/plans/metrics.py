@@ -218,8 +218,8 @@ SEED_SQL = f"""{S.BEST}, sd AS (SELECT unnest([0, 1, 2]) AS seed), x AS (SELECT
 
 def seed_metrics(spark, sf):
     """(seed, model, metric, value) for all baselines; all seeds in one plan."""
-    b = cut(t.best_rows(spark, sf)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
-    x = b.withColumn("is_test", draw_hex("ri", F.col("seed"), F.col("player"), F.col("item")) < "33333333")
+    b = t.best_rows(spark, sf).select(*KEY, "acc", F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed"))
+    x = cut(b.withColumn("is_test", draw_hex("ri", F.col("seed"), F.col("player"), F.col("item")) < "33333333"))
     w = baselines.predict(x.filter("not is_test"), x.filter("is_test"), by=["seed"])
     means = w.groupBy("seed", "player").agg(F.avg("acc").alias("my"), *[F.avg(m).alias(f"mp_{m}") for m in MD])
     j = w.join(means, ["seed", "player"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import draw_hex, draw_long, r
 from ..operators import audit, skew, splits
+from ..session import cut
 from ..sources import tables as t
 from . import sqlparts as S
 from .registry import query
@@ -32,7 +33,7 @@ def loo_sql(k):
 
 @query("spl_loo_k", f"WITH {S.BEST} " + " UNION ALL ".join(loo_sql(k) for k in (1, 5, 10)))
 def spl_loo_k(spark, sf):
-    b = t.best_rows(spark, sf)
+    b = cut(t.best_rows(spark, sf).select(*KEY))
     parts = [splits.leave_k_out(b, k, 0).withColumn("k", F.lit(k)) for k in (1, 5, 10)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

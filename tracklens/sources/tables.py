@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.columns import epoch_micros, epoch_seconds
 from ..operators import ranks, skew
@@ -76,11 +77,13 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def best_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Player x item matrix: best acc, then lamp, then fewer bad, then latest row."""
-    pick = F.struct("acc", "lamp", (-F.col("bp")).alias("nbp"), "ts", "seq", "price")
-    return (
-        play_log(spark, sf).groupBy("player", "item").agg(F.max(pick).alias("b"), F.count(F.lit(1)).alias("plays"))
-        .select("player", "item", "b.acc", "b.lamp", (-F.col("b.nbp")).alias("bp"), "plays")
-    )
+    log = play_log(spark, sf)
+    if hot(spark, sf, "player") is None:
+        log = log.repartition("player")  # later per-player steps reuse it
+    pair = W.partitionBy("player", "item")
+    order = [F.desc("acc"), F.desc("lamp"), "bp", F.desc("ts"), F.desc("seq"), F.desc("price")]
+    ranked = log.select("*", F.row_number().over(pair.orderBy(*order)).alias("_rn"), F.count(F.lit(1)).over(pair).alias("plays"))
+    return ranked.filter("_rn = 1").select("player", "item", "acc", "lamp", "bp", "plays")
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
