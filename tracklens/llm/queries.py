@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, near, packing, pii, quality, sharding, toxicity
+from . import chat, decontam, fmindex, html, near, packing, pii, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -89,3 +89,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
+  FROM w, unnest(range(1, greatest(len(words) - 11, 1))) AS t(i)
+),
+low AS (SELECT win, min(doc_id) AS m FROM win GROUP BY win),
+hit AS (SELECT doc_id, i FROM win JOIN low USING (win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(0, 13) AS r(k)),
+each AS (SELECT doc_id, p, words[p] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(p)),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS body, count(*) AS n
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p WHERE g.p IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_fm_substrings", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.repeated_substrings(table(spark, sf_dir, "documents"))
