@@ -218,16 +218,21 @@ def fold_expression(e):
 def fold(body: list) -> list:
     """Constant expressions computed, dead branches dropped, neighbouring constant texts joined."""
     out: list = []
+
+    def put(s) -> None:
+        if s[0] == "out" and s[1][0] == "const":
+            if out and out[-1][0] == "out" and out[-1][1][0] == "const":
+                s = ("out", ("const", out.pop()[1][1] + s[1][1]))
+            if not s[1][1]:
+                return
+        out.append(s)
+
     for s in body:
         if s[0] == "out":
             e = fold_expression(s[1])
             if e[0] == "const":
                 e = ("const", shown(e[1]))
-                if out and out[-1][0] == "out" and out[-1][1][0] == "const":
-                    e = ("const", out.pop()[1][1] + e[1])
-                if not e[1]:
-                    continue
-            out.append(("out", e))
+            put(("out", e))
         elif s[0] == "for":
             out.append(("for", s[1], fold_expression(s[2]), fold(s[3])))
         elif s[0] == "set":
@@ -244,7 +249,8 @@ def fold(body: list) -> list:
                 if e[0] == "const":
                     break
             if arms and arms[0][0][0] == "const":
-                out.extend(arms[0][1])
+                for x in arms[0][1]:
+                    put(x)
             elif arms:
                 out.append(("if", arms))
     return out

@@ -193,7 +193,7 @@ class Words:
             used = used + (after * np.uint8(0x20))
             skipped = np.cumsum(_DROP[data] | space, dtype=np.int32)
             at = np.arange(len(data), dtype=np.int32) - skipped
-            position = at - at[self.starts][word]
+            position = at - (at[self.starts] + _DROP[data[self.starts]])[word]
         else:
             position = np.arange(len(data), dtype=np.int32) - self.starts.astype(np.int32)[word]
         value = _Z[(position & 31) * 256 + used]
