@@ -292,11 +292,11 @@ def labelled_pages(count: int = 160, seed: int = 7) -> list[str]:
         return f'<{tag} data-main="0" {mark}>{inner}</{tag}>'
 
     def content() -> str:
-        parts = [f"<h1>{words(2, 7).capitalize()}{r.choice(['', '.'])}</h1>"] if r.random() < 0.8 else []
-        for _ in range(r.randint(1, 9)):
+        parts = [f"<h1>{words(2, 7).capitalize()}{r.choice(['', '.'])}</h1>"] if r.random() < 0.7 else []
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8, 9])):
             x = r.random()
             parts.append(
-                f"<p>{prose(1, 8)}</p>" if x < 0.56 else f"<p>{words(2, 60)}</p>" if x < 0.6 else f"<p><b>{prose()}<br>" if x < 0.66 else f"<h2>{words(1, 6)}</h2><p>{prose()}</p>" if x < 0.75 else items(sentence, 2, 5) if x < 0.82
+                f"<p>{sentence()}</p>" if x < 0.1 else f"<p>{prose(1, 8)}</p>" if x < 0.56 else f"<p>{words(2, 60)}</p>" if x < 0.6 else f"<p><b>{prose()}<br>" if x < 0.66 else f"<h2>{words(1, 6)}</h2><p>{prose()}</p>" if x < 0.75 else items(sentence, 2, 5) if x < 0.82
                 else f"<blockquote><p>{prose()}</p></blockquote>" if x < 0.87 else f"<p>{prose(1, 3)} {link()} {prose(1, 2)}</p>" if x < 0.92 else f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"
                 if x < 0.95 else f"<div>{prose(1, 5)}</div>" if x < 0.97 else f"<p>{words(1, 3).capitalize()}.</p>"
             )
