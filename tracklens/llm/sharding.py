@@ -4,11 +4,11 @@ Rows with equal text form one atomic group; groups stand in the order of their s
 which a greedy scan needs no more than ``shards`` shards is found by binary search, and the greedy scan with that
 capacity makes the cuts, so no contiguous partition has a smaller largest shard.
 
-The scan never sees single groups on the driver.  Groups get running totals on Spark; a group's end is its running total
+The scan never sees all groups on the driver.  Groups get running totals on Spark; a group's end is its running total
 with itself.  A greedy step asks for the last end at or below a bound.  From a histogram of the ends (one row a bucket: smallest
 and largest end) that question has a lower and an upper answer, hence every capacity is surely feasible, surely
-infeasible or open.  Where some stay open, only the ranges of ends between both answers get a finer histogram, until
-the ranges hold few ends; these are read exactly.  Each histogram has at most ``BUCKETS`` rows, whatever the input.
+infeasible or open.  Where some stay open, only the buckets on which the scans depend get a finer histogram, until no
+answer is open.  Each histogram has about ``BUCKETS`` rows, whatever the input.
 
 Null text counts as empty.  A shard may stay empty when there are fewer groups than shards.  Rows that are equal in
 all columns are told apart by nothing but their slot.  An empty table gives an empty result.
@@ -17,10 +17,11 @@ all columns are told apart by nothing but their slot.  An empty table gives an e
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, stage
+from .common import arrow_schema, running_totals, stage
 
 BUCKETS = 8192
 
@@ -65,65 +66,69 @@ def least(total: int, low: int, high: int, ok) -> int:
     return high
 
 
-def minimax_cuts(groups: DataFrame, end: str, shards: int, buckets: int = BUCKETS) -> tuple[int, list[int]]:
+def histogram(groups: DataFrame, end: str, edges: np.ndarray, wanted: np.ndarray) -> list:
+    """(smallest, largest) end in each wanted interval (edges[k], edges[k + 1]] that holds one; one row for each."""
+    ddl = "b int, lo long, hi long"
+    schema = arrow_schema(groups, ddl)
+
+    def run(batches):
+        for batch in batches:
+            x = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            k = np.searchsorted(edges, x, "left") - 1
+            ok = (k >= 0) & (k < len(wanted))
+            ok[ok] = wanted[k[ok]]
+            x, k = x[ok], k[ok]
+            if len(x):
+                at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(k[at].astype(np.int32)), pa.array(x[at]), pa.array(x[np.append(at[1:], len(x)) - 1])], schema=schema)
+
+    found = groups.select(F.col(end).cast("long")).mapInArrow(run, ddl)
+    return found.groupBy("b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+
+
+def minimax_cuts(groups: DataFrame, end: str, shards: int, buckets: int = BUCKETS, probes: int = 16) -> tuple[int, list[int]]:
     """(capacity, cuts): the smallest capacity and the ends at which its greedy scan cuts.
 
-    ``groups`` has one row a group with its end (running total with itself, all different and above 0).
+    ``groups`` has one row a group with its end (running total with itself, all different and above 0).  Each round
+    searches with what is known; where it stays open, greedy scans of ``probes`` capacities of the open interval tell which
+    buckets they depend on, and only these get a finer histogram.
     """
     total = groups.agg(F.max(end)).first()[0]
     if not total:
         return 0, []
-    ranges = [(0, total)]
-    known = Ends(np.array([], np.int64), np.array([], np.int64))
+    total = int(total)
+    edges = np.unique(np.linspace(0, total, buckets + 1).astype(np.int64))
+    known = Ends(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    wanted, replaced = np.ones(len(edges) - 1, bool), np.zeros(0, bool)
     while True:
-        # histogram of the open ranges: equal widths, at most ``buckets`` buckets
-        each = max(1, buckets // len(ranges))
-        label = None
-        for k, (a, b) in enumerate(ranges):
-            width = max(1, -(-(b - a) // each))
-            c = F.when((F.col(end) > a) & (F.col(end) <= b), F.lit(k * each) + F.floor((F.col(end) - F.lit(a + 1)) / width))
-            label = c if label is None else F.coalesce(label, c)
-        rows = groups.select(F.col(end), label.alias("_b")).filter("_b is not null").groupBy("_b").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.count("*").alias("n")).collect()
-        keep = np.ones(len(known.low), bool)
-        for a, b in ranges:  # old buckets inside an open range are replaced
-            keep &= ~((known.low > a) & (known.high <= b))
-        lo = np.concatenate([known.low[keep], np.array([r.lo for r in rows], np.int64)])
-        hi = np.concatenate([known.high[keep], np.array([r.hi for r in rows], np.int64)])
+        rows = histogram(groups, end, edges, wanted)
+        lo = np.concatenate([known.low[~replaced], np.array([r.lo for r in rows], np.int64)])
+        hi = np.concatenate([known.high[~replaced], np.array([r.hi for r in rows], np.int64)])
         order = np.argsort(lo)
         known = Ends(lo[order], hi[order])
         floor = -(-total // shards)
         sure = least(total, floor - 1, total, lambda c: greedy(known.at_least, total, c, shards) is not None)
         open_from = least(total, floor - 1, sure, lambda c: greedy(known.at_most, total, c, shards) is not None)
-        # the answer lies in [open_from, sure]; a bucket matters when a cut of either scan may fall into it
-        lower, upper = trail(known.at_least, total, open_from, shards), trail(known.at_most, total, sure, shards)
-        inside = (known.high > known.low) & np.any([(known.low < b) & (known.high > a - 1) for a, b in zip(lower, upper)], axis=0)
-        if not inside.any():
+        tried = {open_from, sure, *np.linspace(open_from, sure, probes).astype(np.int64).tolist()}
+        touched = np.zeros(len(known.low), bool)
+        for c in tried:
+            for answer in (known.at_least, known.at_most):
+                at = 0
+                for _ in range(shards):
+                    x = min(total, at + c)
+                    k = int(np.searchsorted(known.low, x, "right")) - 1
+                    if k >= 0 and known.low[k] < known.high[k] and x < known.high[k]:
+                        touched[k] = True  # the answer depends on ends inside this bucket
+                    at = max(at, answer(x))
+        if not touched.any():
             return sure, greedy(known.at_least, total, sure, shards)
-        ranges = merged([(int(a) - 1, int(b)) for a, b in zip(known.low[inside], known.high[inside])], limit=min(64, buckets))
-
-
-def trail(last_end, total: int, capacity: int, shards: int) -> list[int]:
-    """Positions that a greedy scan may reach, also where it fails; it moves on at least as far as it can tell."""
-    out, at = [], 0
-    for _ in range(shards):
-        at = max(at, last_end(min(total, at + capacity)))
-        out.append(at)
-    return out
-
-
-def merged(ranges: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """At most ``limit`` ranges: neighbours with the smallest gaps become one."""
-    ranges = sorted(ranges)
-    if len(ranges) <= limit:
-        return ranges
-    wide = set(sorted(range(1, len(ranges)), key=lambda k: ranges[k - 1][1] - ranges[k][0])[: limit - 1])
-    out = [ranges[0]]
-    for k in range(1, len(ranges)):
-        if k in wide:
-            out.append(ranges[k])
-        else:
-            out[-1] = (out[-1][0], ranges[k][1])
-    return out
+        replaced, each = touched, max(2, buckets // int(touched.sum()))
+        parts, want = [], []
+        for a, b in zip(known.low[touched] - 1, known.high[touched]):
+            inner = np.unique(np.linspace(a, b, each + 1).astype(np.int64))
+            parts.append(inner)
+            want += [True] * (len(inner) - 1) + [False]  # the gap to the next bucket is of no interest
+        edges, wanted = np.concatenate(parts), np.array(want[:-1])
 
 
 def minimax_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16) -> DataFrame:
