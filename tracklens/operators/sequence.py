@@ -136,61 +136,105 @@ def positions(notes: DataFrame, hot=None) -> DataFrame:
     return q.join(mn, "item").select("item", "tick", "mask", "scratch", w.alias("w"), (F.col("rk") - 1).alias("x"), "prev_mask")
 
 
+class LaneOrders:
+    """All orders of the key lanes: for each order and key mask, the mean lane and the span of the pressed keys."""
+
+    SLICE = 256
+
+    def __init__(self, keys: int):
+        import numpy as np
+
+        orders = np.array(list(itertools.permutations(range(keys))))
+        self.lane_of = np.argsort(orders, axis=1) + 1.0  # lane of each key
+        pressed = ((np.arange(1 << keys)[:, None] >> np.arange(keys)) & 1).astype(float)
+        self.mean = self.lane_of @ (pressed / np.maximum(pressed.sum(1, keepdims=True), 1)).T
+        self.span = np.zeros_like(self.mean)
+        for m in range(1, 1 << keys):
+            own = self.lane_of[:, pressed[m] > 0]
+            self.span[:, m] = own.max(1) - own.min(1)
+        self.names = ["".join(str(int(v)) for v in row) for row in self.lane_of]
+
+    def travel(self, before, mask, weight):
+        """Weighted way of the hand between following positions, in slices of mask pairs."""
+        import numpy as np
+
+        out = np.zeros(len(self.mean))
+        for s in range(0, len(mask), self.SLICE):
+            part = slice(s, s + self.SLICE)
+            out += np.abs(self.mean[:, mask[part]] - self.mean[:, before[part]]) @ weight[part]
+        return out
+
+    def by_mask(self, mask, *values):
+        """Values added up by mask, one array of all masks for each."""
+        import numpy as np
+
+        return [np.bincount(mask, v, self.mean.shape[1]) for v in values]
+
+
+SPREADS = ["smooth", "tight", "base", "spread"]
+
+
 def perm_space(notes: DataFrame, keys: int = 7, hot=None) -> DataFrame:
-    """smooth / tight / base / spread over all key-lane permutations: mean, std, min, max and the written order's percentile.
+    """smooth / tight / base / spread over all key-lane orders: mean, std, min, max and the written order's percentile.
 
-    Notes are first folded into (item, previous mask, mask) histograms - at most 2^keys squared rows per
-    item - and only those meet the permutation table, as matrix products over Arrow batches.
+    Positions fold into (item, previous mask, mask) histograms, at most 4^keys rows an item.  All moments are products of
+    the order table (orders x masks) with one vector by mask; only the hand's way needs mask pairs, in slices.
     """
     import numpy as np
     import pandas as pd
 
-    p = positions(notes, hot)
-    h = p.groupBy("item", F.coalesce("prev_mask", F.lit(-1)).alias("pm"), "mask").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"))
-    tot = p.groupBy("item").agg(F.count(F.lit(1)).alias("P"), F.sum("w").alias("W"), F.sum(F.col("w") * F.col("x")).alias("WX"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("WXX"))
-    packed = h.groupBy("item").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("pm", "mask", "sw", "swx"))), lambda s: s[c]).alias(c) for c in ("pm", "mask", "sw", "swx")])
-    src = packed.join(tot.filter((F.col("P") >= 3) & (F.col("W") > 0)), "item")
-    metrics = ["smooth", "tight", "base", "spread"]
-    cols = [f"ps_{m}_{s}" for m in metrics for s in ("mean", "std", "min", "max", "base_pct")]
-
-    def tables():
-        perms = np.array(list(itertools.permutations(range(1, keys + 1))))
-        masks = np.arange(2**keys)
-        bits = (masks[:, None] >> np.arange(keys)) & 1
-        cnt = bits.sum(1)
-        pos = np.argsort(perms, axis=1) + 1                      # key position of each lane, per permutation
-        avg = (pos @ bits.T) / np.maximum(cnt, 1)
-        hi = np.where(bits[None], pos[:, None, :], 0).max(2)
-        lo = np.where(bits[None], pos[:, None, :], keys + 1).min(2)
-        return avg, np.where(cnt > 1, hi - lo, 0)
+    pos = positions(notes, hot)
+    x = F.col("x").cast("double")
+    pairs = pos.groupBy("item", F.coalesce("prev_mask", F.lit(-1)).alias("before"), "mask").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * x).alias("wx"), F.sum(F.col("w") * x * x).alias("wxx"))
+    per_item = pairs.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("before", "mask", "n", "w", "wx", "wxx"))).alias("pairs"))
+    names = [f"ps_{m}_{s}" for m in SPREADS for s in ("mean", "std", "min", "max", "base_pct")]
+
+    def measure(orders: LaneOrders, pairs) -> list[float] | None:
+        before, mask, n, w, wx, wxx = (np.array([p[k] for p in pairs]) for k in ("before", "mask", "n", "w", "wx", "wxx"))
+        total = w.sum()
+        if n.sum() < 3 or total <= 0:
+            return None
+        centre = wx.sum() / total
+        x_spread = wxx.sum() - total * centre * centre
+        weight, tilt = orders.by_mask(mask, w, wx - centre * w)
+        mean_lane = orders.mean @ weight / total
+        y_spread = (orders.mean**2) @ weight - total * mean_lane**2
+        slope_part = (orders.mean @ tilt) ** 2 / x_spread if x_spread > 1e-9 else y_spread  # what a straight line over time explains
+        reach = orders.span @ weight / total
+        moved = before >= 0
+        values = {
+            "smooth": np.sqrt(np.maximum(y_spread - slope_part, 0) / total), "tight": reach,
+            "base": reach + orders.travel(before[moved], mask[moved], w[moved]) / total, "spread": np.sqrt(np.maximum(y_spread, 0) / total),
+        }
+        return [f(values[m]) for m in SPREADS for f in (np.mean, np.std, np.min, np.max, lambda v: np.mean(v < v[0] - 1e-9))]
 
     def run(batches):
-        avg, span = tables()
+        orders = LaneOrders(keys)
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                m, pm, sw, swx = np.asarray(r.mask), np.asarray(r.pm), np.asarray(r.sw), np.asarray(r.swx)
-                a, s = avg[:, m], span[:, m]
-                WY, WXY, WYY = a @ sw, a @ swx, (a * a) @ sw
-                den = r.WXX - r.WX * r.WX / r.W
-                if den > 1e-9:
-                    sl = (WXY - r.WX * WY / r.W) / den
-                    ic = (WY - sl * r.WX) / r.W
-                    rv = (WYY - 2 * sl * WXY - 2 * ic * WY + sl * sl * r.WXX + 2 * sl * ic * r.WX + ic * ic * r.W) / r.W
-                    smooth = np.sqrt(np.maximum(rv, 0))
-                else:
-                    smooth = np.zeros(len(a))
-                tight = s @ sw / r.W
-                spread = np.sqrt(np.maximum(WYY / r.W - (WY / r.W) ** 2, 0))
-                hop = np.where(pm >= 0, np.abs(a - avg[:, np.maximum(pm, 0)]), 0.0)
-                base = (s @ sw + hop @ sw) / r.W
-                vals = [r.item]
-                for v in (smooth, tight, base, spread):
-                    vals += [v.mean(), v.std(), v.min(), v.max(), float((v < v[0] - 1e-9).mean())]
-                rows.append(vals)
-            yield pd.DataFrame(rows, columns=["item", *cols])
-
-    return src.mapInPandas(run, "item long, " + ", ".join(f"{c} double" for c in cols))
+            got = [(item, measure(orders, p)) for item, p in zip(pdf["item"], pdf["pairs"])]
+            yield pd.DataFrame([(i, *map(float, v)) for i, v in got if v is not None], columns=["item", *names])
+
+    return per_item.mapInPandas(run, "item long, " + ", ".join(f"{c} double" for c in names))
+
+
+def mean_lanes(notes: DataFrame, keys: int = 7, hot=None) -> DataFrame:
+    """(item, perm, mean_lane): weighted mean lane of every item under every order of the key lanes."""
+    import numpy as np
+    import pandas as pd
+
+    h = positions(notes, hot).groupBy("item", "mask").agg(F.sum("w").alias("w"))
+    per_item = h.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("mask", "w"))).alias("masks"))
+
+    def run(batches):
+        orders = LaneOrders(keys)
+        for pdf in batches:
+            for item, masks in zip(pdf["item"], pdf["masks"]):
+                mask, w = np.array([m["mask"] for m in masks]), np.array([m["w"] for m in masks])
+                if w.sum() > 0:
+                    yield pd.DataFrame({"item": item, "perm": orders.names, "mean_lane": orders.mean @ orders.by_mask(mask, w)[0] / w.sum()})
+
+    return per_item.mapInPandas(run, "item long, perm string, mean_lane double")
 
 
 def windows(notes: DataFrame, size: int, hot=None) -> DataFrame:

@@ -108,14 +108,17 @@ def seq_mask_gaps(spark, sf):
     return Q.positions(n, hot).select("item", "tick", "mask", "scratch", r("w").alias("w"))
 
 
-KL = 4  # key lanes in the checked query: 24 permutations
-FOLD = f"nn AS (SELECT item, event_id, tick, CASE WHEN lane = 0 THEN 0 ELSE (lane - 1) % {KL} + 1 END AS lane FROM notes)"
-PERM = f"""WITH {N}, {FOLD}, {POS}, l AS (SELECT unnest([1, 2, 3, 4]) AS l), pm AS (SELECT a.l AS p1, b.l AS p2, c.l AS p3, d.l AS p4 FROM l a, l b, l c, l d WHERE a.l <> b.l AND a.l <> c.l AND a.l <> d.l AND b.l <> c.l AND b.l <> d.l AND c.l <> d.l),
- mk AS (SELECT unnest(range(16)) AS mask), mp AS (SELECT p1, p2, p3, p4, mask, bit_count(mask) AS cnt, (CASE WHEN mask & 1 > 0 THEN p1 ELSE 0 END + CASE WHEN mask & 2 > 0 THEN p2 ELSE 0 END + CASE WHEN mask & 4 > 0 THEN p3 ELSE 0 END + CASE WHEN mask & 8 > 0 THEN p4 ELSE 0 END) / greatest(bit_count(mask), 1) AS y,
- CASE WHEN bit_count(mask) > 1 THEN greatest(CASE WHEN mask & 1 > 0 THEN p1 END, CASE WHEN mask & 2 > 0 THEN p2 END, CASE WHEN mask & 4 > 0 THEN p3 END, CASE WHEN mask & 8 > 0 THEN p4 END) - least(CASE WHEN mask & 1 > 0 THEN p1 END, CASE WHEN mask & 2 > 0 THEN p2 END, CASE WHEN mask & 4 > 0 THEN p3 END, CASE WHEN mask & 8 > 0 THEN p4 END) ELSE 0 END AS span FROM pm, mk),
- f AS (SELECT ps.item, ps.x, ps.w, p1, p2, p3, p4, y, span, abs(y - lag(y) OVER (PARTITION BY ps.item, p1, p2, p3, p4 ORDER BY ps.x)) AS hop FROM ps JOIN mp USING (mask)),
- s AS (SELECT item, p1, p2, p3, p4, count(*) AS np, sum(w) AS sw, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * y) AS wy, sum(w * x * y) AS wxy, sum(w * y * y) AS wyy, sum(w * span) AS ws, sum(w * coalesce(hop, 0)) AS wh FROM f GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 3 AND sum(w) > 0),
- q AS (SELECT *, (wxy - wx * wy / sw) / (wxx - wx * wx / sw) AS sl FROM s), m AS (SELECT item, p1 = 1 AND p2 = 2 AND p3 = 3 AS base, sqrt(greatest((wyy - wy * wy / sw - sl * (wxy - wx * wy / sw)) / sw, 0)) AS smooth, ws / sw AS tight, (ws + wh) / sw AS base_v, sqrt(greatest(wyy / sw - (wy / sw) ** 2, 0)) AS spread FROM q),
+NN = "nn AS (SELECT item, event_id, tick, lane FROM notes)"
+_P = [f"p{i}" for i in range(1, 8)]
+_LANE = [f"CASE WHEN mask & {1 << i} > 0 THEN {p} END" for i, p in enumerate(_P)]
+ORDERS = f"""l AS (SELECT unnest(range(1, 8)) AS l), pm AS (SELECT {', '.join(f'l{i}.l AS p{i}' for i in range(1, 8))} FROM {', '.join(f'l l{i}' for i in range(1, 8))}
+ WHERE {' AND '.join(f'l{j}.l <> l{i}.l' for i in range(1, 8) for j in range(1, i))}), mk AS (SELECT unnest(range(128)) AS mask),
+ mp AS (SELECT concat({', '.join(_P)}) AS perm, mask, coalesce({' + '.join(f'coalesce({x}, 0)' for x in _LANE)}, 0) / greatest(bit_count(mask), 1) AS y,
+ coalesce(greatest({', '.join(_LANE)}) - least({', '.join(_LANE)}), 0) AS span FROM pm, mk)"""
+PERM = f"""WITH {N}, {NN}, {POS}, {ORDERS}, pq AS (SELECT *, lag(mask) OVER (PARTITION BY item ORDER BY x) AS before FROM ps),
+ f AS (SELECT pq.item, mp.perm, pq.x, pq.w, mp.y, mp.span, abs(mp.y - b.y) AS hop FROM pq JOIN mp ON mp.mask = pq.mask LEFT JOIN mp b ON b.mask = pq.before AND b.perm = mp.perm),
+ s AS (SELECT item, perm, count(*) AS np, sum(w) AS sw, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * y) AS wy, sum(w * x * y) AS wxy, sum(w * y * y) AS wyy, sum(w * span) AS ws, sum(w * coalesce(hop, 0)) AS wh FROM f GROUP BY 1, 2 HAVING count(*) >= 3 AND sum(w) > 0),
+ q AS (SELECT *, CASE WHEN wxx - wx * wx / sw > 1e-9 THEN (wxy - wx * wy / sw) / (wxx - wx * wx / sw) END AS sl FROM s), m AS (SELECT item, perm = '1234567' AS base, CASE WHEN sl IS NULL THEN 0 ELSE sqrt(greatest((wyy - wy * wy / sw - sl * (wxy - wx * wy / sw)) / sw, 0)) END AS smooth, ws / sw AS tight, (ws + wh) / sw AS base_v, sqrt(greatest(wyy / sw - (wy / sw) ** 2, 0)) AS spread FROM q),
  b AS (SELECT item, smooth AS bs, tight AS bt, base_v AS bb, spread AS bp FROM m WHERE base)
  SELECT m.item, {', '.join(f"round(avg({c}), 4) AS ps_{n}_mean, round(stddev_pop({c}), 4) AS ps_{n}_std, round(min({c}), 4) AS ps_{n}_min, round(max({c}), 4) AS ps_{n}_max, round(avg(CAST({c} < {b} - 1e-9 AS INT)), 4) AS ps_{n}_base_pct" for n, c, b in (('smooth', 'smooth', 'bs'), ('tight', 'tight', 'bt'), ('base', 'base_v', 'bb'), ('spread', 'spread', 'bp')))} FROM m JOIN b USING (item) GROUP BY m.item"""
 
@@ -123,24 +126,14 @@ PERM = f"""WITH {N}, {FOLD}, {POS}, l AS (SELECT unnest([1, 2, 3, 4]) AS l), pm
 @query("seq_perm_space", PERM)
 def seq_perm_space(spark, sf):
     n, hot = nh(spark, sf)
-    folded = n.withColumn("lane", F.when(F.col("lane") == 0, 0).otherwise((F.col("lane") - 1) % KL + 1))
-    return rd(Q.perm_space(folded, KL, hot))
+    return rd(Q.perm_space(n, hot=hot))
 
 
-@query("jn_cross_perm", f"""WITH {N}, {FOLD}, {POS}, l AS (SELECT unnest([1, 2, 3, 4]) AS l), pm AS (SELECT a.l AS p1, b.l AS p2, c.l AS p3, d.l AS p4 FROM l a, l b, l c, l d WHERE a.l <> b.l AND a.l <> c.l AND a.l <> d.l AND b.l <> c.l AND b.l <> d.l AND c.l <> d.l)
- SELECT item, concat(p1, p2, p3, p4) AS perm, round(sum(w * CASE WHEN mask = 0 THEN 0 ELSE (CASE WHEN mask & 1 > 0 THEN p1 ELSE 0 END + CASE WHEN mask & 2 > 0 THEN p2 ELSE 0 END + CASE WHEN mask & 4 > 0 THEN p3 ELSE 0 END + CASE WHEN mask & 8 > 0 THEN p4 ELSE 0 END) / bit_count(mask) END) / sum(w), 4) AS mean_lane FROM ps, pm GROUP BY item, perm HAVING sum(w) > 0""")
+@query("jn_cross_perm", f"""WITH {N}, {NN}, {POS}, {ORDERS} SELECT item, perm, round(sum(w * y) / sum(w), 4) AS mean_lane FROM ps JOIN mp USING (mask) GROUP BY item, perm HAVING sum(w) > 0""")
 def jn_cross_perm(spark, sf):
-    """Items x lane permutations: each item's mask histogram (<= 2^lanes rows) meets the fixed permutation list."""
-    import itertools
-
+    """Items x lane orders: each item's mask histogram (<= 128 rows) meets the table of all orders."""
     n, hot = nh(spark, sf)
-    folded = n.withColumn("lane", F.when(F.col("lane") == 0, 0).otherwise((F.col("lane") - 1) % KL + 1))
-    h = Q.positions(folded, hot).groupBy("item", "mask").agg(F.sum("w").alias("sw"))
-    perms = F.array(*[F.struct(F.lit("".join(map(str, p))).alias("perm"), F.array(*[F.lit(v) for v in p]).alias("v")) for p in itertools.permutations(range(1, KL + 1))])
-    x = h.select("item", "mask", "sw", F.explode(perms).alias("p")).select("item", "mask", "sw", "p.perm", "p.v")
-    lanes = sum((F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("v")[i]).otherwise(0) for i in range(KL)), F.lit(0))
-    y = F.when(F.col("mask") == 0, 0.0).otherwise(F.try_divide(lanes, F.bit_count("mask")))
-    return x.groupBy("item", "perm").agg(F.sum("sw").alias("w"), F.sum(F.col("sw") * y).alias("wy")).filter("w > 0").select("item", "perm", r(F.col("wy") / F.col("w"), 4).alias("mean_lane"))
+    return Q.mean_lanes(n, hot=hot).select("item", "perm", r("mean_lane", 4).alias("mean_lane"))
 
 
 @query("seq_scratch_frac", f"WITH {N}, nn AS (SELECT * FROM notes), {POS} SELECT item, round(avg(CAST(scratch AS INT)), 4) AS scratch_frac, round(avg(CAST(scratch AND mask <> 0 AS INT)), 4) AS scratch_key_frac FROM ps GROUP BY item")
