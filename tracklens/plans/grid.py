@@ -52,16 +52,28 @@ def seq_masks(spark, sf):
 
 DP = f"""WITH {N}, {GRID}, sp0 AS (SELECT item, win, CAST(l AS INT) AS lane, CAST(c AS INT) AS cell, seed FROM (SELECT *, {SEED} AS seed FROM ws), (SELECT unnest(range(8)) AS l), (SELECT unnest(range(240)) AS c)),
  sp AS (SELECT *, CASE WHEN (CAST(cell AS BIGINT) * 7919 + lane * 104729 + seed) % 1000 < 100 THEN 2 WHEN cell >= seed % 181 AND cell < seed % 181 + 60 THEN 1 ELSE 0 END AS mask FROM sp0),
- d AS (SELECT sp.*, CASE WHEN g.onset > 0 THEN 1 ELSE 0 END AS o, CAST(mask = 0 AS INT) AS u FROM sp LEFT JOIN g USING (item, win, cell, lane)),
- e AS (SELECT *, sum(o * u) OVER l / greatest(sum(u) OVER l, 1e-6) AS lr, sum(o * u) OVER n / greatest(sum(u) OVER n, 1e-6) AS nr FROM d WINDOW l AS (PARTITION BY item, win, lane), n AS (PARTITION BY item, win, lane ORDER BY cell ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING)),
+ d AS (SELECT sp.*, CASE WHEN g.onset > 0 THEN 1 ELSE 0 END AS o, CASE WHEN g.hold > 0 THEN 1 ELSE 0 END AS hd, CAST(mask = 0 AS INT) AS u FROM sp LEFT JOIN g USING (item, win, cell, lane)),
+ e AS (SELECT *, sum(o * u) OVER l / greatest(sum(u) OVER l, 1e-6) AS lr, sum(hd * u) OVER l / greatest(sum(u) OVER l, 1e-6) AS ph, sum(o * u) OVER n / greatest(sum(u) OVER n, 1e-6) AS nr FROM d WINDOW l AS (PARTITION BY item, win, lane), n AS (PARTITION BY item, win, lane ORDER BY cell ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING)),
  p AS (SELECT *, 0.6 * CASE WHEN cell >= 60 AND cell < 180 THEN nr ELSE lr END + 0.4 * lr AS p FROM e WHERE mask <> 0)
- SELECT item, win, lane, count(*) AS n_masked, CAST(sum(o) AS BIGINT) AS n_hidden, round(sum(p), 4) AS p_sum, round(sum(p * o), 4) AS p_hidden FROM p GROUP BY 1, 2, 3"""
+ SELECT item, win, lane, count(*) AS n_masked, CAST(sum(o) AS BIGINT) AS n_hidden, round(sum(p), 4) AS p_sum, round(sum(p * o), 4) AS p_hidden, round(sum(ph), 4) AS p_hold_sum FROM p GROUP BY 1, 2, 3"""
 
 
 @query("seq_density_pred", DP)
 def seq_density_pred(spark, sf):
     p = G.density_prediction(t.notes(spark, sf))
-    return p.groupBy("item", "win", "lane").agg(F.count(F.lit(1)).alias("n_masked"), F.sum("on").alias("n_hidden"), r(F.sum("p"), 4).alias("p_sum"), r(F.sum(F.col("p") * F.col("on")), 4).alias("p_hidden"))
+    return p.groupBy("item", "win", "lane").agg(F.count(F.lit(1)).alias("n_masked"), F.sum("on").alias("n_hidden"), r(F.sum("p"), 4).alias("p_sum"), r(F.sum(F.col("p") * F.col("on")), 4).alias("p_hidden"),
+                                              r(F.sum("p_hold"), 4).alias("p_hold_sum"))
+
+
+@query("seq_density_next", f"""WITH {N}, {GRID}, p AS (SELECT item, win, lane, count(*) FILTER (WHERE onset > 0) / 240 AS p_onset, sum(hold) / 240 AS p_hold FROM g GROUP BY 1, 2, 3),
+ nx AS (SELECT item, win - 1 AS win, lane, count(*) FILTER (WHERE onset > 0) AS n_next FROM g GROUP BY 1, 2, 3)
+ SELECT p.item, p.win, p.lane, round(p_onset, 6) AS p_onset, round(p_hold, 6) AS p_hold, coalesce(n_next, 0) AS n_next FROM p LEFT JOIN nx USING (item, win, lane)""")
+def seq_density_next(spark, sf):
+    """A window's lane rates as the prediction for the next window, beside what the next window holds."""
+    g = G.grid(t.notes(spark, sf))
+    nxt = g.filter("onset > 0").groupBy("item", (F.col("win") - 1).alias("win"), "lane").agg(F.count(F.lit(1)).alias("n_next"))
+    j = G.next_window_prediction(g).join(nxt, ["item", "win", "lane"], "left")
+    return j.select("item", "win", "lane", r("p_onset", 6).alias("p_onset"), r("p_hold", 6).alias("p_hold"), F.coalesce("n_next", F.lit(0)).alias("n_next"))
 
 
 FOC = f"""WITH {N}, {GRID}, m AS {mask_sql('(SELECT * FROM g WHERE onset > 0)')}, tot AS (SELECT item, win, cell, sum(onset) AS tot FROM m GROUP BY 1, 2, 3),
