@@ -47,25 +47,20 @@ def priority_union(tables: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     return ranks.top_n(stacked, [key], ["_prio", "level"], 1, "_rn").drop("_rn", "_prio")
 
 
-def roster_mask(df: DataFrame, item: str, member: str, extra: list[str] = ()) -> DataFrame:
-    """(extra..., mask, n_items): how many items were seen by exactly this set of roster members.
+def roster_sets(df: DataFrame, item: str, member: str, extra: list[str] = ()) -> DataFrame:
+    """(extra..., members, n_items): how many items were seen by exactly this set of roster members.
 
-    ``member`` is a small integer below 63 - the roster is a fixed dimension, not the fact's
-    player key.  Per item only a bit mask is shuffled, so no pair is formed inside an item.
+    The roster is a fixed dimension, so a set is a sorted array of at most its size; no pair is formed inside an item.
     """
-    bits = df.groupBy(item, *extra).agg(F.bit_or(bit(F.col(member))).alias("mask"))
-    return bits.groupBy(*extra, "mask").agg(F.count(F.lit(1)).alias("n_items"))
-
-
-def pair_overlap(masks: DataFrame, size: int, extra: list[str] = ()) -> DataFrame:
-    """Co-seen item count for every pair of roster members, from the mask histogram."""
-    members = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.col("mask").bitwiseAND(bit(b)) != 0)
-    m = masks.withColumn("_m", members)
-    return (
-        m.select(*extra, "n_items", "_m", F.explode("_m").alias("a"))
-        .select(*extra, "n_items", "a", F.explode(F.filter("_m", lambda b: b > F.col("a"))).alias("b"))
-        .groupBy(*extra, "a", "b").agg(F.sum("n_items").alias("n_both"))
-    )
+    sets = df.groupBy(item, *extra).agg(F.array_sort(F.collect_set(member)).alias("members"))
+    return sets.groupBy(*extra, "members").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+def pair_overlap(sets: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Co-seen item count for every pair of roster members, from the histogram of member sets."""
+    first = sets.select(*extra, "n_items", "members", F.explode("members").alias("a"))
+    both = first.select(*extra, "n_items", "a", F.explode(F.filter("members", lambda b: b > F.col("a"))).alias("b"))
+    return both.groupBy(*extra, "a", "b").agg(F.sum("n_items").alias("n_both"))
 
 
 def bit(pos: Column) -> Column:

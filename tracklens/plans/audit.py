@@ -81,7 +81,7 @@ def agg_pivot_cover(spark, sf):
  s AS (SELECT bin, count(*) FILTER (WHERE teams >= 20) AS shared_items, CAST(sum(n) AS BIGINT) AS n_rows FROM i GROUP BY bin)
  SELECT bin, shared_items, n_rows, CASE WHEN shared_items >= 150 AND n_rows >= 8000 THEN 'ok' WHEN shared_items >= 50 THEN 'sparse' ELSE 'very sparse' END AS verdict FROM s""")
 def agg_sparsity_verdict(spark, sf):
-    i = team_items(spark, sf).groupBy("bin", "item").agg(F.bit_count(F.bit_or(joins.bit(F.col("team")))).alias("teams"), F.count(F.lit(1)).alias("n"))
+    i = team_items(spark, sf).groupBy("bin", "item").agg(F.size(F.collect_set("team")).cast("long").alias("teams"), F.count(F.lit(1)).alias("n"))
     s = i.groupBy("bin").agg(F.count(F.when(F.col("teams") >= 20, 1)).alias("shared_items"), F.sum("n").alias("n_rows"))
     return s.withColumn("verdict", F.when((F.col("shared_items") >= 150) & (F.col("n_rows") >= 8000), "ok").when(F.col("shared_items") >= 50, "sparse").otherwise("very sparse"))
 
@@ -293,17 +293,22 @@ def agg_log_audit(spark, sf):
  SELECT concat_ws('&', a.client, b.client) AS sets, count(*) AS n_both, any_value((SELECT count(DISTINCT item) FROM p WHERE client IN (a.client, b.client))) AS n_union FROM p a JOIN p b ON a.item = b.item AND a.client < b.client GROUP BY a.client, b.client
  UNION ALL SELECT concat_ws('&', a.client, b.client, c.client), count(*), any_value((SELECT count(DISTINCT item) FROM p WHERE client IN (a.client, b.client, c.client))) FROM p a JOIN p b ON a.item = b.item AND a.client < b.client JOIN p c ON a.item = c.item AND b.client < c.client GROUP BY a.client, b.client, c.client""")
 def agg_overlap_sets(spark, sf):
-    import itertools
-
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     log = t.play_log(spark, sf).filter("acc >= 96").join(t.clients(spark, sf), "player")
-    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("client")).cast("int") - 1
-    masks = joins.roster_mask(log.withColumn("code", code), "item", "code")  # at most 2^5 rows
-    sets = [s for k in (2, 3) for s in itertools.combinations(range(5), k)]
-    opts = F.array(*[F.struct(F.lit("&".join(names[i] for i in s)).alias("sets"), F.lit(sum(1 << i for i in s)).cast("long").alias("m")) for s in sets])
-    x = masks.select("mask", "n_items", F.explode(opts).alias("o"))
-    hit = x["mask"].bitwiseAND(x["o.m"])
-    return x.groupBy("o.sets").agg(F.sum(F.when(hit == F.col("o.m"), F.col("n_items")).otherwise(0)).alias("n_both"), F.sum(F.when(hit != 0, F.col("n_items")).otherwise(0)).alias("n_union"))
+    sets = joins.roster_sets(log, "item", "client")  # as many rows as there are sets of clients
+    m = sets.select("members", "n_items")
+    by_one = m.select("n_items", F.explode("members").alias("a"), "members")
+    two = by_one.select("n_items", "a", F.explode(F.filter("members", lambda x: x > F.col("a"))).alias("b"), "members")
+    three = two.select("n_items", "a", "b", F.explode(F.filter("members", lambda x: x > F.col("b"))).alias("c"))
+    n_two = two.groupBy("a", "b").agg(F.sum("n_items").alias("n2"))
+    n_three = three.groupBy("a", "b", "c").agg(F.sum("n_items").alias("n3"))
+    n_one = by_one.groupBy("a").agg(F.sum("n_items").alias("n1"))
+    one = lambda k: n_one.select(F.col("a").alias(k), F.col("n1").alias(f"n_{k}"))
+    pair = lambda x, y: n_two.select(F.col("a").alias(x), F.col("b").alias(y), F.col("n2").alias(f"n_{x}{y}"))
+    # sizes of unions by inclusion and exclusion
+    pairs = n_two.join(one("a"), "a").join(one("b"), "b").select(F.concat_ws("&", "a", "b").alias("sets"), F.col("n2").alias("n_both"), (F.col("n_a") + F.col("n_b") - F.col("n2")).alias("n_union"))
+    x = n_three.join(one("a"), "a").join(one("b"), "b").join(one("c"), "c").join(pair("a", "b"), ["a", "b"]).join(pair("a", "c"), ["a", "c"]).join(pair("b", "c"), ["b", "c"])
+    whole = F.col("n_a") + F.col("n_b") + F.col("n_c") - F.col("n_ab") - F.col("n_ac") - F.col("n_bc") + F.col("n3")
+    return pairs.unionByName(x.select(F.concat_ws("&", "a", "b", "c").alias("sets"), F.col("n3").alias("n_both"), whole.alias("n_union")))
 
 
 @query("agg_weekly", f"""WITH {S.FP}, w AS (SELECT 'week' AS unit, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period, count(*) AS n FROM log GROUP BY 2),

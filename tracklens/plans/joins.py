@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.columns import r
-from ..operators import joins, ranks
+from ..operators import joins, ranks, scoring
 from ..sources import tables as t
 from . import sqlparts as S
 from .registry import query
@@ -102,14 +102,10 @@ def jn_hash_bridge(spark, sf):
 @query("jn_anti_candidates", f"""WITH {S.LOG}, {S.ITEMS}, {S.CLIENTS}, tp AS (SELECT DISTINCT team, item FROM log JOIN clients USING (player))
  SELECT team, item FROM (SELECT DISTINCT team FROM clients) CROSS JOIN items WHERE (team, item) NOT IN (SELECT (team, item) FROM tp)""")
 def jn_anti_candidates(spark, sf):
-    """Catalogue minus played for every roster member: the unset bits of each item's player mask."""
+    """Catalogue minus played for every roster member."""
     log = t.play_log(spark, sf).join(t.clients(spark, sf), "player")
-    seen = log.groupBy("item").agg(F.bit_or(joins.bit(F.col("team"))).alias("mask"))
-    roster = t.clients(spark, sf).agg(F.bit_or(joins.bit(F.col("team"))).alias("m")).scalar()
-    cat = t.items(spark, sf).select("item").join(seen, "item", "left")
-    todo = cat.withColumn("free", roster.bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("long")))))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.col("free").bitwiseAND(joins.bit(b)) != 0)
-    return todo.select("item", F.explode(bits).alias("team"))
+    roster = t.clients(spark, sf).agg(F.array_sort(F.collect_set("team"))).scalar()
+    return scoring.candidates(t.items(spark, sf).select("item"), log, roster, "team")
 
 
 @query("jn_semi_scope", f"WITH {S.FP}, {LV} SELECT player, item, acc FROM fp WHERE item IN (SELECT item FROM lv)")
@@ -128,7 +124,7 @@ def team_items(spark, sf):
 
 @query("jn_multi_overlap", OVER)
 def jn_multi_overlap(spark, sf):
-    return joins.pair_overlap(joins.roster_mask(team_items(spark, sf), "item", "team", ["bin"]), 25, ["bin"])
+    return joins.pair_overlap(joins.roster_sets(team_items(spark, sf), "item", "team", ["bin"]), ["bin"])
 
 
 @query("jn_best_vs_log", f"""WITH {S.BEST}, last AS (SELECT player, item, acc AS l_acc, lamp AS l_lamp, bp AS l_bp FROM (SELECT *, row_number() OVER (PARTITION BY player, item ORDER BY ts DESC, seq DESC, price DESC) AS rn FROM log) WHERE rn = 1)
@@ -168,11 +164,9 @@ def jn_cross_client(spark, sf):
 # ---- set operations ----
 @query("set_union_sources", f"""WITH {S.FP}, {S.CLIENTS} SELECT client AS src, count(*) AS n, CAST(sum(acc) AS DOUBLE) AS acc_sum FROM fp JOIN clients USING (player) GROUP BY 1""")
 def set_union_sources(spark, sf):
-    """Per-client frames stacked back into one."""
+    """All clients' frames as one, told apart by their source; whatever clients there are."""
     fp = t.first_plays(spark, sf).join(t.clients(spark, sf), "player")
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    parts = [fp.filter(F.col("client") == n).withColumn("src", F.lit(n)) for n in names]
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("acc_sum"))
+    return fp.groupBy(F.col("client").alias("src")).agg(F.count(F.lit(1)).alias("n"), F.sum("acc").alias("acc_sum"))
 
 
 @query("set_union_distinct", f"WITH {S.LOG}, {LV} SELECT item FROM lv UNION SELECT item FROM log")
