@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import decode_index
 from ..session import cut
@@ -60,13 +62,17 @@ def chart_heads(cls: DataFrame) -> DataFrame:
                       (F.col("control") == 1).alias("control_flow"), "n_unparsed", (b == 0).alias("zero_bpm"), (b < 0).alias("negative_bpm"))
 
 
-def definitions(hdr: DataFrame, heads: DataFrame) -> DataFrame:
-    """Indexed definitions (item, what = bpm / stop / lnobj, idx, value); EXBPM is an alias of BPM."""
-    d = hdr.join(heads.select("item", "base"), "item")
-    what = (F.when(F.col("key").rlike("^BPM..") | F.col("key").rlike("^EXBPM.."), "bpm").when(F.col("key").rlike("^STOP.."), "stop").when(F.col("key") == "LNOBJ", "lnobj"))
+def definitions(cls: DataFrame, heads: DataFrame) -> DataFrame:
+    """Indexed definitions (item, what = bpm / stop / lnobj, idx, value); EXBPM is an alias of BPM.
+
+    Lines are read in order: a later one redefines its index, whichever spelling it uses; every LNOBJ adds a terminator.
+    """
+    h = cls.filter("kind = 'header'").select("item", "line_no", F.upper(F.regexp_extract("line", HEADER, 1)).alias("key"), F.trim(F.regexp_extract("line", HEADER, 2)).alias("value"))
+    what = F.when(F.col("key").rlike("^(EX)?BPM.."), "bpm").when(F.col("key").rlike("^STOP.."), "stop").when(F.col("key") == "LNOBJ", "lnobj")
     pair = F.when(what == "lnobj", F.substring("value", 1, 2)).otherwise(F.regexp_extract("key", "^(?:EXBPM|BPM|STOP)(..)", 1))
-    out = d.select("item", what.alias("what"), decode_index(pair, F.col("base")).alias("idx"), F.expr("try_cast(value as double)").alias("value"))
-    return out.filter("what is not null and (what = 'lnobj' or value is not null)").groupBy("item", "what", "idx").agg(F.max("value").alias("value"))
+    d = h.filter(what.isNotNull()).join(heads.select("item", "base"), "item")
+    out = d.select("item", "line_no", what.alias("what"), decode_index(pair, F.col("base")).alias("idx"), F.expr("try_cast(value as double)").alias("value"))
+    return out.filter("what = 'lnobj' or value is not null").groupBy("item", "what", "idx").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def channel_lines(cls: DataFrame) -> DataFrame:
@@ -211,7 +217,7 @@ class Chart:
 
     @cached_property
     def defs(self):
-        return definitions(self.headers, self.heads)
+        return definitions(self.cls, self.heads)
 
     @cached_property
     def chan(self):
@@ -296,31 +302,50 @@ def stats26(ch: Chart, notes: DataFrame | None = None) -> DataFrame:
     return j.select("item", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in STATS])
 
 
-# fixed values: difficulty and version suffixes removed from titles
-SUFFIXES = ("another hyper normal hard hardest easy beginner god hades insane maniaq extreme afother ex ln light pocket lastboss lumiere sa ecstacy presea "
-            "main seiryu pham 9dan plus myth hina onehand rather sarather trill トリル delay gb obj aria dios clover gunn gungnir グングニル black 7 07 an sp dp bms").split()
-ROUNDS = 8
-NON_WORD = r"[^\p{L}\p{N}]+"
+# fixed values: difficulty and version suffixes removed from titles; the first of the list that fits goes
+SUFFIXES = (
+    "another", "hyper", "normal", "hard", "hardest", "easy", "beginner", "god", "hades", "insane", "maniaq", "extreme", "afother", "ex", "ln", "light", "pocket",
+    "lastboss", "lumiere", "sa", "ecstacy", "presea", "main", "seiryu", "pham", "9dan", "plus", "myth", "hina", "onehand", "rather", "sarather", "trill", "トリル",
+    "delay", "gb", "obj", "aria", "dios", "clover", "gunn", "gungnir", "グングニル", "black", "7", "07", "an", "sp", "dp", "bms",
+)
+NON_WORD = r"[\W_]+"
 BRACKETS = r"[\[（(].*?[\]）)]"
 
 
-def base_title(title: Column) -> Column:
-    """Lower-cased title without brackets, punctuation and trailing difficulty words (never stripped to empty)."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(title), BRACKETS, ""), NON_WORD, "")
-    pattern = "^(.+)(?:" + "|".join(SUFFIXES) + ")$"
-    for _ in range(ROUNDS):
-        s = F.regexp_replace(s, pattern, "$1")
-    return s
+def without_suffixes(title: str) -> str:
+    """Takes suffixes away until none fits; a title is never taken away whole."""
+    while True:
+        tail = next((x for x in SUFFIXES if title.endswith(x) and title != x), None)
+        if tail is None:
+            return title
+        title = title.removesuffix(tail)
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility-normalised, lower case; null as empty."""
+    return text.fillna("").str.normalize("NFKC").str.lower()
+
+
+@F.pandas_udf(StringType())
+def base_title(title: pd.Series) -> pd.Series:
+    """Folded title without brackets, punctuation and trailing suffixes."""
+    plain = title.fillna("").str.normalize("NFKC").str.lower().str.replace(BRACKETS, "", regex=True).str.replace(NON_WORD, "", regex=True)
+    known: dict[str, str] = {}
+    return plain.map(lambda x: known.get(x) or known.setdefault(x, without_suffixes(x)))
+
+
+WORDLESS = r"[^\p{L}\p{N}]+"  # NON_WORD for Spark's patterns
 
 
 def song_key(title: Column, path: Column) -> Column:
     """'t:' + base title, else 'f:' + normalised folder."""
-    folder = F.regexp_replace(F.lower(F.regexp_extract(path, r"^(.*)/[^/]*$", 1)), NON_WORD, "")
+    folder = F.regexp_replace(folded(F.regexp_extract(path, r"^(.*)/[^/]*$", 1)), WORDLESS, "")
     b = base_title(title)
     return F.when(F.length(b) > 0, F.concat(F.lit("t:"), b)).otherwise(F.concat(F.lit("f:"), F.when(F.length(folder) > 0, folder).otherwise("unknown")))
 
 
 def artist_key(artist: Column) -> Column:
-    """First non-empty '/' part, lower-cased, punctuation removed."""
-    parts = F.filter(F.split(F.lower(artist), "/"), lambda p: F.length(F.trim(p)) > 0)
-    return F.coalesce(F.regexp_replace(F.get(parts, F.lit(0)), NON_WORD, ""), F.lit(""))
+    """First non-empty '/' part, folded, punctuation removed."""
+    parts = F.filter(F.split(folded(artist), "/"), lambda p: F.length(F.trim(p)) > 0)
+    return F.coalesce(F.regexp_replace(F.get(parts, F.lit(0)), WORDLESS, ""), F.lit(""))

@@ -33,6 +33,9 @@ HEAD = [
     (14, "item % 37 = 0", "'#LNTYPE 2'"),
     (15, "item % 6 = 0", "'#@ broken line'"),
     (16, None, "'#WAV01 a.wav'"),
+    (17, "item % 5 = 2", "'#EXBPM01 90'"),
+    (18, "item % 8 = 1", "'#LNOBJ RR'"),
+    (19, "item % 7 = 3", "'#STOP01 48'"),
     (20, "item % 3 = 0", "'#00203:0078'"),
     (21, "item % 3 = 1", "'#00408:00010002'"),
     (22, None, "'#00302:0.75'"),
@@ -52,7 +55,7 @@ def chart_lines(spark, sf):
     packed = slots.groupBy("item", "m", "ch").agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("mp"))  # at most 64 slots
     data = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.coalesce(F.try_element_at("mp", p), F.lit("00"))), "")
     body = packed.select("item", (F.lit(1000) + F.col("m") * 100 + F.col("ch").cast("int")).cast("long").alias("line_no"),
-                         F.concat(F.lit("#"), F.lpad(F.col("m").cast("string"), 3, "0"), "ch", F.lit(":"), data).alias("line"))
+                         F.concat(F.lit("#"), F.when(F.col("m") < 1000, F.lpad(F.col("m").cast("string"), 3, "0")).otherwise(F.col("m").cast("string")), "ch", F.lit(":"), data).alias("line"))
     heads = F.array_compact(F.array(*[F.expr(f"CASE WHEN {c or 'TRUE'} THEN named_struct('line_no', CAST({i} AS BIGINT), 'line', {e}) END") for i, c, e in HEAD]))
     users = t.table(spark, sf, "events", "user_id").distinct().select(F.col("user_id").alias("item"))
     return users.select("item", F.inline(heads)).unionByName(body)
@@ -68,7 +71,7 @@ _arr = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 LINES = f"""{S.NOTES}, us AS (SELECT DISTINCT user_id AS item FROM events), sl AS (SELECT item, tick // 64 AS m, CASE WHEN type = 1 THEN {_arr(CH_HELD)}[lane + 1] ELSE {_arr(CH_TAP)}[lane + 1] END AS ch, tick % 64 AS p,
  max(CASE WHEN {ZZ} THEN 'ZZ' ELSE concat(substr('{DIGITS}', (event_id % 1000 + 1) // 36 + 1, 1), substr('{DIGITS}', (event_id % 1000 + 1) % 36 + 1, 1)) END) AS v FROM notes GROUP BY 1, 2, 3, 4),
  sp0 AS (SELECT item, m, ch, unnest(range(64)) AS p FROM (SELECT DISTINCT item, m, ch FROM sl)), bd AS (SELECT item, m, ch, string_agg(coalesce(v, '00'), '' ORDER BY p) AS data FROM sp0 LEFT JOIN sl USING (item, m, ch, p) GROUP BY 1, 2, 3),
- ln AS ({_hs} UNION ALL SELECT item, 1000 + m * 100 + CAST(ch AS BIGINT), concat('#', lpad(CAST(m AS VARCHAR), 3, '0'), ch, ':', data) FROM bd)"""
+ ln AS ({_hs} UNION ALL SELECT item, 1000 + m * 100 + CAST(ch AS BIGINT), concat('#', CASE WHEN m < 1000 THEN lpad(CAST(m AS VARCHAR), 3, '0') ELSE CAST(m AS VARCHAR) END, ch, ':', data) FROM bd)"""
 CLS = LINES + f""", cl AS (SELECT item, line_no, line, CASE WHEN regexp_matches(line, '{C.CONTROL}') THEN 'control' WHEN regexp_matches(line, '{C.CHANNEL}') THEN 'channel' WHEN regexp_matches(line, '{C.HEADER}') THEN 'header' ELSE 'unparsed' END AS kind FROM ln WHERE line LIKE '#%'),
  hx AS (SELECT item, line_no, kind, upper(regexp_extract(line, '{C.HEADER}', 1)) AS key, trim(regexp_extract(line, '{C.HEADER}', 2)) AS value FROM cl)"""
 
@@ -85,8 +88,8 @@ def _dec(p):
     return f"((strpos('{DIGITS[:36]}', upper(substr({p}, 1, 1))) - 1) * 36 + strpos('{DIGITS[:36]}', upper(substr({p}, 2, 1))) - 1)"
 
 
-DEFS = HEADS + f""", df AS (SELECT item, CASE WHEN key LIKE 'BPM__%' OR key LIKE 'EXBPM__%' THEN 'bpm' WHEN key LIKE 'STOP__%' THEN 'stop' WHEN key = 'LNOBJ' THEN 'lnobj' END AS what, CASE WHEN key = 'LNOBJ' THEN substr(value, 1, 2) ELSE right(key, 2) END AS p, TRY_CAST(value AS DOUBLE) AS value FROM hx),
- defs AS (SELECT item, what, CAST({_dec('p')} AS INT) AS idx, max(value) AS value FROM df WHERE what IS NOT NULL AND (what = 'lnobj' OR value IS NOT NULL) GROUP BY 1, 2, 3)"""
+DEFS = HEADS + f""", df AS (SELECT item, CASE WHEN key LIKE 'BPM__%' OR key LIKE 'EXBPM__%' THEN 'bpm' WHEN key LIKE 'STOP__%' THEN 'stop' WHEN key = 'LNOBJ' THEN 'lnobj' END AS what, CASE WHEN key = 'LNOBJ' THEN substr(value, 1, 2) ELSE right(key, 2) END AS p, TRY_CAST(value AS DOUBLE) AS value, line_no FROM hx),
+ defs AS (SELECT item, what, CAST({_dec('p')} AS INT) AS idx, arg_max(value, line_no) AS value FROM df WHERE what IS NOT NULL AND (what = 'lnobj' OR value IS NOT NULL) GROUP BY 1, 2, 3)"""
 OBJ = DEFS + f""", cn AS (SELECT item, line_no, CAST(regexp_extract(line, '{C.CHANNEL}', 1) AS INT) AS measure, upper(regexp_extract(line, '{C.CHANNEL}', 2)) AS channel, trim(regexp_extract(line, '{C.CHANNEL}', 3)) AS data FROM cl WHERE kind = 'channel'),
  px AS (SELECT item, line_no, measure, channel, length(data) // 2 AS n, unnest(range(length(data) // 2)) AS i, data FROM cn WHERE channel IN ({', '.join(repr(c) for c in [*CH_TAP, *CH_HELD, '03', '08', '09'])})),
  ov AS (SELECT item, line_no, measure, channel, i / n AS frac, CAST(CASE WHEN channel = '03' THEN CAST('0x' || substr(data, i * 2 + 1, 2) AS INT) ELSE {_dec('substr(data, i * 2 + 1, 2)')} END AS INT) AS value FROM px),
@@ -241,25 +244,22 @@ def cor_hash(spark, sf):
     return t.table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-TITLE = "CASE item % 9 WHEN 0 THEN concat(title, ' [ANOTHER]') WHEN 1 THEN concat(title, ' -hyper another-') WHEN 2 THEN concat('(remix) ', title, ' LN') WHEN 3 THEN concat(title, ' insane ex') WHEN 4 THEN concat(title, ' sarather') WHEN 5 THEN '[only]' WHEN 6 THEN concat(title, '_07') WHEN 7 THEN concat(title, '（下）トリル') ELSE title END"
+TITLE = "CASE item % 9 WHEN 0 THEN concat(title, ' [ANOTHER]') WHEN 1 THEN concat(title, ' -hyper another-') WHEN 2 THEN concat('(remix) ', title, ' LN') WHEN 3 THEN concat(title, ' ex9dan insane ex ex ex ex ex ex ex ex ex') WHEN 4 THEN concat(title, ' sarather') WHEN 5 THEN '[only]' WHEN 6 THEN concat(title, '_07') WHEN 7 THEN concat(title, '（下）トリル') ELSE title END"
 PATH = "CASE WHEN item % 2 = 0 THEN concat('packs/', kind, '/a.txt') ELSE 'a.txt' END"
 
 
-def base_sql(x):
-    s = f"regexp_replace(regexp_replace(lower({x}), '{C.BRACKETS}', '', 'g'), '{C.NON_WORD}', '', 'g')"
-    pat = "^(.+)(?:" + "|".join(C.SUFFIXES) + ")$"
-    for _ in range(C.ROUNDS):
-        s = f"regexp_replace({s}, '{pat}', '\\1')"
-    return s
+TOKENS = "[" + ", ".join(f"'{x}'" for x in C.SUFFIXES) + "]"
 
 
-@query("cor_song_key", f"""WITH {S.ITEMS}, x AS (SELECT item, {base_sql(TITLE)} AS b, regexp_replace(lower(regexp_extract({PATH}, '^(.*)/[^/]*$', 1)), '{C.NON_WORD}', '', 'g') AS f FROM items)
- SELECT item, CASE WHEN b <> '' THEN concat('t:', b) ELSE concat('f:', CASE WHEN f <> '' THEN f ELSE 'unknown' END) END AS song_key FROM x""")
+@query("cor_song_key", f"""WITH RECURSIVE {S.ITEMS}, x AS (SELECT item, regexp_replace(regexp_replace(lower({TITLE}), '[\\[（(].*?[\\]）)]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS b, regexp_replace(lower(regexp_extract({PATH}, '^(.*)/[^/]*$', 1)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS f FROM items),
+ st AS (SELECT item, b AS s FROM x UNION ALL SELECT item, left(s, length(s) - length(tk)) FROM (SELECT item, s, list_filter({TOKENS}, lambda k: suffix(s, k) AND length(s) > length(k))[1] AS tk FROM st) WHERE tk IS NOT NULL),
+ e AS (SELECT item, arg_min(s, length(s)) AS b FROM st GROUP BY item)
+ SELECT item, CASE WHEN e.b <> '' THEN concat('t:', e.b) ELSE concat('f:', CASE WHEN f <> '' THEN f ELSE 'unknown' END) END AS song_key FROM x JOIN e USING (item)""")
 def cor_song_key(spark, sf):
     return t.items(spark, sf).select("item", C.song_key(F.expr(TITLE), F.expr(PATH)).alias("song_key"))
 
 
-@query("cor_artist_key", f"WITH {HEADS}, a AS (SELECT item, arg_max(value, line_no) AS v FROM hx WHERE key = 'ARTIST' GROUP BY item) SELECT item, regexp_replace(list_filter(string_split(lower(v), '/'), lambda p: trim(p) <> '')[1], '{C.NON_WORD}', '', 'g') AS artist_key FROM a")
+@query("cor_artist_key", f"WITH {HEADS}, a AS (SELECT item, arg_max(value, line_no) AS v FROM hx WHERE key = 'ARTIST' GROUP BY item) SELECT item, regexp_replace(list_filter(string_split(lower(v), '/'), lambda p: trim(p) <> '')[1], '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS artist_key FROM a")
 def cor_artist_key(spark, sf):
     h = chart(spark, sf).headers.filter("key = 'ARTIST'")
     return h.select("item", C.artist_key(F.col("value")).alias("artist_key"))
