@@ -15,7 +15,7 @@ from . import skew
 
 def _running(df: DataFrame, keys: list[str], value: str, hot: DataFrame | None) -> DataFrame:
     aggs = {"_before": ("sum", F.col("_n"))}
-    if not keys or hot is not None:
+    if keys and hot is not None:
         df = cut(df)  # compressed counts are read three times below
     if keys:
         # a hot key may still have few distinct values: decide on the compressed rows
@@ -93,7 +93,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, hot: DataFrame | No
     ks = keys or ["_g"]
     if not keys:
         cells = cells.withColumn("_g", F.lit(0))
-    if not keys or hot is not None:
+    if keys and hot is not None:
         cells = cut(cells)
     def marg(v, out):
         m = cells.groupBy(*ks, v).agg(F.sum("_n").alias("_n"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
+
 HOT_ROWS = 1_000_000
 CHUNK = "_chunk"
 _UNTIL_PREV = (W.unboundedPreceding, -1)
@@ -96,7 +98,7 @@ def prefix(
         return df.select("*", *cols)
 
     # hot keys present: per-chunk scan + carry
-    c = _with_chunk(df, keys, order[0], hot)
+    c = df.withColumn("_hot", F.lit(True)) if CHUNK in df.columns else _with_chunk(df, keys, order[0], hot)
     w = W.partitionBy(*keys, CHUNK).orderBy(*order)
     wp = w.rowsBetween(*_UNTIL_PREV)
     ordering = F.struct(*order)
@@ -141,7 +143,7 @@ def prefix(
     )
     carry = per_chunk.select(*keys, CHUNK, *carries)
     out = c.select("*", *local).join(carry, [*keys, CHUNK], "left")
-    return out.select(*df.columns, *[e.alias(n) for n, e in finals.items()])
+    return out.select(*[x for x in df.columns if x != CHUNK], *[e.alias(n) for n, e in finals.items()])
 
 
 def order_cols(order: list[str], keys: list[str]) -> list[str]:
@@ -190,10 +192,14 @@ def trailing(
 
 
 def global_prefix(df: DataFrame, order: list[str], aggs: dict[str, tuple], chunk_rows: int | None = None) -> DataFrame:
-    """``prefix`` over the whole frame without a single-task sort (always chunked)."""
-    chunk_rows = HOT_ROWS if chunk_rows is None else chunk_rows
-    keyed = df.withColumn("_g", F.lit(0))
-    hot = hot_keys(keyed, ["_g"], order[0], 0).withColumn(
-        "_parts", F.ceil(F.col("_n") / chunk_rows) * 8
-    )
-    return prefix(keyed, ["_g"], order, aggs, hot).drop("_g")
+    """``prefix`` over the whole frame without a single-task sort.
+
+    The chunks are range partitions over all order columns, so many rows of one leading value are split as well.  They are
+    written once: every later step, also of a lost executor, sees the same chunks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if chunk_rows is not None:
+        df = cut(df)
+        parts = max(1, -(-df.count() // chunk_rows))
+    chunked = cut(df.repartitionByRange(parts, *order).withColumn(CHUNK, F.spark_partition_id()))
+    return prefix(chunked.withColumn("_g", F.lit(0)), ["_g"], order, aggs, chunked).drop("_g")

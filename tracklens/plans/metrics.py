@@ -98,8 +98,8 @@ def evl_spearman(spark, sf):
 @query("evl_spearman_ordinal", f"WITH {PRED}, k AS (SELECT row_number() OVER (ORDER BY y, player, item) AS ry, row_number() OVER (ORDER BY pred, player, item) AS rp FROM pr) SELECT round(corr(ry, rp), 4) AS rho FROM k")
 def evl_spearman_ordinal(spark, sf):
     p = pr(spark, sf).select(*KEY, "y", "pred")
-    a = skew.global_prefix(cut(p), ["y", *KEY], {"ry": ("rank",)})
-    return skew.global_prefix(cut(a), ["pred", *KEY], {"rp": ("rank",)}).agg(r(F.corr("ry", "rp"), 4).alias("rho"))
+    a = skew.global_prefix(p, ["y", *KEY], {"ry": ("rank",)})
+    return skew.global_prefix(a, ["pred", *KEY], {"rp": ("rank",)}).agg(r(F.corr("ry", "rp"), 4).alias("rho"))
 
 
 @query("evl_partial_spearman", f"""WITH {PRED}, {S.ITEMS}, k AS (SELECT row_number() OVER (ORDER BY y, player, item) AS rx, row_number() OVER (ORDER BY pred, player, item) AS ry, row_number() OVER (ORDER BY x1, player, item) AS rz FROM pr JOIN items USING (item)),
@@ -107,7 +107,7 @@ def evl_spearman_ordinal(spark, sf):
 def evl_partial_spearman(spark, sf):
     p = pr(spark, sf).join(t.items(spark, sf).select("item", "x1"), "item").select(*KEY, "y", "pred", "x1")
     for c, o in (("y", "rx"), ("pred", "ry"), ("x1", "rz")):
-        p = skew.global_prefix(cut(p), [c, *KEY], {o: ("rank",)})
+        p = skew.global_prefix(p, [c, *KEY], {o: ("rank",)})
     s = p.agg(F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
     xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
     return s.select(r((xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz)), 4).alias("partial_rho"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tracklens", cpus: str | int | None = None) -> SparkSession:
@@ -25,21 +26,24 @@ def build_session(app: str = "tracklens", cpus: str | int | None = None) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; a local one only where a local session names none."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is not None:
-            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         set_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(set_dir)
+        spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
 
 
-def cut(df):
-    """Reliable checkpoint of a small or repeatedly read intermediate: later steps re-read files
-    instead of recomputing the lineage, also after losing an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """A repeatedly read intermediate as a Parquet table in the shared folder: later steps prune its columns, push
+    filters into the scan and re-read files instead of recomputing the lineage, also after losing an executor.  It goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
