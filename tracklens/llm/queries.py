@@ -22,7 +22,43 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op1_line_quality")
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+),
+tri AS (SELECT r, i, array_to_string(words[i:i + 2], ' ') AS t FROM d, unnest(range(1, greatest(len(words) - 1, 1))) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS c FROM tri) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM twice, range(0, 3) AS x(k) GROUP BY r),
+ln AS (SELECT r, i, string_split(text, chr(10))[i] AS line FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS dup FROM ln),
+lj AS (
+  SELECT r, dup, len(w) AS n, line, w, right(regexp_replace(regexp_replace(line, '\s+$', ''), '["''”’»)\]]+$', ''), 1) AS last FROM lw WHERE len(w) > 0
+),
+lf AS (
+  SELECT r, dup, n, dup
+    OR len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0.3 * n
+    OR len(list_filter(w, lambda x: list_contains(SEPARATORS, x))) > 0.15 * n
+    OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.2 * n
+    OR (n >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))) > 0.6 * n)
+    OR len(list_filter(w, lambda x: x LIKE '%!!' OR x LIKE '%??')) > 0.3 * n
+    OR (n <= 25 AND regexp_matches(line, '(?i)PHRASES'))
+    OR (last NOT IN ('.', '!', '?', '…', ':', ';', '。', '！', '？') AND (n <= 4 OR n < 8 OR NOT regexp_matches(line, '[.!?…。！？]["''”’»)\]]*(\s|$)'))) AS failed
+  FROM lj
+),
+lx AS (SELECT r, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(n) FILTER (NOT failed), 0) AS n_kept FROM lf GROUP BY r),
+b AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lx USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_kept_words >= 0.5 * n_words AS kept, n_kept_words
+FROM b
+""".replace("SEPARATORS", "[" + ", ".join(f"'{x}'" for x in sorted(quality.SEPARATORS)) + "]").replace("PHRASES", quality.BOILERPLATE.pattern)
+
+
+@query("op1_line_quality", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.line_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
@@ -79,9 +115,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op9_bag_minhash")
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+s AS (
+  SELECT id, array_to_string(words[i:i + 4], ' ') AS sh, count(*) AS c
+  FROM w, unnest(range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 4, 1) + 1 END)) AS u(i) GROUP BY ALL
+),
+n AS (SELECT id, sum(c) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * o >= 8 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT id, id AS root FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
+SELECT d.doc_id, c.class_id FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN c USING (id)
+"""
+
+
+@query("op9_bag_minhash", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 @query("op10_curve_packing")
