@@ -309,15 +309,16 @@ def evl_perm_guard(spark, sf):
     return one.select(mae(te).alias("mae_real"), mae(M.repair(te, ["x"], "pg", KEY)).alias("mae_permuted"))
 
 
-U = S.draw("concat('boot', b)", "player", "item")
+BOOT = S.draw_hex("'boot'", "player", "item")
 
 
-@query("evl_paired_boot", f"""WITH {PRED}, d AS (SELECT player, item, abs(y - pred) - abs(y - pred2) AS d FROM pr), bs AS (SELECT unnest(range(20)) AS b), w AS (SELECT b, d, {' + '.join(f'CAST({U} >= {p!r} AS INT)' for p in M.POISSON1)} AS w FROM d, bs),
- m AS (SELECT sum(w * d) / sum(w) AS m FROM w GROUP BY b), c AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m)
+@query("evl_paired_boot", f"""WITH {PRED}, d AS (SELECT player, item, abs(y - pred) - abs(y - pred2) AS d, CAST(concat('0x', {BOOT}) AS BIGINT) % 2147483646 + 1 AS u FROM pr),
+ bs AS (SELECT unnest({M.replicate_factors(2000)}) AS f), ws AS (SELECT f, d, (u * f) % 2147483647 AS v FROM d, bs), w AS (SELECT f, d, {' + '.join(f'CAST(v >= CAST({p * 2147483647!r} AS DOUBLE) AS INT)' for p in M.POISSON1)} AS w FROM ws),
+ m AS (SELECT sum(w * d) / sum(w) AS m FROM w GROUP BY f), c AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m)
  SELECT count(*) AS n, round(avg(d), 6) AS gain, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(any_value(lo), 6) AS ci_lo, round(any_value(hi), 6) AS ci_hi, round(avg(CAST(d > 0 AS INT)), 6) AS helped FROM d, c""")
 def evl_paired_boot(spark, sf):
     d = pr(spark, sf).withColumn("d", F.abs(F.col("y") - F.col("pred")) - F.abs(F.col("y") - F.col("pred2")))
-    o = M.paired_bootstrap(d, "d", 20, KEY)
+    o = M.paired_bootstrap(d, "d", 2000, KEY)
     return o.select("n", r("gain").alias("gain"), r("t", 4).alias("t"), r("ci_lo").alias("ci_lo"), r("ci_hi").alias("ci_hi"), r("helped").alias("helped"))
 
 
