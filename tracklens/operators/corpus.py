@@ -77,7 +77,16 @@ def definitions(cls: DataFrame, heads: DataFrame) -> DataFrame:
 
 def channel_lines(cls: DataFrame) -> DataFrame:
     return cls.filter("kind = 'channel'").select(
-        "item", "line_no", F.regexp_extract("line", CHANNEL, 1).cast("int").alias("measure"), F.upper(F.regexp_extract("line", CHANNEL, 2)).alias("channel"), F.trim(F.regexp_extract("line", CHANNEL, 3)).alias("data"))
+        "item", "line_no", F.regexp_extract("line", CHANNEL, 1).try_cast("int").alias("measure"), F.upper(F.regexp_extract("line", CHANNEL, 2)).alias("channel"), F.trim(F.regexp_extract("line", CHANNEL, 3)).alias("data"))
+
+
+def line_issues(cls: DataFrame, chan: DataFrame) -> DataFrame:
+    """(item, issue) of lines that are well formed but carry a value that cannot be used."""
+    h = cls.filter("kind = 'header'").select("item", F.upper(F.regexp_extract("line", HEADER, 1)).alias("key"), F.trim(F.regexp_extract("line", HEADER, 2)).alias("value"))
+    kind = F.when(F.col("key") == "BPM", "bad_bpm_header").when(F.col("key").rlike("^BPM.."), "bad_bpm_def").when(F.col("key").rlike("^STOP.."), "bad_stop_def")
+    no_number = F.expr("try_cast(value as double) is null")
+    of_channel = F.when(F.col("measure") > 999, "measure_gt_999").when((F.col("channel") == "02") & F.expr("try_cast(data as double) is null"), "bad_ch02")
+    return h.filter(no_number).select("item", kind.alias("issue")).unionByName(chan.select("item", of_channel.alias("issue"))).filter("issue is not null")
 
 
 def objects(chan: DataFrame, heads: DataFrame) -> DataFrame:

@@ -36,6 +36,10 @@ HEAD = [
     (17, "item % 5 = 2", "'#EXBPM01 90'"),
     (18, "item % 8 = 1", "'#LNOBJ RR'"),
     (19, "item % 7 = 3", "'#STOP01 48'"),
+    (26, "item % 9 = 4", "'#BPM fast'"),
+    (27, "item % 10 = 3", "'#BPM05 x'"),
+    (28, "item % 12 = 5", "'#STOP07 -'"),
+    (29, "item % 11 = 2", "'#00702:wide'"),
     (20, "item % 3 = 0", "'#00203:0078'"),
     (21, "item % 3 = 1", "'#00408:00010002'"),
     (22, None, "'#00302:0.75'"),
@@ -265,11 +269,16 @@ def cor_artist_key(spark, sf):
     return h.select("item", C.artist_key(F.col("value")).alias("artist_key"))
 
 
+LINE_ISSUES = {
+    "bad_bpm_header": "hx WHERE kind = 'header' AND key = 'BPM' AND TRY_CAST(value AS DOUBLE) IS NULL", "bad_bpm_def": "hx WHERE kind = 'header' AND key LIKE 'BPM__%' AND TRY_CAST(value AS DOUBLE) IS NULL",
+    "bad_stop_def": "hx WHERE kind = 'header' AND key LIKE 'STOP__%' AND TRY_CAST(value AS DOUBLE) IS NULL", "bad_ch02": "cn WHERE channel = '02' AND TRY_CAST(data AS DOUBLE) IS NULL", "measure_gt_999": "cn WHERE measure > 999",
+}
 ISS = {"zero_bpm": "zero_bpm", "negative_bpm": "negative_bpm", "control_flow": "control_flow", "not_single_play": "player <> 1", "mgq_ln": "lntype <> 1", "unparsed_line": "n_unparsed > 0"}
 
 
 @query("cor_issue_hist", f"""WITH {NOTES}, q AS (SELECT *, b = 0 AS zero_bpm, b < 0 AS negative_bpm FROM heads), {', '.join(f"i{n} AS (SELECT '{k}' AS issue, count(*) FILTER (WHERE {e}) AS n FROM q)" for n, (k, e) in enumerate(ISS.items()))}
  {' UNION ALL '.join(f'SELECT * FROM i{n}' for n in range(len(ISS)))} UNION ALL SELECT 'ln_unclosed', count(DISTINCT item) FROM lc WHERE unclosed UNION ALL SELECT 'lnobj_orphan', count(DISTINCT item) FROM t3 WHERE is_end AND depth = 0
+ {' '.join(f"UNION ALL SELECT '{k}', count(DISTINCT item) FROM {src} HAVING count(*) > 0" for k, src in LINE_ISSUES.items())}
  UNION ALL SELECT concat('has_', key), count(DISTINCT item) FROM hx WHERE kind = 'header' AND key IN ('TITLE', 'ARTIST', 'LNOBJ', 'RANK') GROUP BY key""")
 def cor_issue_hist(spark, sf):
     """Charts per issue kind and per present header."""
@@ -282,4 +291,5 @@ def cor_issue_hist(spark, sf):
         return df.select("item").distinct().agg(F.lit(name).alias("issue"), F.count(F.lit(1)).alias("n"))
 
     has = ch.headers.filter(F.col("key").isin("TITLE", "ARTIST", "LNOBJ", "RANK")).groupBy(F.concat(F.lit("has_"), "key").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.unionByName(charts(ch.held.filter("unclosed"), "ln_unclosed")).unionByName(charts(ch.tap.filter("role = 'orphan'"), "lnobj_orphan")).unionByName(has)
+    lines = C.line_issues(ch.cls, ch.chan).groupBy("issue").agg(F.count_distinct("item").alias("n"))
+    return rows.unionByName(lines).unionByName(charts(ch.held.filter("unclosed"), "ln_unclosed")).unionByName(charts(ch.tap.filter("role = 'orphan'"), "lnobj_orphan")).unionByName(has)
