@@ -19,6 +19,8 @@ columns added are ``n_entities`` and ``kinds`` (a column of these names is repla
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,14 @@ FIRST = {
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
 ANY = r"(?<![A-Za-z0-9_@])(?:" + "|".join(KINDS.values()) + ")"
-MAYBE = r"[0-9@]|[=:]|" + "Mr|Ms|Miss|Herr|Frau|Mons|Mada|Mme|Señ|Sr|Госп|sk-|gh[pousr]_"  # every entity holds one of these
+# every entity holds one of these signs or words; looking for them is far cheaper than the pattern
+SIGNS = "[0-9@=:]"
+MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def entities(text: Column) -> Column:
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    maybe = reduce(lambda c, w: c | text.contains(w), MARKS, text.rlike(SIGNS))
+    return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(entity: Column) -> Column:
@@ -65,18 +70,28 @@ def drawn(seed: Column, below: Column) -> Column:
     return F.conv(F.substring(F.sha2(seed, 256), 1, 14), 16, 10).cast("long") % below
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def permuted(number: Column, digits: Column, seed: Column) -> Column:
     """A keyed permutation of the numbers of so many decimal digits (2 to 18), as a zero-padded string."""
-    head = F.floor(digits / 2).cast("int")
-    a, b = F.pow(F.lit(10.0), head).cast("long"), F.pow(F.lit(10.0), digits - head).cast("long")
-    halves = F.struct(F.floor(number / b).cast("long").alias("l"), (number % b).alias("r"))
 
-    def round_(x: Column, i: Column) -> Column:
-        left = F.when(i % 2 == 1, (x["l"] + drawn(F.concat_ws("|", seed, i.cast("string"), x["r"].cast("string")), a)) % a).otherwise(x["l"])
-        right = F.when(i % 2 == 0, (x["r"] + drawn(F.concat_ws("|", seed, i.cast("string"), x["l"].cast("string")), b)) % b).otherwise(x["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
+    def mixed(x: Column) -> Column:
+        head, key = F.floor(x["n"] / 2).cast("int"), x["seed"]
+        tail = x["n"] - head
+        a, b = F.pow(F.lit(10.0), head).cast("long"), F.pow(F.lit(10.0), tail).cast("long")
+
+        def round_(h: Column, i: Column) -> Column:
+            left = F.when(i % 2 == 1, (h["l"] + drawn(F.concat_ws("|", key, i.cast("string"), h["r"].cast("string")), a)) % a).otherwise(h["l"])
+            right = F.when(i % 2 == 0, (h["r"] + drawn(F.concat_ws("|", key, i.cast("string"), h["l"].cast("string")), b)) % b).otherwise(h["r"])
+            return F.struct(left.alias("l"), right.alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), halves, round_, lambda x: F.concat(F.lpad(x["l"].cast("string"), head, "0"), F.lpad(x["r"].cast("string"), digits - head, "0")))
+        halves = F.struct(F.floor(x["number"] / b).cast("long").alias("l"), (x["number"] % b).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), halves, round_, lambda h: F.concat(F.lpad(h["l"].cast("string"), head, "0"), F.lpad(h["r"].cast("string"), tail, "0")))
+
+    return let(F.struct(number.alias("number"), digits.cast("int").alias("n"), seed.alias("seed")), mixed)
 
 
 def only_digits(s: Column) -> Column:
@@ -86,65 +101,74 @@ def only_digits(s: Column) -> Column:
 def with_digits(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced by ``digits`` in order."""
     at = F.sequence(F.lit(1), F.length(form))
-    return F.array_join(F.transform(at, lambda i: F.when(F.substr(form, i, F.lit(1)).rlike("[0-9]"), F.substr(digits, F.length(only_digits(F.substr(form, F.lit(1), i))), F.lit(1))).otherwise(F.substr(form, i, F.lit(1)))), "")
+    return let(digits, lambda d: F.array_join(F.transform(at, lambda i: F.when(F.substr(form, i, F.lit(1)).rlike("[0-9]"), F.substr(d, F.length(only_digits(F.substr(form, F.lit(1), i))), F.lit(1))).otherwise(F.substr(form, i, F.lit(1)))), ""))
 
 
 def scrambled(s: Column, seed: Column, alphabet: str | None = None) -> Column:
     """Letters for letters, digits for digits; with ``alphabet``, its characters for letters and digits."""
-    def one(i: Column) -> Column:
-        c = F.substr(s, i, F.lit(1))
-        n = lambda below: drawn(F.concat_ws("|", seed, i.cast("string")), F.lit(below))
-        if alphabet:
-            return F.when(c.rlike("[A-Za-z0-9]"), F.substr(F.lit(alphabet), (n(len(alphabet)) + 1).cast("int"), F.lit(1))).otherwise(c)
-        return F.when(c.rlike("[0-9]"), n(10).cast("string")).when(c.rlike("[a-z]"), F.chr(n(26) + 97)).when(c.rlike("[A-Z]"), F.chr(n(26) + 65)).otherwise(c)
 
-    return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")).otherwise(s)
+    def word(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            c = F.substr(x["s"], i, F.lit(1))
+            n = lambda below: drawn(F.concat_ws("|", x["seed"], i.cast("string")), F.lit(below))
+            if alphabet:
+                return F.when(c.rlike("[A-Za-z0-9]"), F.substr(F.lit(alphabet), (n(len(alphabet)) + 1).cast("int"), F.lit(1))).otherwise(c)
+            return F.when(c.rlike("[0-9]"), n(10).cast("string")).when(c.rlike("[a-z]"), F.chr(n(26) + 97)).when(c.rlike("[A-Z]"), F.chr(n(26) + 65)).otherwise(c)
+
+        return F.when(F.length(x["s"]) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["s"])), one), "")).otherwise(x["s"])
+
+    return let(F.struct(s.alias("s"), seed.alias("seed")), word)
 
 
 def luhn(digits: Column) -> Column:
     """The check digit for the digits before it."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(digits, n - i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+    def check(s: Column) -> Column:
+        n = F.length(s)
 
-    return (10 - F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10) % 10
+        def add(total: Column, i: Column) -> Column:
+            d = F.substr(s, n - i, F.lit(1)).cast("int")
+            return total + F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+
+        return (10 - F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10) % 10
+
+    return let(digits, check)
 
 
 def surname(word: Column, seed: Column) -> Column:
     """A name of three or four syllables in the word's script."""
     def syllables(first: str, second: str) -> Column:
         a, b = F.split(F.lit(first), " "), F.split(F.lit(second), " ")
-        part = lambda i: F.concat(a[drawn(F.concat_ws("|", seed, i.cast("string"), F.lit("a")), F.size(a).cast("long")).cast("int")], b[drawn(F.concat_ws("|", seed, i.cast("string"), F.lit("b")), F.size(b).cast("long")).cast("int")])
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), part), ""))
+        pick = lambda k, i, which, of: of[drawn(F.concat_ws("|", k, i.cast("string"), F.lit(which)), F.size(of).cast("long")).cast("int")]
+        return let(seed, lambda k: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(pick(k, i, "a", a), pick(k, i, "b", b))), "")))
 
     return F.when(word.rlike(r"\p{IsCyrillic}"), syllables("б в г д ж з к л м н п р с т", "а е и о у я ов ен")).otherwise(syllables("b d f g h k l m n p r s t v", "a e i o u an el or"))
 
 
 def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    kind = kind_of(entity)
     base = F.concat_ws("|", F.lit(key), attempt.cast("string"))
+    return let(F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), only_digits(entity).alias("digits"), base.alias("base")), lambda x: of_kind(x["entity"], x["kind"], x["digits"], x["base"]))
+
+
+def of_kind(entity: Column, kind: Column, digits: Column, base: Column) -> Column:
     seed = F.concat_ws("|", base, kind, F.lower(entity))
-    digits = only_digits(entity)
     n = F.length(digits)
     # cards: first digit, permuted digits, check digit as right or wrong as before
     inner = F.substr(digits, F.lit(2), n - 2)
     body = F.concat(F.substring(digits, 1, 1), permuted(inner.cast("long"), n - 2, F.concat_ws("|", base, F.lit("card"), n.cast("string"))))
-    right = luhn(F.substr(digits, F.lit(1), n - 1))
-    check = (luhn(body) + F.substr(digits, n, F.lit(1)).cast("int") - right + 10) % 10
-    card = with_digits(entity, F.concat(body, check.cast("string")))
+    off = F.substr(digits, n, F.lit(1)).cast("int") - luhn(F.substr(digits, F.lit(1), n - 1))
+    card = let(body, lambda b: with_digits(entity, F.concat(b, ((luhn(b) + off + 10) % 10).cast("string"))))
     tail = F.least(F.lit(8), n - 1)
     phone = with_digits(entity, F.concat(F.substr(digits, F.lit(1), n - tail), permuted(F.substr(digits, n - tail + 1, tail).cast("long"), tail, F.concat_ws("|", base, F.lit("phone"), F.substr(digits, F.lit(1), n - tail)))))
     ssn = with_digits(entity, permuted(digits.cast("long"), n, F.concat_ws("|", base, F.lit("ssn"))))
     octet = lambda i: F.split(entity, r"\.")[i].cast("long")
     low = octet(1) * 65536 + octet(2) * 256 + octet(3)
-    mixed = F.aggregate(
-        F.sequence(F.lit(1), F.lit(6)), F.struct(F.shiftright(low, 12).alias("l"), (low % 4096).alias("r")),
-        lambda x, i: F.struct(x["r"].alias("l"), ((x["l"] + drawn(F.concat_ws("|", base, F.lit("ip"), octet(0).cast("string"), i.cast("string"), x["r"].cast("string")), F.lit(4096))) % 4096).alias("r")),
-        lambda x: x["l"] * 4096 + x["r"],
-    )
-    ip = F.concat_ws(".", octet(0).cast("string"), F.floor(mixed / 65536).cast("string"), (F.floor(mixed / 256) % 256).cast("string"), (mixed % 256).cast("string"))
+
+    def mixed(v: Column) -> Column:
+        step = lambda x, i: F.struct(x["r"].alias("l"), ((x["l"] + drawn(F.concat_ws("|", base, F.lit("ip"), octet(0).cast("string"), i.cast("string"), x["r"].cast("string")), F.lit(4096))) % 4096).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(F.shiftright(v, 12).alias("l"), (v % 4096).alias("r")), step, lambda x: x["l"] * 4096 + x["r"])
+
+    ip = let(let(low, mixed), lambda v: F.concat_ws(".", octet(0).cast("string"), F.floor(v / 65536).cast("string"), (F.floor(v / 256) % 256).cast("string"), (v % 256).cast("string")))
     mail = F.concat(scrambled(F.substring_index(entity, "@", 1), seed), F.lit("@"), scrambled(F.regexp_extract(entity, r"@(.*)\.[^.]*$", 1), F.concat_ws("|", base, F.lower(F.substring_index(entity, "@", -1)))), F.regexp_extract(entity, r"\.[^.@]*$", 0))
     label, value, quote = (F.regexp_extract(entity, r"^([A-Za-z_-]+\s?[=:]\s?[\"']?)([A-Za-z0-9+/_.-]*)([\"']?)$", i) for i in (1, 2, 3))
     told = F.concat_ws("|", base, F.lit("secret"), value)
