@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_schema, mix, shingles, stage, to_batch, unstage, words_of
@@ -124,8 +124,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def band_keys(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, hash of the text, its band keys; none for a text without words) of every row."""
-    ddl = "key long, h string, keys array<long>"
+    """(key, hash of the text, its band keys, none for a text without words, and its number of shingles) of every row."""
+    ddl = "key long, h string, keys array<long>, w long"
     m = bands * rows
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.sha2(body, 256).alias("h"), body.alias("text"))
@@ -144,10 +144,10 @@ def band_keys(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: in
                     for r in range(rows):
                         value = mix(value * _C1 + sig[:, r])
                     keys[s : s + c] = value
-                some = np.diff(words.first) > 0
-                out = [k if x else None for k, x in zip(keys.view(np.int64), some)]
+                size = np.diff(words.first)
+                out = [k if x else None for k, x in zip(keys.view(np.int64), size > 0)]
                 at = words.rows.start
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(out, pa.list_(pa.int64())), pa.array(np.maximum(size - SHINGLE + 1, size > 0))], schema=schema)
 
     return slim.mapInArrow(run, ddl)
 
@@ -184,11 +184,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every end of an edge: root is the smallest id of the connected component.
 
     Large-star and small-star steps: every node links its larger neighbours, then all its smaller ones, to the smallest neighbour.
-    Both are aggregations and joins on node ids; the number of rounds grows with the logarithm of the size.
+    Both are aggregations and joins on node ids; the number of rounds grows with the logarithm of the size.  It ends when
+    every node but the roots has one link, to a root.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x != y").distinct(), "links")
-    mark = None
     while True:
+        several = now.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+        inner = now.select("x").join(now.select(F.col("y").alias("x")), "x", "left_semi")
+        if several.union(inner).isEmpty():
+            return now.select(F.col("x").alias("id"), F.col("y").alias("root"))
         both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
         large = both.filter("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x != y").distinct()
@@ -196,51 +200,52 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "x")
         small = small.select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x != y").union(low2.select("x", F.col("m").alias("y"))).distinct()
         new = stage(small, "links")
-        size = new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         unstage(now)
         now = new
-        if tuple(size) == mark:
-            return now.select(F.col("x").alias("id"), F.col("y").alias("root"))
-        mark = tuple(size)
+
+
+CLASSES = 32  # classes of a bucket that meet the others in one round
 
 
 def near_classes(table: DataFrame, texts_of, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links, classes): verified links (a, b, similarity), and (id, root) of linked ids.
 
-    ``table`` has (id, band, bucket) of distinct texts; ``texts_of`` gives (id, text) for a table of ids.
+    ``table`` has (id, band, bucket, w) of distinct texts, w being the shingles in a text; ``texts_of`` gives (id, text) for a
+    table of ids.  A pair whose sizes alone rule the similarity out is never verified.
     """
-    first = table.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a != _z").drop("_z")
-    buckets = stage(table.join(first, ["band", "bucket"]), "buckets")  # members of buckets with two texts or more
-    pairs = buckets.filter("id != a").select("a", F.col("id").alias("b")).distinct()
+    def fits(p: str, q: str) :
+        return F.least(p, q) >= least * F.greatest(p, q) - 1e-9
+
+    bucket = ["band", "bucket"]
+    first = table.groupBy(*bucket).agg(F.min(F.struct("id", "w")).alias("_a"), F.max("id").alias("_z")).filter("_a.id != _z").select(*bucket, F.col("_a.id").alias("a"), F.col("_a.w").alias("wa"))
+    buckets = stage(table.join(first, bucket), "buckets")  # members of buckets with two texts or more
+    fresh = stage(buckets.filter("id != a").filter(fits("w", "wa")).select("a", F.col("id").alias("b")).distinct(), "pairs")
     involved = stage(texts_of(buckets.select("id").distinct()), "near-texts")
-    tried = stage(pairs, "pairs")
-    links = stage(verified(tried, involved, least), "near-links")
+    tried, links = fresh, stage(verified(fresh, involved, least), "near-links")
     while True:
-        classes = components(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        # members of a bucket that are in different classes: the first of each class is compared with the classes after it
-        members = buckets.select("band", "bucket", "id").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = members.groupBy("band", "bucket").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r != _s").drop("_s")
-        open_ = members.join(mixed, ["band", "bucket"]).withColumn("_in", F.col("root") == F.col("_r"))
-        left = open_.filter("_in").select("band", "bucket", F.col("id").alias("p"))
-        right = open_.filter("not _in").select("band", "bucket", F.col("id").alias("q"))
-        fresh = left.join(right, ["band", "bucket"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = stage(fresh, "pairs")
-        if fresh.isEmpty():
-            # what the first class of each bucket does not meet: drop those members and look at the rest
-            rest = stage(open_.filter("not _in").select("band", "bucket", "id"), "buckets")
-            if rest.isEmpty():
-                return links, classes
-            buckets = rest
-            continue
-        more = stage(verified(fresh, involved, least), "near-links")
-        tried, links = tried.union(fresh), links.union(more)
+        classes = stage(components(links), "near-classes")
+        # members of a bucket that are in different classes still have to be compared, class by class
+        members = buckets.select(*bucket, "id", "w").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = members.groupBy(*bucket).agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r != _s").select(*bucket)
+        open_ = members.join(mixed, bucket).withColumn("_k", F.dense_rank().over(Window.partitionBy(*bucket).orderBy("root")))
+        buckets = stage(open_, "buckets")
+        if buckets.isEmpty():
+            return links, classes
+        left = buckets.filter(F.col("_k") <= CLASSES).select(*bucket, F.col("id").alias("p"), F.col("w").alias("wp"), F.col("_k").alias("_kp"))
+        right = buckets.select(*bucket, F.col("id").alias("q"), F.col("w").alias("wq"), F.col("_k").alias("_kq"))
+        met = left.join(right, bucket).filter("_kp < _kq").filter(fits("wp", "wq"))
+        fresh = stage(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            tried, links = tried.union(fresh), links.union(stage(verified(fresh, involved, least), "near-links"))
+        # the first classes of each bucket have met all others: only what comes after them is left
+        buckets = buckets.filter(F.col("_k") > CLASSES).select(*bucket, "id", "w")
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): (key, h) of every row, and (h, class_id, n_links) of every distinct text."""
     rows = stage(band_keys(docs, key, text), "bands")
-    groups = stage(rows.groupBy("h").agg(F.min("key").alias("rep"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("h")), "texts")
-    table = groups.select("id", F.posexplode("keys").alias("band", "bucket"))
+    groups = stage(rows.groupBy("h").agg(F.min("key").alias("rep"), F.first("keys").alias("keys"), F.first("w").alias("w")).withColumn("id", F.xxhash64("h")), "texts")
+    table = groups.select("id", "w", F.posexplode("keys").alias("band", "bucket"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -265,11 +270,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest key of their class, each key once.
 
-    A row without a key stays only when no row of its class has one.
+    Of rows with that key but different texts of the class, the text with the smallest hash stays.  A row without a key stays only when no row of its class has one.
     """
     rows, texts = text_classes(docs, key, text, least)
-    keep = rows.join(texts, "h").filter("key = class_id").select("key").distinct()
-    first = docs.join(keep.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key])
-    keyless = texts.filter("class_id is null").select("h")
-    rest = docs.filter(F.col(f"`{key}`").isNull()).withColumn("_h", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).join(keyless.withColumnRenamed("h", "_h"), "_h", "left_semi")
-    return first.union(rest.select(*docs.columns))
+    keep = rows.join(texts, "h").filter("key = class_id").groupBy("key").agg(F.min("h").alias("_h"))
+    hashed = docs.withColumn("_h", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    first = hashed.join(keep.withColumnRenamed("key", key), [key, "_h"], "left_semi").dropDuplicates([key])
+    keyless = texts.filter("class_id is null").select(F.col("h").alias("_h"))
+    rest = hashed.filter(F.col(f"`{key}`").isNull()).join(keyless, "_h", "left_semi")
+    return first.select(*docs.columns).union(rest.select(*docs.columns))
