@@ -7,8 +7,8 @@ into one of the signature's places; a place keeps the earliest point.  Two multi
 to their weighted Jaccard similarity.  Only points before the time by which all places are surely filled are made: about
 ``m log m`` of them however long the text; the time is doubled where a place stays empty.
 
-Texts that are equal in words collapse first.  Signatures are banded; a bucket (band, key) links all members to its smallest
-one (no pairs inside a bucket).  Linked pairs are verified by exact multiset overlap.  Members whose link fails are linked anew among
+Texts that are equal in words collapse first.  Signatures are banded; a bucket (band, key) links all members to one leader
+(no pairs inside a bucket).  Linked pairs are verified by exact multiset overlap.  Members whose link fails are linked anew among
 themselves, and members of one bucket that are still in different classes are compared class by class, until no
 unverified candidate between two classes is left.  Classes are connected components, found by pointer jumping on tables.
 
@@ -217,9 +217,15 @@ def near_classes(table: DataFrame, texts_of, least: float = SIMILARITY) -> tuple
         return F.least(p, q) >= least * F.greatest(p, q) - 1e-9
 
     bucket = ["band", "bucket"]
-    first = table.groupBy(*bucket).agg(F.min(F.struct("id", "w")).alias("_a"), F.max("id").alias("_z")).filter("_a.id != _z").select(*bucket, F.col("_a.id").alias("a"), F.col("_a.w").alias("wa"))
-    buckets = stage(table.join(first, bucket), "buckets")  # members of buckets with two texts or more
-    fresh = stage(buckets.filter("id != a").filter(fits("w", "wa")).select("a", F.col("id").alias("b")).distinct(), "pairs")
+    several = table.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stage(table.join(several, bucket), "buckets")  # members of buckets with two texts or more
+    # the leader of a bucket is its member with the most company in all bands: of copies with own changes, that is the text they come from
+    company = shared.groupBy("id").agg(F.sum("n").alias("n_all"))
+    ranked = shared.drop("n").join(company, "id")
+    first = ranked.groupBy(*bucket).agg(F.max(F.struct("n_all", "id", "w")).alias("_a")).select(*bucket, F.col("_a.id").alias("a"), F.col("_a.w").alias("wa"))
+    buckets = stage(shared.drop("n").join(first, bucket), "buckets")
+    unstage(shared)
+    fresh = stage(buckets.filter("id != a").filter(fits("w", "wa")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
     involved = stage(texts_of(buckets.select("id").distinct()), "near-texts")
     tried, links = fresh, stage(verified(fresh, involved, least), "near-links")
     while True:
