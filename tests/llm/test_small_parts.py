@@ -182,6 +182,48 @@ def test_decontamination_reaches_its_recall():
     assert found >= 0.9 * 180 and clean == 0
 
 
+def edited(r, words, vocabulary):
+    words = list(words)
+    for _ in range(len(words) // 5):
+        at, x = r.randrange(len(words)), r.randrange(3)
+        words[at : at + 1] = [[r.choice(vocabulary)], [words[at], r.choice(vocabulary)], []][x]
+    return words
+
+
+@pytest.mark.parametrize("length,most", [(130, None), (260, None), (600, None), (130, 1), (40, 1)])
+def test_decontamination_of_long_items_reaches_its_recall(length, most, monkeypatch):
+    if most:  # too few walks: the exact search takes over and loses none
+        monkeypatch.setattr(decontam, "MOST_WALKS", most)
+    r = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(length)).encode()) for i in range(12)]
+    index = decontam.BenchmarkIndex(items, 0.8, 0.95, 8)
+    found = 0
+    for i, text in items * 8:
+        doc = [r.choice(vocabulary) for _ in range(r.randint(0, 300))] + edited(r, text.decode().split(), vocabulary) + [r.choice(vocabulary) for _ in range(r.randint(0, 300))]
+        h = common.word_hashes(" ".join(doc).encode(), plain=True)
+        found += any(index.ids[m[1]] == i for m in index.matches(h, np.array([0, len(h)])))
+    assert found == 96 if most else found >= 0.93 * 96
+    assert bool(index.runs) == bool(most)
+
+
+def test_short_items_are_found_word_for_word():
+    index = decontam.BenchmarkIndex([(1, b"Who wrote it?"), (2, b"seven"), (3, b""), (4, b"a b c d e f g")], 0.8, 0.95, 8)
+    docs = [b"then who wrote it", b"who wrote", b"it seven", b"", b"a b c d e x g", b"x a b c d e f g"]
+    h = [common.word_hashes(d, plain=True) for d in docs]
+    got = index.matches(np.concatenate(h), np.cumsum([0] + [len(x) for x in h]))
+    assert [(d, index.ids[k], at, n) for d, k, at, n in got] == [(0, 1, 1, 0), (2, 2, 1, 0), (5, 4, 1, 0)]
+
+
+def test_items_cut_at_the_start_of_a_document():
+    """The item's place then lies before the document, in the one in front of it."""
+    r = random.Random(2)
+    item = [f"w{r.randrange(400)}" for _ in range(50)]
+    index = decontam.BenchmarkIndex([(1, " ".join(item).encode())], 0.8, 0.95, 8)
+    h = [common.word_hashes(" ".join(d).encode(), plain=True) for d in ([f"x{k}" for k in range(70)], item[6:], [f"y{k}" for k in range(9)])]
+    assert [m[:2] for m in index.matches(np.concatenate(h), np.cumsum([0] + [len(x) for x in h]))] == [(1, 0)]
+
+
 def test_fm_index_finds_the_smallest_label():
     r = np.random.default_rng(0)
     for _ in range(20):

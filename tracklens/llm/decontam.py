@@ -5,14 +5,16 @@ bit that depends on j and that word tells whether the cursor moves on.  Two sequ
 into step again after an edit, so their outputs differ in few places: edit distance becomes Hamming distance.  A hash of some
 sampled output places is a key of an LSH; several walks with own bits and places are repeated until the target recall.
 
-Windows have the size of an item, rounded down to a power of two (the size class ``w``).  Documents give one window every
-``w / 2`` words, items give windows at every offset, so a copied item always meets its own window in step.  The number of
-walks of a class is found from the items themselves: windows with random edits are embedded until ``recall`` is reached.
+Items are classed by their size, rounded down to a power of two; windows have that size, but at most ``WIDEST`` words (``w``), so a
+long item is looked for by several windows of its own.  Documents give one window every ``w / 2`` words, items give windows at
+every offset, so a copied item always meets its own window in step.  The number of walks of a class is found from the
+items themselves: windows with random edits are embedded until ``recall`` is reached.  Where ``MOST_WALKS`` do not reach it, the
+items of the class are looked for exactly: of ``k + 1`` pieces of an item, ``k`` edits leave one piece as it is.
 Every candidate is verified by the exact word edit distance between the item and the part of the document around it; it counts
 when the distance is at most ``(1 - similarity)`` of the item's words.
 
-Words are compared without case and outer punctuation.  Null and empty texts match nothing, and so do items with fewer than
-``least_words`` words, which cannot be told from ordinary language.  Repeated rows are judged one by one.  The benchmark is the stated
+Words are compared without case and outer punctuation.  Null and empty texts and items without words match nothing.  Items with
+fewer than ``least_words`` words count only where their words stand in a row without any edit.  Repeated rows are judged one by one.  The benchmark is the stated
 query set: it is read in blocks of bounded size, each against all documents; documents are never shuffled.
 """
 
@@ -31,7 +33,8 @@ from .common import arrow_schema, mix, to_batch, word_hashes, words_of
 BLOCK_ITEMS = 20_000  # items of one pass
 RUN_BYTES = 600_000  # text embedded at once: its arrays stay in the processor's cache
 PLACES = 4  # sampled places of a key
-MOST_WALKS = 24
+WIDEST = 64  # words of a window: the sampled places of a wider one seldom all escape the edits
+MOST_WALKS = 24  # a class that needs more is searched exactly
 TABLE_BITS = 18
 
 
@@ -51,6 +54,15 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, seed: int, places: tuple[int, .
     return mix(key)
 
 
+def run_keys(h: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the ``length`` words from each place of ``h`` on."""
+    n = max(0, len(h) - length + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(length):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return mix(key)
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edits between the whole item and any part of ``text``, and the end of such a part."""
     m = len(text)
@@ -77,34 +89,59 @@ class SizeClass:
 
 class BenchmarkIndex:
     def __init__(self, items: list[tuple[object, bytes]], similarity: float, recall: float, least_words: int, seed: int = 11):
+        if similarity <= 0:
+            raise ValueError("at similarity 0 every document holds every item")
         self.ids, self.words = [], []
         for i, text in items:
             w = word_hashes(text, plain=True)
-            if len(w) >= max(1, least_words):
+            if len(w):
                 self.ids.append(i)
                 self.words.append(w)
         self.sets = [frozenset(w.tolist()) for w in self.words]
-        self.allowed = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
+        self.allowed = [int((1 - similarity) * len(w) + 1e-9) if len(w) >= least_words else 0 for w in self.words]
         self.classes = []
-        by_width: dict[int, list[int]] = {}
+        by_size: dict[int, list[int]] = {}
+        exactly = []
         for k, w in enumerate(self.words):
-            by_width.setdefault(1 << (len(w).bit_length() - 1), []).append(k)
+            if len(w) < least_words:
+                exactly.append(k)
+            else:
+                by_size.setdefault(1 << (len(w).bit_length() - 1), []).append(k)
         rng = random.Random(seed)
-        for width, members in sorted(by_width.items()):
+        for size, members in sorted(by_size.items()):
+            width = min(size, WIDEST)
             c = SizeClass(width, max(1, width // 2))
             for _ in range(MOST_WALKS):
                 reach = max(1, width)
                 places = tuple(sorted(rng.sample(range(reach), min(PLACES, reach))))
                 c.walks.append((rng.getrandbits(63) | 1, places))
-            c.walks = c.walks[: self._walks_for(c, members, recall, rng)]
+            walks = self._walks_for(c, members, recall, rng)
+            if walks is None:
+                exactly += members
+                continue
+            c.walks = c.walks[:walks]
             self._fill(c, members)
             self.classes.append(c)
+        self.runs = self._runs(exactly)
+
+    def _runs(self, members: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(words of a piece, sorted keys, (item, offset) in that order): one piece more than an item has edits."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in members:
+            length = len(self.words[k]) // (self.allowed[k] + 1)
+            keys = run_keys(self.words[k], length)
+            found.setdefault(length, []).extend((int(keys[o]), k, o) for o in range(0, length * (self.allowed[k] + 1), length))
+        out = []
+        for length, rows in sorted(found.items()):
+            rows.sort()
+            out.append((length, np.array([x for x, *_ in rows], np.uint64), np.array([x for _, *x in rows], np.int64)))
+        return out
 
     def _offsets(self, c: SizeClass, n: int) -> int:
         return n - c.width + c.step  # a window keeps at least width - step words
 
-    def _walks_for(self, c: SizeClass, members: list[int], recall: float, rng: random.Random) -> int:
-        """Walks until the share ``recall`` of edited items meets a window of its own, on at most 300 trials."""
+    def _walks_for(self, c: SizeClass, members: list[int], recall: float, rng: random.Random) -> int | None:
+        """Walks until the share ``recall`` of edited items meets a window of its own, on 300 trials; None where all are too few."""
         trials = []
         for _ in range(300):
             k = rng.choice(members)
@@ -129,7 +166,7 @@ class BenchmarkIndex:
                     open_.discard(t)
             if len(open_) <= (1 - recall) * len(trials):
                 return r
-        return MOST_WALKS
+        return None
 
     def _padded(self, w: np.ndarray, c: SizeClass) -> np.ndarray:
         return np.concatenate([w, np.zeros(c.width + 1, np.uint64)])
@@ -154,12 +191,13 @@ class BenchmarkIndex:
 
         ``hashes`` holds the words of several documents, ``begin`` where each starts and the last one ends.
         """
-        if not self.classes or not len(hashes):
+        if not self.words or not len(hashes):
             return []
         size = np.diff(begin)
-        h = np.concatenate([hashes, np.zeros(max(c.width for c in self.classes) + 2, np.uint64)])
+        h = np.concatenate([hashes, np.zeros(max((c.width for c in self.classes), default=0) + 2, np.uint64)])
         local = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
-        found: set[tuple[int, int]] = set()
+        doc = np.repeat(np.arange(len(size)), size)
+        found: set[tuple[int, int, int]] = set()  # (item, where it would start, document of the window)
         for c in self.classes:
             starts = np.flatnonzero(local % c.step == 0)
             for (seed, places), keys, where, table in zip(c.walks, c.keys, c.where, c.tables):
@@ -170,12 +208,17 @@ class BenchmarkIndex:
                 a, b = np.searchsorted(keys, got[hit], "left"), np.searchsorted(keys, got[hit], "right")
                 for at, x, y in zip(starts[hit[b > a]], a[b > a], b[b > a]):
                     for k, o in where[x:y]:
-                        found.add((int(k), int(at - o)))  # where the item would start
+                        found.add((int(k), int(at - o), int(doc[at])))
+        for length, keys, where in self.runs:
+            got = run_keys(hashes, length)
+            a = np.searchsorted(keys, got, "left")
+            hit = np.flatnonzero(keys[np.minimum(a, len(keys) - 1)] == got)
+            hit = hit[doc[hit] == doc[hit + length - 1]]
+            for at, x, y in zip(hit, a[hit], np.searchsorted(keys, got[hit], "right")):
+                for k, o in where[x:y]:
+                    found.add((int(k), int(at - o), int(doc[at])))
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        for k, at in sorted(found):
-            d = int(np.searchsorted(begin, max(at, 0), "right")) - 1
-            while size[d] == 0:
-                d += 1
+        for k, at, d in sorted(found):
             item, slack = self.words[k], self.allowed[k]
             if (d, k) in out and out[d, k][0] == 0:
                 continue
