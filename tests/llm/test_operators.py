@@ -268,6 +268,16 @@ def test_near_classes_match_brute_force(spark, odd):
     assert kept.filter("doc_id is null").count() == len({t for k, t in rows if k is None and truth[t or ""][0] is None})
 
 
+def test_one_of_each_class_where_keys_repeat(spark):
+    """One key on two unrelated texts, each with a near copy under a larger key, and texts without keys."""
+    r = random.Random(21)
+    a, b, c, d = (words(r, 120) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (1, b + " again"), (None, c), (None, c + " more"), (None, d), (4, d + " more")]
+    got = [tuple(x) for x in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    first = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(got, key=repr) == sorted([(1, a), (1, first(b, b + " again")), (None, first(c, c + " more")), (4, d + " more")], key=repr)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1060)]

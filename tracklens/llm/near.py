@@ -13,7 +13,8 @@ themselves, and members of one bucket that are still in different classes are co
 unverified candidate between two classes is left.  Classes are connected components, found by pointer jumping on tables.
 
 Null and empty texts hold no shingle: they are never near anything and each has a class of its own, while equal ones collapse
-like all other equal texts.  Repeated rows (equal keys) keep one row each.  The class id is the smallest key of the class.
+like all other equal texts.  The class id is the smallest key of the class; where one key stands on unrelated texts, their
+classes have the same id and are told apart by their root.
 """
 
 from __future__ import annotations
@@ -248,7 +249,10 @@ def near_classes(table: DataFrame, texts_of, least: float = SIMILARITY) -> tuple
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): (key, h) of every row, and (h, class_id, n_links) of every distinct text."""
+    """(rows, texts): (key, h) of every row, and (h, root, rep, class_id, n_links) of every distinct text.
+
+    ``root`` tells classes apart, ``rep`` is the smallest key of the text, and ``class_id`` that of its class.
+    """
     rows = stage(band_keys(docs, key, text), "bands")
     groups = stage(rows.groupBy("h").agg(F.min("key").alias("rep"), F.first("keys").alias("keys"), F.first("w").alias("w")).withColumn("id", F.xxhash64("h")), "texts")
     table = groups.select("id", "w", F.posexplode("keys").alias("band", "bucket"))
@@ -264,7 +268,7 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = groups.select("id", "h", "rep").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least_key = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return rows.select("key", "h"), known.join(least_key, "root").join(degree, "id", "left").select("h", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("key", "h"), known.join(least_key, "root").join(degree, "id", "left").select("h", "root", "rep", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -274,14 +278,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their class, each key once.
+    """One row of every class: the one with the smallest key, of several texts with that key the text with the smallest hash.
 
-    Of rows with that key but different texts of the class, the text with the smallest hash stays.  A row without a key stays only when no row of its class has one.
+    A row without a key stays only when no row of its class has one.  A key that stands on texts of several classes stays once for each.
     """
-    rows, texts = text_classes(docs, key, text, least)
-    keep = rows.join(texts, "h").filter("key = class_id").groupBy("key").agg(F.min("h").alias("_h"))
-    hashed = docs.withColumn("_h", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
-    first = hashed.join(keep.withColumnRenamed("key", key), [key, "_h"], "left_semi").dropDuplicates([key])
-    keyless = texts.filter("class_id is null").select(F.col("h").alias("_h"))
-    rest = hashed.filter(F.col(f"`{key}`").isNull()).join(keyless, "_h", "left_semi")
-    return first.select(*docs.columns).union(rest.select(*docs.columns))
+    _, texts = text_classes(docs, key, text, least)
+    by = ["_none", "_k", "_h"]
+    own = texts.select("root", F.col("rep").isNull().alias("_none"), F.coalesce("rep", F.lit(0)).alias("_k"), F.col("h").alias("_h"))
+    keep = own.groupBy("root").agg(F.min(F.struct(*by)).alias("_c")).select("_c.*")
+    k = F.col(f"`{key}`").cast("long")
+    hashed = docs.withColumns({"_none": k.isNull(), "_k": F.coalesce(k, F.lit(0)), "_h": F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)})
+    return hashed.join(keep, by, "left_semi").dropDuplicates(by).select(*[F.col(f"`{c}`") for c in docs.columns])
