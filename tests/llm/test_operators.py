@@ -156,6 +156,19 @@ def test_surrogates(spark):
     assert first in pii.FIRST["f", "latin"].split() and "Version 2.0, 1999." in text[3]
 
 
+def test_a_surname_has_one_surrogate_however_many_first_names(spark):
+    firsts = [f"{a}{b}a" for a in ("Ba", "De", "Fi", "Go", "Ku") for b in "bdfgk"]
+    rows = [(k, f"Then Mrs. {x} Kraus came.") for k, x in enumerate(firsts)] + [(90, "Mr. Kraus and Mr. KRAUS"), (91, "MS. X and Ms. Babadd Kraus"), (92, "Dr. Emil Kraus"), (93, "Ms. BABA KRAUS"), (94, "Mrs. Baba Weber")]
+    text = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = [text[k].split()[2:4] for k in range(len(firsts))]
+    family = {n[1] for n in names}
+    assert len(family) == 1 and len({n[0] for n in names}) == len(firsts)
+    assert all(part in pii.FIRST["f", "latin"].split() for n in names for part in n[0].split("-"))
+    (family,) = family
+    assert text[90] == f"Mr. {family} and Mr. {family}" and text[91].endswith(f" {family}") and text[92].endswith(f" {family}") and "Emil Kraus" not in text[92]
+    assert text[93] == f"Ms. {names[0][0]} {family}" and not text[94].endswith(f" {family}")
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a first attempt that maps many entities to one value or to entities of the table, all still differ."""
     real = pii.surrogate

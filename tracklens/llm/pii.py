@@ -6,12 +6,16 @@ Entities are found by one pattern; the text between them stays as it is.  Each e
   (a Feistel network), so different numbers of one format get different surrogates; separators, country codes, the
   card's first digit and whether its check digit is right stay;
 * mail addresses, access keys and secrets get letters for letters, digits for digits, hex for hex, from a keyed hash;
-* names behind a title get a name of the gender the title tells and of the script of the name; a surname has
-  one surrogate wherever it stands, so mentions stay linked.
+* names behind a title get a name of the gender the title tells (Dr and Prof: of either) and of the script of the name; a surname
+  has one surrogate wherever it stands, in upper or lower case, so mentions stay linked.
+
+Names without one of the titles of ``KINDS``, third names and post addresses are not looked for.
 
 The same entity has the same surrogate in all documents (coreference).  Collision check: all distinct entities of the
 table are gathered, and those whose surrogate is also an entity of the table, or the surrogate of another one, draw
-again with another attempt number until none is left.  Such exceptions are rare; they join back on a hash of the text.
+again with another attempt number until none is left.  Of persons, surnames are settled first, each for all its mentions, and
+then the first names of each surname, which become double names and longer as more are needed; mentions of one name in
+other case or behind another title of the gender are one person.  Exceptions join back on a hash of the text.
 
 Null and empty texts stay as they are and have no entities.  Repeated rows get the same result.  Other columns are kept; the
 columns added are ``n_entities`` and ``kinds`` (a column of these names is replaced).
@@ -36,7 +40,7 @@ KINDS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "card": r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])|[0-9]{13,19}(?![0-9])",
-    "person": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "person": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Dr|Prof|Professor|Доктор|Профессор)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 # First names by gender and script.
 FIRST = {
@@ -45,11 +49,13 @@ FIRST = {
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга",
     ("m", "cyrillic"): "Антон Борис Иван Максим Никита Олег Павел Юрий",
 }
+FIRST |= {("n", s): f"{FIRST['f', s]} {FIRST['m', s]}" for s in ("latin", "cyrillic")}
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
+EITHER = r"^(?:Dr|Prof|Professor|Доктор|Профессор)\b"
 ANY = r"(?<![A-Za-z0-9_@])(?:" + "|".join(KINDS.values()) + ")"
 # every entity holds one of these signs or words; looking for them is far cheaper than the pattern
 SIGNS = "[0-9@=:]"
-MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+MARKS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "Dr", "Prof", "Доктор", "Профессор", "sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def entities(text: Column) -> Column:
@@ -135,22 +141,50 @@ def luhn(digits: Column) -> Column:
     return let(digits, check)
 
 
-def surname(word: Column, seed: Column) -> Column:
-    """A name of three or four syllables in the word's script."""
+def surname(word: Column, seed: Column, more: Column) -> Column:
+    """A name of four syllables and ``more`` in the word's script."""
     def syllables(first: str, second: str) -> Column:
         a, b = F.split(F.lit(first), " "), F.split(F.lit(second), " ")
         pick = lambda k, i, which, of: of[drawn(F.concat_ws("|", k, i.cast("string"), F.lit(which)), F.size(of).cast("long")).cast("int")]
-        return let(seed, lambda k: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(pick(k, i, "a", a), pick(k, i, "b", b))), "")))
+        return let(seed, lambda k: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), more + 4), lambda i: F.concat(pick(k, i, "a", a), pick(k, i, "b", b))), "")))
 
     return F.when(word.rlike(r"\p{IsCyrillic}"), syllables("б в г д ж з к л м н п р с т", "а е и о у я ов ен")).otherwise(syllables("b d f g h k l m n p r s t v", "a e i o u an el or"))
 
 
+def gender_of(entity: Column) -> Column:
+    return F.when(entity.rlike(FEMALE), "f").when(entity.rlike(EITHER), "n").otherwise("m")
+
+
+def tagged(key: str, attempt: Column) -> Column:
+    return F.concat_ws("|", F.lit(key), attempt.cast("string"))
+
+
+def family_name(last: Column, key: str, attempt: Column) -> Column:
+    return surname(last, F.concat_ws("|", tagged(key, attempt), F.lit("surname"), F.lower(last)), attempt)
+
+
+def first_name(name: Column, gender: Column, key: str, attempt: Column) -> Column:
+    """A first name; from attempt n on, n + 1 of them with hyphens."""
+    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    out = None
+    for (g, s), names in FIRST.items():
+        of = F.split(F.lit(names), " ")
+        seed = F.concat_ws("|", tagged(key, attempt), F.lit("first"), F.lit(g), F.lower(name))
+
+        def pick(i: Column) -> Column:
+            return of[drawn(F.when(i == 0, seed).otherwise(F.concat_ws("|", seed, i.cast("string"))), F.size(of).cast("long")).cast("int")]  # noqa: B023
+
+        one = F.array_join(F.transform(F.sequence(F.lit(0), attempt), pick), "-")
+        out = F.when((gender == g) & (script == s), one) if out is None else out.when((gender == g) & (script == s), one)
+    return out
+
+
 def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    base = F.concat_ws("|", F.lit(key), attempt.cast("string"))
-    return let(F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), only_digits(entity).alias("digits"), base.alias("base")), lambda x: of_kind(x["entity"], x["kind"], x["digits"], x["base"]))
+    base = tagged(key, attempt)
+    return let(F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), only_digits(entity).alias("digits"), base.alias("base")), lambda x: of_kind(x["entity"], x["kind"], x["digits"], x["base"], key, attempt))
 
 
-def of_kind(entity: Column, kind: Column, digits: Column, base: Column) -> Column:
+def of_kind(entity: Column, kind: Column, digits: Column, base: Column, key: str, attempt: Column) -> Column:
     seed = F.concat_ws("|", base, kind, F.lower(entity))
     n = F.length(digits)
     # cards: first digit, permuted digits, check digit as right or wrong as before
@@ -178,15 +212,8 @@ def of_kind(entity: Column, kind: Column, digits: Column, base: Column) -> Colum
     access = F.concat(prefix, F.when(prefix.rlike("^A"), scrambled(rest, seed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(scrambled(rest, seed)))
     iban = F.concat(F.substring(entity, 1, 2), scrambled(F.substr(entity, F.lit(3), F.length(entity)), seed))
     words = F.split(entity, " ")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(entity.rlike(FEMALE), "f").otherwise("m")
-    first = None
-    for (g, s), names in FIRST.items():
-        one = F.split(F.lit(names), " ")[drawn(F.concat_ws("|", base, F.lit("first"), F.lit(g), F.lower(words[1])), F.lit(len(names.split()))).cast("int")]
-        first = F.when((gender == g) & (script == s), one) if first is None else first.when((gender == g) & (script == s), one)
-    last = F.element_at(words, -1)
-    family = surname(last, F.concat_ws("|", base, F.lit("surname"), F.lower(last)))
-    person = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], first, family)).otherwise(F.concat_ws(" ", words[0], family))
+    family = family_name(F.element_at(words, -1), key, attempt)
+    person = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], first_name(words[1], gender_of(entity), key, attempt), family)).otherwise(F.concat_ws(" ", words[0], family))
     out = {"email": mail, "secret": secret, "access_key": access, "iban": iban, "ip": ip, "ssn": ssn, "phone": phone, "card": card, "person": person}
     result = None
     for k, v in out.items():
@@ -194,26 +221,60 @@ def of_kind(entity: Column, kind: Column, digits: Column, base: Column) -> Colum
     return result.otherwise(scrambled(entity, seed))
 
 
-def exceptions(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(entity, surrogate) of entities whose first surrogate is taken; staged, most often empty."""
-    found = docs.select(F.explode(entities(F.col(f"`{text}`"))).alias("entity")).distinct()
-    known = stage(found.withColumn("surrogate", surrogate(F.col("entity"), key, F.lit(0))), "pii-entities")
-    taken_by_entity = known.join(known.select(F.col("entity").alias("surrogate")).distinct(), "surrogate", "left_semi").select("entity", "surrogate")
+def redrawn(known: DataFrame, again) -> DataFrame | None:
+    """(entity, surrogate, attempt) of those rows of ``known`` whose surrogate is taken; ``again(rows, attempt)`` draws anew.
+
+    ``known`` has (entity, surrogate) of all entities, and what ``again`` reads.
+    """
+    taken_by_entity = known.join(known.select(F.col("entity").alias("surrogate")).distinct(), "surrogate", "left_semi").select("entity")
     several = known.groupBy("surrogate").agg(F.count("*").alias("_n"), F.min("entity").alias("_first")).filter("_n > 1")
-    taken_by_other = known.join(several, "surrogate").filter("entity != _first").select("entity", "surrogate")
-    bad = stage(taken_by_entity.union(taken_by_other).select("entity").distinct(), "pii-taken")
+    taken_by_other = known.join(several, "surrogate").filter("entity != _first").select("entity")
+    bad = stage(known.join(taken_by_entity.union(taken_by_other).distinct(), "entity", "left_semi"), "pii-taken")
     settled, attempt = None, 0
     while not bad.isEmpty():
         attempt += 1
-        tried = stage(bad.withColumn("surrogate", surrogate(F.col("entity"), key, F.lit(attempt))), "pii-tried")
+        tried = stage(again(bad, F.lit(attempt)), "pii-tried")
         used = known.join(bad, "entity", "left_anti").select("surrogate").union(known.select("entity"))
         if settled is not None:
             used = used.union(settled.select("surrogate"))
         once = tried.groupBy("surrogate").agg(F.min("entity").alias("entity"))
-        good = stage(once.join(used.distinct(), "surrogate", "left_anti").select("entity", "surrogate"), "pii-settled")
+        good = stage(once.join(used.distinct(), "surrogate", "left_anti").select("entity", "surrogate", F.lit(attempt).alias("attempt")), "pii-settled")
         settled = good if settled is None else settled.union(good)
         bad = stage(bad.join(good, "entity", "left_anti"), "pii-taken")
-    return settled if settled is not None else bad.withColumn("surrogate", F.lit(""))
+    return settled
+
+
+def person_exceptions(found: DataFrame, key: str) -> DataFrame | None:
+    """(entity, surrogate) of persons whose surname or first name was redrawn: every mention of the name is there."""
+    words, no = F.split("entity", " "), F.lit(0)
+    full = F.when(F.size(words) > 2, F.lower(words[1]))
+    rows = stage(found.select("entity", words[0].alias("title"), gender_of(F.col("entity")).alias("gender"), full.alias("first"), F.lower(F.element_at(words, -1)).alias("last")), "pii-persons")
+    if rows.isEmpty():
+        return None
+    put = lambda d, attempt: d.withColumn("surrogate", F.lower(family_name(F.col("entity"), key, attempt)))
+    lasts = redrawn(stage(put(rows.select(F.col("last").alias("entity")).distinct(), no), "pii-surnames"), put)
+    # the surname's own surrogate is distinct: first names have to differ only among those of one surname and gender
+    name = lambda first: F.concat_ws(" ", "gender", first, "last")
+    call = lambda d, attempt: d.withColumn("surrogate", name(F.lower(first_name(F.col("first"), F.col("gender"), key, attempt))))
+    persons = rows.filter("first is not null").select("gender", "first", "last").distinct().withColumn("entity", name(F.col("first")))
+    firsts = redrawn(stage(call(persons, no), "pii-first-names"), call)
+    if lasts is None and firsts is None:
+        return None
+    none = rows.sparkSession.createDataFrame([], "entity string, surrogate string, attempt int")
+    n_last = (none if lasts is None else lasts).select(F.col("entity").alias("last"), F.col("attempt").alias("_l"))
+    n_first = (none if firsts is None else firsts).select(F.col("entity").alias("_id"), F.col("attempt").alias("_f"))
+    both = rows.withColumn("_id", name(F.col("first"))).join(n_last, "last", "left").join(n_first, "_id", "left").filter("_l is not null or _f is not null")
+    own = F.when(F.col("first").isNotNull(), first_name(F.col("first"), F.col("gender"), key, F.coalesce("_f", no)))
+    return stage(both.select("entity", F.concat_ws(" ", "title", own, family_name(F.col("last"), key, F.coalesce("_l", no))).alias("surrogate")), "pii-settled")
+
+
+def exceptions(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(entity, surrogate) of entities whose first surrogate is taken; staged, most often empty."""
+    found = docs.select(F.explode(entities(F.col(f"`{text}`"))).alias("entity")).distinct()
+    known = stage(found.withColumn("kind", kind_of(F.col("entity"))).withColumn("surrogate", F.when(F.col("kind") != "person", surrogate(F.col("entity"), key, F.lit(0)))), "pii-entities")
+    others = redrawn(known.filter("kind != 'person'").select("entity", "surrogate"), lambda d, attempt: d.withColumn("surrogate", surrogate(F.col("entity"), key, attempt)))
+    parts = [x.select("entity", "surrogate") for x in (others, person_exceptions(known.filter("kind = 'person'"), key)) if x is not None]
+    return reduce(DataFrame.union, parts) if parts else known.filter("false").select("entity", "surrogate")
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "surrogates-1") -> DataFrame:
