@@ -238,8 +238,8 @@ def mdl_transfer(spark, sf):
     h = cut(h.select(*KEY, "client", "acc", *CONTENT, *HIST))
     mu = h.agg(F.avg("acc")).first()[0]
     out = None
-    for c in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"):
-        tr, te = h.filter(F.col("client") != c), h.filter(F.col("client") == c)
+    for c in sorted(x.client for x in h.filter("client is not null").select("client").distinct().collect()):
+        tr, te = h.filter(~F.col("client").eqNullSafe(c)), h.filter(F.col("client") == c)
         p = M.fit_predict(tr, M.fit_predict(tr, te, CONTENT, "acc", M.gbt(4), impute=False, out="m0"), CONTENT + HIST, "acc", M.gbt(4), out="m2").withColumn("m1", F.coalesce("h_acc_mean", F.lit(mu)))
         few = F.col("h_n_firstplays") < 10
         s = p.agg(F.lit(c).alias("client"), F.count(F.lit(1)).alias("n"), *[r(F.avg(F.abs(F.col("acc") - F.col(m))), 4).alias(f"mae_{m}") for m in ("m0", "m1", "m2")], r(F.avg(F.when(few, F.abs(F.col("acc") - F.col("m2")))), 4).alias("mae_m2_few"))
