@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fmindex, html, near, packing, pii, quality, sharding, toxicity
+from . import chat, decontam, fmindex, html, lexical, near, packing, phrases, pii, quality, sharding, toxicity, trie
 from .common import table
 
 QUERIES: dict = {}
@@ -166,3 +166,67 @@ FROM w LEFT JOIN kept USING (doc_id)
 @query("op8_fm_substrings", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(LOWERED, 'TERM'), []) AS w FROM documents),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(LOWERED, 'TERM')) AS t FROM benchmark) GROUP BY ALL),
+e AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM e, c GROUP BY t),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+s AS (
+  SELECT i, item_id, doc_id, r, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM e JOIN w USING (t) JOIN m USING (r) JOIN q USING (t) GROUP BY ALL
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+""".replace("LOWERED", LOWERED).replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+@query("op11_bag_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(LOWERED, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, w[i:i + k - 1] AS g, CAST(count(*) AS BIGINT) AS f
+  FROM p, range(1, 4) AS s(k), unnest(range(1, greatest(len(w) - k + 1, 0) + 1)) AS u(i) GROUP BY ALL
+),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM g WHERE len(g) > 1 AND f >= 10),
+y AS (SELECT lang, g, a, k, g[:k] AS gl, g[k + 1:] AS gr FROM c, unnest(range(1, len(g))) AS u(k)),
+x AS (
+  SELECT y.lang, y.g, a, k, m.f AS l, z.f AS r, CAST((1000000::HUGEINT * a * a) // (m.f::HUGEINT * z.f) AS BIGINT) AS score
+  FROM y JOIN g m ON m.lang = y.lang AND m.g = y.gl JOIN g z ON z.lang = y.lang AND z.g = y.gr
+),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, g[:2] AS g FROM c WHERE len(g) = 3 UNION ALL SELECT lang, a, g[2:] FROM c WHERE len(g) = 3) GROUP BY ALL),
+h AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g
+  WHERE longer IS NULL OR 100 * longer < 50 * a
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM h)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+""".replace("LOWERED", LOWERED)
+
+
+@query("op12_phrase_quicksort", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id DESC) = 1 AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(LOWERED, '') AS body FROM documents) WINDOW g AS (PARTITION BY body)
+""".replace("LOWERED", LOWERED)
+
+
+@query("op13_trie_owners", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.exact_duplicates(table(spark, sf_dir, "documents"))
