@@ -6,10 +6,11 @@ Entities are found by one pattern; the text between them stays as it is.  Each e
   (a Feistel network), so different numbers of one format get different surrogates; separators, country codes, the
   card's first digit and whether its check digit is right stay;
 * mail addresses, access keys and secrets get letters for letters, digits for digits, hex for hex, from a keyed hash;
-* names behind a title get a name of the gender the title tells (Dr and Prof: of either) and of the script of the name; a surname
-  has one surrogate wherever it stands, in upper or lower case, so mentions stay linked.
+* names behind a title get a name of the gender the title tells (Dr and Prof: of either), of the script of the name and in capitals
+  where the name is; a surname has one surrogate wherever it stands, in upper or lower case, so mentions stay linked.
 
-Names without one of the titles of ``KINDS``, third names and post addresses are not looked for.
+Names without one of the titles of ``KINDS``, third names and post addresses are not looked for; nor are mail addresses with more than 64
+characters before the sign or more than 30 parts behind it.
 
 The same entity has the same surrogate in all documents (coreference).  Collision check: all distinct entities of the
 table are gathered, and those whose surrogate is also an entity of the table, or the surrogate of another one, draw
@@ -17,12 +18,21 @@ again with another attempt number until none is left.  Of persons, surnames are
 then the first names of each surname, which become double names and longer as more are needed; mentions of one name in
 other case or behind another title of the gender are one person.  Exceptions join back on a hash of the text.
 
+Cards, phones and social security numbers are compared by their digits and other entities without case, so all spellings of one
+are drawn again together.  Where a format has too little room, mail addresses get longer from the third attempt on, and all others
+get a growing tail from the eighth on: drawing ends on any table.
+
+The key comes as a parameter or from the setting ``KEY_SETTING`` of the session.  Without one a random key is drawn for the call, and its
+surrogates cannot be linked with those of another call.
+
 Null and empty texts stay as they are and have no entities.  Repeated rows get the same result.  Other columns are kept; the
 columns added are ``n_entities`` and ``kinds`` (a column of these names is replaced).
 """
 
 from __future__ import annotations
 
+import secrets
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import stage, unstage
 
+KEY_SETTING = "spark.tracklens.surrogateKey"
+LONGER, TAIL = 3, 8  # attempts from which mail addresses grow, and from which others get a tail
+
 # Forms of entities, in order of preference, as Java patterns.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,30}[A-Za-z]{2,24}",
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?(?:[\"'][A-Za-z0-9+/_.-]{6,}[\"']|(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{6,})",
     "access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
@@ -114,14 +127,13 @@ def scrambled(s: Column, seed: Column, alphabet: str | None = None) -> Column:
     """Letters for letters, digits for digits; with ``alphabet``, its characters for letters and digits."""
 
     def word(x: Column) -> Column:
-        def one(i: Column) -> Column:
-            c = F.substr(x["s"], i, F.lit(1))
-            n = lambda below: drawn(F.concat_ws("|", x["seed"], i.cast("string")), F.lit(below))
+        def one(c: Column, i: Column) -> Column:
+            n = lambda below: drawn(F.concat_ws("|", x["seed"], (i + 1).cast("string")), F.lit(below))
             if alphabet:
                 return F.when(c.rlike("[A-Za-z0-9]"), F.substr(F.lit(alphabet), (n(len(alphabet)) + 1).cast("int"), F.lit(1))).otherwise(c)
             return F.when(c.rlike("[0-9]"), n(10).cast("string")).when(c.rlike("[a-z]"), F.chr(n(26) + 97)).when(c.rlike("[A-Z]"), F.chr(n(26) + 65)).otherwise(c)
 
-        return F.when(F.length(x["s"]) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["s"])), one), "")).otherwise(x["s"])
+        return F.when(F.length(x["s"]) > 0, F.array_join(F.transform(F.split(x["s"], ""), one), "")).otherwise(x["s"])
 
     return let(F.struct(s.alias("s"), seed.alias("seed")), word)
 
@@ -155,6 +167,11 @@ def gender_of(entity: Column) -> Column:
     return F.when(entity.rlike(FEMALE), "f").when(entity.rlike(EITHER), "n").otherwise("m")
 
 
+def cased(word: Column, name: Column) -> Column:
+    """``name`` in capitals where ``word`` is."""
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(name)).otherwise(name)
+
+
 def tagged(key: str, attempt: Column) -> Column:
     return F.concat_ws("|", F.lit(key), attempt.cast("string"))
 
@@ -203,7 +220,8 @@ def of_kind(entity: Column, kind: Column, digits: Column, base: Column, key: str
         return F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(F.shiftright(v, 12).alias("l"), (v % 4096).alias("r")), step, lambda x: x["l"] * 4096 + x["r"])
 
     ip = let(let(low, mixed), lambda v: F.concat_ws(".", octet(0).cast("string"), F.floor(v / 65536).cast("string"), (F.floor(v / 256) % 256).cast("string"), (v % 256).cast("string")))
-    mail = F.concat(scrambled(F.substring_index(entity, "@", 1), seed), F.lit("@"), scrambled(F.regexp_extract(entity, r"@(.*)\.[^.]*$", 1), F.concat_ws("|", base, F.lower(F.substring_index(entity, "@", -1)))), F.regexp_extract(entity, r"\.[^.@]*$", 0))
+    more = F.when(attempt >= LONGER, scrambled(F.repeat(F.lit("a"), attempt - LONGER + 1), F.concat_ws("|", seed, F.lit("more")))).otherwise("")
+    mail = F.concat(scrambled(F.substring_index(entity, "@", 1), seed), more, F.lit("@"), scrambled(F.regexp_extract(entity, r"@(.*)\.[^.]*$", 1), F.concat_ws("|", base, F.lower(F.substring_index(entity, "@", -1)))), F.regexp_extract(entity, r"\.[^.@]*$", 0))
     label, value, quote = (F.regexp_extract(entity, r"^([A-Za-z_-]+\s?[=:]\s?[\"']?)([A-Za-z0-9+/_.-]*)([\"']?)$", i) for i in (1, 2, 3))
     told = F.concat_ws("|", base, F.lit("secret"), value)
     secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), scrambled(value, told, "0123456789abcdef")).otherwise(scrambled(value, told)), quote)
@@ -213,12 +231,25 @@ def of_kind(entity: Column, kind: Column, digits: Column, base: Column, key: str
     iban = F.concat(F.substring(entity, 1, 2), scrambled(F.substr(entity, F.lit(3), F.length(entity)), seed))
     words = F.split(entity, " ")
     family = family_name(F.element_at(words, -1), key, attempt)
-    person = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], first_name(words[1], gender_of(entity), key, attempt), family)).otherwise(F.concat_ws(" ", words[0], family))
+    person = full_name(words, first_name(words[1], gender_of(entity), key, attempt), family)
     out = {"email": mail, "secret": secret, "access_key": access, "iban": iban, "ip": ip, "ssn": ssn, "phone": phone, "card": card, "person": person}
     result = None
     for k, v in out.items():
         result = F.when(kind == k, v) if result is None else result.when(kind == k, v)
-    return result.otherwise(scrambled(entity, seed))
+    result = result.otherwise(scrambled(entity, seed))
+    tail = F.concat(F.lit("-"), scrambled(F.repeat(F.lit("0"), attempt - TAIL + 1), F.concat_ws("|", seed, F.lit("tail"))))
+    return F.when((attempt >= TAIL) & ~kind.isin("email", "person"), F.concat(result, tail)).otherwise(result)
+
+
+def full_name(words: Column, first: Column, family: Column) -> Column:
+    """Title, first name if there is one, and surname; ``words`` are those of the entity."""
+    last = cased(F.element_at(words, -1), family)
+    return F.when(F.size(words) > 2, F.concat_ws(" ", words[0], cased(words[1], first), last)).otherwise(F.concat_ws(" ", words[0], last))
+
+
+def spelt_alike(kind: Column, entity: Column) -> Column:
+    """What all spellings of an entity have in common."""
+    return F.when(kind.isin("card", "phone", "ssn"), only_digits(entity)).otherwise(F.lower(entity))
 
 
 def redrawn(known: DataFrame, again) -> DataFrame | None:
@@ -264,40 +295,49 @@ def person_exceptions(found: DataFrame, key: str) -> DataFrame | None:
     n_last = (none if lasts is None else lasts).select(F.col("entity").alias("last"), F.col("attempt").alias("_l"))
     n_first = (none if firsts is None else firsts).select(F.col("entity").alias("_id"), F.col("attempt").alias("_f"))
     both = rows.withColumn("_id", name(F.col("first"))).join(n_last, "last", "left").join(n_first, "_id", "left").filter("_l is not null or _f is not null")
-    own = F.when(F.col("first").isNotNull(), first_name(F.col("first"), F.col("gender"), key, F.coalesce("_f", no)))
-    return stage(both.select("entity", F.concat_ws(" ", "title", own, family_name(F.col("last"), key, F.coalesce("_l", no))).alias("surrogate")), "pii-settled")
+    own = first_name(F.col("first"), F.col("gender"), key, F.coalesce("_f", no))
+    return stage(both.select("entity", full_name(words, own, family_name(F.col("last"), key, F.coalesce("_l", no))).alias("surrogate")), "pii-settled")
 
 
 def exceptions(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(entity, surrogate) of entities whose first surrogate is taken; staged, most often empty."""
     found = docs.select(F.explode(entities(F.col(f"`{text}`"))).alias("entity")).distinct()
-    known = stage(found.withColumn("kind", kind_of(F.col("entity"))).withColumn("surrogate", F.when(F.col("kind") != "person", surrogate(F.col("entity"), key, F.lit(0)))), "pii-entities")
-    others = redrawn(known.filter("kind != 'person'").select("entity", "surrogate"), lambda d, attempt: d.withColumn("surrogate", surrogate(F.col("entity"), key, attempt)))
-    parts = [x.select("entity", "surrogate") for x in (others, person_exceptions(known.filter("kind = 'person'"), key)) if x is not None]
-    return reduce(DataFrame.union, parts) if parts else known.filter("false").select("entity", "surrogate")
-
-
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "surrogates-1") -> DataFrame:
+    known = stage(found.withColumn("kind", kind_of(F.col("entity"))), "pii-entities")
+    others = known.filter("kind != 'person'").withColumn("id", spelt_alike(F.col("kind"), F.col("entity")))
+    put = lambda d, attempt: d.withColumn("surrogate", spelt_alike(kind_of(F.col("sample")), surrogate(F.col("sample"), key, attempt)))
+    forms = others.groupBy(F.col("id").alias("entity")).agg(F.min("entity").alias("sample"))
+    settled = redrawn(stage(put(forms, F.lit(0)), "pii-forms"), put)
+    if settled is not None:
+        drawn_again = others.join(settled.select(F.col("entity").alias("id"), "attempt"), "id")
+        settled = stage(drawn_again.select("entity", surrogate(F.col("entity"), key, F.col("attempt")).alias("surrogate")), "pii-settled")
+    parts = [x.select("entity", "surrogate") for x in (settled, person_exceptions(known.filter("kind = 'person'"), key)) if x is not None]
+    return reduce(DataFrame.union, parts) if parts else known.filter("false").select("entity", F.lit("").alias("surrogate"))
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text column, plus n_entities and kinds (entities by kind)."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
     keep = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    mark = uuid.uuid4().hex  # names that no column of the table has
+    own_, found_, text_ = f"_own{mark}", f"_found{mark}", f"_text{mark}"
     body = F.col(f"`{text}`")
     taken = exceptions(docs, text, key)
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
+    none = F.create_map().cast("map<string,string>")
     if taken.isEmpty():
-        own = F.create_map().cast("map<string,string>")
-        rows = base.withColumn("_own", own)
+        rows = base.withColumn(own_, none)
     else:
-        hashed = base.withColumn("_text", F.sha2(body, 256))
-        hit = hashed.select("_text", body.alias("_body")).distinct().select("_text", F.explode(F.array_distinct(entities(F.col("_body")))).alias("entity")).join(taken, "entity")
-        maps = hit.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_own"))
-        rows = hashed.join(maps, "_text", "left").drop("_text").withColumn("_own", F.coalesce("_own", F.create_map().cast("map<string,string>")))
-    rows = rows.withColumn("_found", entities(body))
+        hashed = base.withColumn(text_, F.sha2(body, 256))
+        hit = hashed.select(text_, body.alias("body")).distinct().select(text_, F.explode(F.array_distinct(entities(F.col("body")))).alias("entity")).join(taken, "entity")
+        maps = hit.groupBy(text_).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(own_))
+        rows = hashed.join(maps, text_, "left").drop(text_).withColumn(own_, F.coalesce(own_, none))
+    rows = rows.withColumn(found_, entities(body))
     gaps = F.split(body, ANY, -1)
-    put = F.transform(F.col("_found"), lambda e: F.coalesce(F.col("_own")[e], surrogate(e, key, F.lit(0))))
+    put = F.transform(F.col(found_), lambda e: F.coalesce(F.col(own_)[e], surrogate(e, key, F.lit(0))))
     joined = F.array_join(F.flatten(F.zip_with(gaps, put, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    kinds = F.transform(F.col("_found"), kind_of)
+    kinds = F.transform(F.col(found_), kind_of)
     return rows.select(
-        *[(F.when(F.size("_found") > 0, joined).otherwise(body).alias(c) if c == text else F.col(f"`{c}`")) for c in keep],
-        F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"),
-        F.when(F.size("_found") > 0, F.array_join(F.array_sort(kinds), ",")).otherwise("").alias("kinds"),
+        *[(F.when(F.size(found_) > 0, joined).otherwise(body).alias(c) if c == text else F.col(f"`{c}`")) for c in keep],
+        F.coalesce(F.size(found_), F.lit(0)).cast("long").alias("n_entities"),
+        F.when(F.size(found_) > 0, F.array_join(F.array_sort(kinds), ",")).otherwise("").alias("kinds"),
     )
