@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +51,6 @@ def unstage(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), remembered up to a fixed number of entries."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     for x in column.cast(pa.binary()):
@@ -197,6 +181,8 @@ class Words:
         else:
             position = np.arange(len(data), dtype=np.int32) - self.starts.astype(np.int32)[word]
         value = _Z[(position & 31) * 256 + used]
+        far = np.flatnonzero(position > 31)  # bytes beyond the table's places: mixed with the number of their 32 bytes
+        value[far] = mix(value[far] + (position[far] >> 5).astype(np.uint64) * _ODD[0])
         value[space | _DROP[data] if plain else space] = 0
         total = np.add.reduceat(value, self.starts)
         # a word ends at the next separator or at the end of its document
