@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def test_main_text_rows(spark):
 
 @pytest.mark.parametrize("shards,buckets", [(4, 8192), (3, 1)])
 def test_minimax_shards(spark, docs, odd, shards, buckets, monkeypatch):
-    monkeypatch.setattr(sharding.minimax_cuts, "__defaults__", (buckets,))
+    cuts = sharding.minimax_cuts
+    monkeypatch.setattr(sharding, "minimax_cuts", lambda groups, end, n: cuts(groups, end, n, buckets=buckets))
     got = sharding.minimax_shards(docs, shards=shards).collect()
     assert len(got) == len(odd)
     size = Counter()
@@ -99,6 +101,27 @@ def test_minimax_shards(spark, docs, odd, shards, buckets, monkeypatch):
     assert all(len(x) == 1 for x in place.values())
 
 
+def test_surrogates_of_hard_texts(spark):
+    texts = ["-" * 1_000_000, "x@" + "a." * 20_000, "a.%+-" * 20_000 + "@", "+1 " * 5_000, "sk-" * 5_000, "password=" * 2_000, "Mr. KRAUS met Mrs. Kraus"]
+    got = {x.doc_id: x for x in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    assert got[0].text == texts[0] and got[1].text == texts[1] and got[3].n_entities == 0
+    him, her = got[6].text.split(" met ")
+    assert him[4:].isupper() and him[4:].lower() == her[5:].lower() != "kraus" and her[5:].istitle()
+
+
+def test_surrogates_where_a_format_is_full(spark):
+    """All addresses of one form are in the table: none of them may be used, so they get longer; spellings of a number stay one."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"{a}@{b}.co") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    rows += [(1000, "4111 1111 1111 1111 and 4111-1111-1111-1111"), (1001, "A@b.co a@b.co")]
+    got = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    made = [got[k] for k in range(676)]
+    assert len(set(made)) == 676 and not set(made) & {t for _, t in rows}
+    one, other = got[1000].split(" and ")
+    assert one.replace(" ", "") == other.replace("-", "") != "4111111111111111"
+    assert len({x.lower() for x in got[1001].split()}) == 1
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
@@ -107,6 +130,8 @@ def test_no_rows(spark):
     assert pii.pseudonymise(none).count() == 0
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.without_contaminated(none, bench).count() == 0
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id", "url"]).count() == 0
+    assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert near.near_duplicates(none).count() == 0
     assert near.one_of_each(none).count() == 0
     assert fmindex.repeated_substrings(none).count() == 0
@@ -165,8 +190,8 @@ def test_a_surname_has_one_surrogate_however_many_first_names(spark):
     assert len(family) == 1 and len({n[0] for n in names}) == len(firsts)
     assert all(part in pii.FIRST["f", "latin"].split() for n in names for part in n[0].split("-"))
     (family,) = family
-    assert text[90] == f"Mr. {family} and Mr. {family}" and text[91].endswith(f" {family}") and text[92].endswith(f" {family}") and "Emil Kraus" not in text[92]
-    assert text[93] == f"Ms. {names[0][0]} {family}" and not text[94].endswith(f" {family}")
+    assert text[90] == f"Mr. {family} and Mr. {family.upper()}" and text[91].endswith(f" {family}") and text[92].endswith(f" {family}") and "Emil Kraus" not in text[92]
+    assert text[93] == f"Ms. {names[0][0]} {family}".upper().replace("MS", "Ms") and not text[94].endswith(f" {family}")
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
@@ -257,6 +282,32 @@ def brute_classes(rows):
     return {t: (min((k for k in least[find(t)] if k is not None), default=None), n_links[t]) for t in bags}
 
 
+@pytest.mark.parametrize("block", [512, 6])
+def test_near_classes_around_the_threshold(spark, block, monkeypatch):
+    """Copies of one text with so many own changes that pairs lie on both sides of the threshold."""
+    monkeypatch.setattr(near.near_classes, "__defaults__", (near.SIMILARITY, block))
+    r = random.Random(5)
+    text, rows = words(r, 120).split(), []
+    for k in range(90):
+        own = list(text)
+        for _ in range(r.randrange(1, 5)):
+            own[r.randrange(120)] = f"x{r.randrange(9)}"
+        rows.append((k, " ".join(own)))
+    want = brute_classes(rows)
+    assert len({c for c, _ in want.values()}) > 1
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: x.class_id for x in got} == {k: want[t][0] for k, t in rows}
+
+
+def test_columns_of_any_name(spark):
+    base = words(random.Random(6), 60)
+    rows = [(1, base + " Mr. Kraus", "n", 5, "h", "o", "f", "t"), (2, base + " Mr. Kraus", "n", 6, "h", "o", "f", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _none string, _k long, _h string, _own string, _found string, _text string")
+    assert [x.asDict() for x in near.one_of_each(table).collect()] == [dict(zip(table.columns, rows[0]))]
+    out = sorted(pii.pseudonymise(table, key="k").collect())
+    assert [x[2:8] for x in out] == [r[2:] for r in rows] and out[0].n_entities == 1 and "Kraus" not in out[0].text
+
+
 def test_near_classes_match_brute_force(spark, odd):
     r = random.Random(12)
     rows = [(k, t) for k, t, *_ in odd]

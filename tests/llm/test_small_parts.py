@@ -25,6 +25,30 @@ def test_word_hashes_tell_words_apart():
     assert plain[0] == plain[1] == plain[2] and plain[3] == plain[4] != plain[0]
 
 
+def test_word_hashes_of_long_words():
+    """Bytes exchanged 32 places apart make another word."""
+    r = random.Random(2)
+    for plain in (False, True):
+        for size in range(33, 101, 7):
+            word = bytes(r.choice(b"abcdefgh") for _ in range(size))
+            for k in range(size - 32):
+                other = bytearray(word)
+                other[k], other[k + 32] = word[k + 32], word[k]
+                same = common.word_hashes(word, plain)[0] == common.word_hashes(bytes(other), plain)[0]
+                assert same == (bytes(other) == word)
+
+
+def test_overlaps_match_pairs():
+    r = np.random.default_rng(3)
+    bags = [near.bag(r.integers(0, 40, n).astype(np.uint64), 1) for n in (0, 1, 30, 200, 200, 90)]
+    got = near.overlaps(bags, cells=300)
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            count = dict(zip(a[0].tolist(), a[1].tolist()))
+            want = sum(min(c, count.get(e, 0)) for e, c in zip(b[0].tolist(), b[1].tolist()))
+            assert i == j or got[i, j] == want
+
+
 def brute_repeats(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     count = Counter(windows)

@@ -7,10 +7,11 @@ into one of the signature's places; a place keeps the earliest point.  Two multi
 to their weighted Jaccard similarity.  Only points before the time by which all places are surely filled are made: about
 ``m log m`` of them however long the text; the time is doubled where a place stays empty.
 
-Texts that are equal in words collapse first.  Signatures are banded; a bucket (band, key) links all members to one leader
-(no pairs inside a bucket).  Linked pairs are verified by exact multiset overlap.  Members whose link fails are linked anew among
-themselves, and members of one bucket that are still in different classes are compared class by class, until no
-unverified candidate between two classes is left.  Classes are connected components, found by pointer jumping on tables.
+Equal texts collapse first.  Signatures are banded; a bucket (band, key) links all members to one leader
+(no pairs inside a bucket).  Linked pairs are verified by exact multiset overlap.  Buckets whose members are then still in different
+classes are cut into blocks; a task gets two blocks and compares their members exactly, without rows of pairs: only pairs of different
+classes, and each pair only in the first band whose bucket it shares.  It returns the links that join classes, at most one less than
+its members.  Classes are connected components, found by pointer jumping on tables.
 
 Null and empty texts hold no shingle: they are never near anything and each has a class of its own, while equal ones collapse
 like all other equal texts.  The class id is the smallest key of the class; where one key stands on unrelated texts, their
@@ -19,9 +20,11 @@ classes have the same id and are told apart by their root.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_schema, mix, shingles, stage, to_batch, unstage, words_of
@@ -205,47 +208,148 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-CLASSES = 32  # classes of a bucket that meet the others in one round
+BLOCK = 512  # members of a bucket in one block; a task holds two blocks of one bucket
+
+
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of the multiset intersections of all pairs of bags.
 
+    The j-th occurrence of a shingle is an element of its own, so multisets become sets; those that only one bag has are left out,
+    and the others' incidence matrix is multiplied with itself, some columns at a time.
+    """
+    n = len(bags)
+    times = np.concatenate([c for _, c in bags])
+    element = np.repeat(np.concatenate([e for e, _ in bags]), times)
+    nth = np.arange(len(element)) - np.repeat(np.cumsum(times) - times, times)
+    element = np.where(nth > 0, mix(element + nth.astype(np.uint64) * _C2), element)
+    owner = np.repeat(np.arange(n), [int(c.sum()) for _, c in bags])
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    several = count[column] > 1
+    owner, column = owner[several], (np.cumsum(count > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, step = np.zeros((n, n)), max(256, cells // max(1, n))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (first, first + step))
+        part = np.zeros((n, min(step, int(column[b - 1]) - first + 1)), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def runs_of_groups(batches, n_keys: int):
+    """(key, table) of every run of rows with equal values in the first ``n_keys`` columns; rows come sorted by them."""
+    last, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        new = np.zeros(len(batch), bool)
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(batch)).tolist()):
+            key = tuple(int(c[a]) for c in columns)
+            if key != last and held:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+def joining_links(ids: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> list[tuple]:
+    """Those of the pairs (places a, b) that join classes: a spanning forest of the roots."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out, left = [], len(np.unique(root[np.concatenate([a, b])])) - 1
+    for i, j, s in zip(a.tolist(), b.tolist(), similarity.tolist()):
+        if left == 0:
+            break
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            left -= 1
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])), s))
+    return out
 
-def near_classes(table: DataFrame, texts_of, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+
+def compared(members: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b, similarity): links between members of one bucket that are in different classes.
+
+    ``members`` has (band, bucket, id, w, root, n), n being the members of the bucket; ``texts`` has (id, keys, text).
+    """
+    ddl = "a long, b long, similarity double"
+    key = ["band", "bucket", "low", "high"]
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = own.select("band", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "w", "root").join(texts, "id")
+    rows = rows.select(*key, "own", "id", "w", "root", "keys", "text")
+    schema = arrow_schema(rows, ddl)
+
+    def run(batches):
+        for (band, _, low, high), table in runs_of_groups(batches, len(key)):
+            side, ids, w, root = (table.column(c).to_numpy() for c in ("own", "id", "w", "root"))
+            keys = table.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            ok = root[:, None] != root[None, :]
+            ok &= (side[:, None] == low) & (side[None, :] == high) if low != high else np.triu(np.ones_like(ok), 1)
+            ok &= np.minimum(w[:, None], w[None, :]) >= least * np.maximum(w[:, None], w[None, :]) - 1e-9
+            for before in range(band):
+                ok &= keys[:, before][:, None] != keys[:, before][None, :]
+            a, b = np.nonzero(ok)
+            if not len(a):
+                continue
+            used = np.unique(np.concatenate([a, b]))
+            hashes = [words.of(k) for words in words_of(table.column("text").combine_chunks().take(pa.array(used))) for k in range(len(words.rows))]
+            bags = [bag(h) for h in hashes]
+            i, j = np.searchsorted(used, a), np.searchsorted(used, b)
+            if len(a) < 4 * len(used):
+                similarity = np.array([overlap(bags[x], bags[y]) for x, y in zip(i.tolist(), j.tolist())])
+            else:
+                size = np.array([c.sum() for _, c in bags])
+                both = overlaps(bags)[i, j]
+                similarity = both / (size[i] + size[j] - both)
+            found = np.flatnonzero(similarity >= least)
+            if len(found):
+                yield to_batch(joining_links(ids, root, a[found], b[found], similarity[found]), schema)
+
+    dealt = rows.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, ddl)
+
+
+def near_classes(table: DataFrame, texts_of, least: float = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(links, classes): verified links (a, b, similarity), and (id, root) of linked ids.
 
-    ``table`` has (id, band, bucket, w) of distinct texts, w being the shingles in a text; ``texts_of`` gives (id, text) for a
+    ``table`` has (id, band, bucket, w) of distinct texts, w being the shingles in a text; ``texts_of`` gives (id, keys, text) for a
     table of ids.  A pair whose sizes alone rule the similarity out is never verified.
     """
-    def fits(p: str, q: str) :
-        return F.least(p, q) >= least * F.greatest(p, q) - 1e-9
-
     bucket = ["band", "bucket"]
     several = table.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
     shared = stage(table.join(several, bucket), "buckets")  # members of buckets with two texts or more
     # the leader of a bucket is its member with the most company in all bands: of copies with own changes, that is the text they come from
     company = shared.groupBy("id").agg(F.sum("n").alias("n_all"))
-    ranked = shared.drop("n").join(company, "id")
-    first = ranked.groupBy(*bucket).agg(F.max(F.struct("n_all", "id", "w")).alias("_a")).select(*bucket, F.col("_a.id").alias("a"), F.col("_a.w").alias("wa"))
-    buckets = stage(shared.drop("n").join(first, bucket), "buckets")
-    unstage(shared)
-    fresh = stage(buckets.filter("id != a").filter(fits("w", "wa")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-    involved = stage(texts_of(buckets.select("id").distinct()), "near-texts")
-    tried, links = fresh, stage(verified(fresh, involved, least), "near-links")
-    while True:
-        classes = stage(components(links), "near-classes")
-        # members of a bucket that are in different classes still have to be compared, class by class
-        members = buckets.select(*bucket, "id", "w").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = members.groupBy(*bucket).agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r != _s").select(*bucket)
-        open_ = members.join(mixed, bucket).withColumn("_k", F.dense_rank().over(Window.partitionBy(*bucket).orderBy("root")))
-        buckets = stage(open_, "buckets")
-        if buckets.isEmpty():
-            return links, classes
-        left = buckets.filter(F.col("_k") <= CLASSES).select(*bucket, F.col("id").alias("p"), F.col("w").alias("wp"), F.col("_k").alias("_kp"))
-        right = buckets.select(*bucket, F.col("id").alias("q"), F.col("w").alias("wq"), F.col("_k").alias("_kq"))
-        met = left.join(right, bucket).filter("_kp < _kq").filter(fits("wp", "wq"))
-        fresh = stage(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tried, links = tried.union(fresh), links.union(stage(verified(fresh, involved, least), "near-links"))
-        # the first classes of each bucket have met all others: only what comes after them is left
-        buckets = buckets.filter(F.col("_k") > CLASSES).select(*bucket, "id", "w")
+    first = shared.join(company, "id").groupBy(*bucket).agg(F.max(F.struct("n_all", "id", "w")).alias("_a")).select(*bucket, F.col("_a.id").alias("a"), F.col("_a.w").alias("wa"))
+    led = shared.join(first, bucket).filter("id != a").filter(F.least("w", "wa") >= least * F.greatest("w", "wa") - 1e-9)
+    fresh = stage(led.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+    involved = stage(texts_of(shared.select("id").distinct()), "near-texts")
+    links = stage(verified(fresh, involved, least), "near-links")
+    classes = stage(components(links), "near-classes")
+    members = shared.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = members.groupBy(*bucket).agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r != _s").select(*bucket)
+    more = stage(compared(members.join(mixed, bucket), involved, least, block), "near-links")
+    unstage(shared, fresh, involved)
+    if more.isEmpty():
+        return links, classes
+    links = links.union(more)
+    return links, stage(components(links), "near-classes")
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -260,9 +364,9 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """One row's text for each id: the row with the smallest key, so copies of a text do not meet in one task."""
-        wanted = groups.join(ids, "id").select("id", F.coalesce("rep", F.lit(0)).alias("_k"))
+        wanted = groups.join(ids, "id").select("id", "keys", F.coalesce("rep", F.lit(0)).alias("_k"))
         own = docs.select(F.xxhash64(F.sha2(body, 256)).alias("id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("_k"), body.alias("text"))
-        return own.join(wanted, ["id", "_k"]).dropDuplicates(["id"]).select("id", "text")
+        return own.join(wanted, ["id", "_k"]).dropDuplicates(["id"]).select("id", "keys", "text")
 
     links, classes = near_classes(table, texts_of, least)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -283,9 +387,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     A row without a key stays only when no row of its class has one.  A key that stands on texts of several classes stays once for each.
     """
     _, texts = text_classes(docs, key, text, least)
-    by = ["_none", "_k", "_h"]
-    own = texts.select("root", F.col("rep").isNull().alias("_none"), F.coalesce("rep", F.lit(0)).alias("_k"), F.col("h").alias("_h"))
+    mark = uuid.uuid4().hex  # names that no column of the table has
+    by = [f"_none{mark}", f"_k{mark}", f"_h{mark}"]
+    own = texts.select("root", F.col("rep").isNull().alias(by[0]), F.coalesce("rep", F.lit(0)).alias(by[1]), F.col("h").alias(by[2]))
     keep = own.groupBy("root").agg(F.min(F.struct(*by)).alias("_c")).select("_c.*")
     k = F.col(f"`{key}`").cast("long")
-    hashed = docs.withColumns({"_none": k.isNull(), "_k": F.coalesce(k, F.lit(0)), "_h": F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)})
+    hashed = docs.withColumns({by[0]: k.isNull(), by[1]: F.coalesce(k, F.lit(0)), by[2]: F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)})
     return hashed.join(keep, by, "left_semi").dropDuplicates(by).select(*[F.col(f"`{c}`") for c in docs.columns])
