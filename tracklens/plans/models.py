@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw_hex, r
@@ -70,20 +69,6 @@ def mdl_content_ridge(spark, sf):
     return M.content_ridge(tr, te, CONTENT, "acc", alpha=5.0).select(*KEY, r("pred", 4).alias("pred"))
 
 
-@query("mdl_ridge_cv")
-def mdl_ridge_cv(spark, sf):
-    """Alpha by k-fold inside the train rows (folds are whole items)."""
-    tr, te = matrix(spark, sf)
-    tr = tr.withColumn("fold", splits.fold(3, 3, "item"))
-    rows = []
-    for a in (1.0, 100.0, 10000.0):
-        errs = [M.mae(M.ridge_predict(tr.filter(F.col("fold") != k), tr.filter(F.col("fold") == k), CONTENT, "acc", a), "acc", "pred") for k in range(3)]
-        rows.append((a, sum(errs) / len(errs)))
-    best = min(rows, key=lambda x: x[1])
-    test = M.mae(M.ridge_predict(tr, te, CONTENT, "acc", best[0]), "acc", "pred")
-    return table(spark, [(a, e, a == best[0], test if a == best[0] else None) for a, e in rows], "alpha double, cv_mae double, chosen boolean, test_mae double")
-
-
 @query("mdl_gbt")
 def mdl_gbt(spark, sf):
     tr, te = history_samples(spark, sf)
@@ -204,18 +189,6 @@ def mdl_interaction(spark, sf):
     return table(spark, rows, "model string, mae double")
 
 
-OLS = f"""WITH {S.BEST}, {S.ITEMS}, d AS (SELECT best.*, x1, x2, {RI} AS is_test FROM best JOIN items USING (item)), s AS (SELECT avg(acc) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c, covar_pop(x1, acc) AS a, covar_pop(x2, acc) AS b FROM d WHERE NOT is_test),
- w AS (SELECT *, (v2 * a - c * b) / (v1 * v2 - c * c) AS b1, (v1 * b - c * a) / (v1 * v2 - c * c) AS b2 FROM s) SELECT 'mean' AS model, round(avg(abs(acc - my)), 4) AS mae FROM d, w WHERE is_test UNION ALL SELECT 'ols', round(avg(abs(acc - (my + b1 * (x1 - m1) + b2 * (x2 - m2)))), 4) FROM d, w WHERE is_test"""
-
-
-@query("mdl_linear_ols", OLS)
-def mdl_linear_ols(spark, sf):
-    tr, te = matrix(spark, sf)
-    p = M.fit_predict(tr, te, CONTENT, "acc", LinearRegression(regParam=0.0, solver="normal"), impute=False, scale=True).withColumn("mu", tr.agg(F.avg("acc")).scalar())
-    s = p.agg(F.avg(F.abs(F.col("acc") - F.col("mu"))).alias("m"), F.avg(F.abs(F.col("acc") - F.col("pred"))).alias("o"))
-    return s.select(F.inline(F.array(F.struct(F.lit("mean").alias("model"), r("m", 4).alias("mae")), F.struct(F.lit("ols").alias("model"), r("o", 4).alias("mae")))))
-
-
 @query("mdl_tune_nested")
 def mdl_tune_nested(spark, sf):
     """Tree depth on inner item folds of the train rows; the test rows are read once, with the chosen depth."""
@@ -245,52 +218,3 @@ def mdl_transfer(spark, sf):
         s = p.agg(F.lit(c).alias("client"), F.count(F.lit(1)).alias("n"), *[r(F.avg(F.abs(F.col("acc") - F.col(m))), 4).alias(f"mae_{m}") for m in ("m0", "m1", "m2")], r(F.avg(F.when(few, F.abs(F.col("acc") - F.col("m2")))), 4).alias("mae_m2_few"))
         out = s if out is None else out.unionByName(s)
     return out
-
-
-def linear_mae(tr, te, feats):
-    return M.mae(M.fit_predict(M.complete(tr, feats), M.complete(te, feats), feats, "acc", LinearRegression(regParam=0.0, solver="normal"), impute=False), "acc", "pred")
-
-
-@query("evl_axis_ablation")
-def evl_axis_ablation(spark, sf):
-    """Leave one axis out / one axis only."""
-    tr, te = history_samples(spark, sf)
-    axes = CONTENT + HIST[:4]
-    rows = [("all", "all", linear_mae(tr, te, axes))]
-    for a in axes:
-        rows += [("without", a, linear_mae(tr, te, [x for x in axes if x != a])), ("only", a, linear_mae(tr, te, [a]))]
-    return table(spark, rows, "variant string, axis string, mae double")
-
-
-GROUPS = {"content": CONTENT, "level": ["h_acc_mean", "h_acc_std"], "volume": ["h_n_firstplays", "h_days_span"], "errors": ["h_fail_rate", "h_bp_mean"]}
-
-
-@query("evl_group_ablation")
-def evl_group_ablation(spark, sf):
-    tr, te = history_samples(spark, sf)
-    every = [c for g in GROUPS.values() for c in g]
-    rows = [("none", linear_mae(tr, te, every))] + [(g, linear_mae(tr, te, [c for c in every if c not in cols])) for g, cols in GROUPS.items()]
-    return table(spark, rows, "dropped string, mae double")
-
-
-@query("evl_ladder")
-def evl_ladder(spark, sf):
-    """Feature families added one by one, on each family's own rows (full) and on rows complete for all (common)."""
-    tr, te = history_samples(spark, sf)
-    every = [c for g in GROUPS.values() for c in g]
-    ct, ce = cut(M.complete(tr, every)), cut(M.complete(te, every))
-    rows, feats = [], []
-    for g, cols in GROUPS.items():
-        feats = feats + cols
-        rows += [("full", g, len(feats), linear_mae(tr, te, feats)), ("common", g, len(feats), linear_mae(ct, ce, feats))]
-    return table(spark, rows, "layer string, added string, n_features int, mae double")
-
-
-@query("evl_same_rows")
-def evl_same_rows(spark, sf):
-    """Value of the level family on exactly the rows where it exists."""
-    tr, te = history_samples(spark, sf)
-    fam = GROUPS["level"]
-    a, b = cut(M.complete(tr, fam)), cut(M.complete(te, fam))
-    base, more = linear_mae(a, b, CONTENT), linear_mae(a, b, CONTENT + fam)
-    return table(spark, [(b.count(), base, more, base - more)], "n long, mae_without double, mae_with double, gain double")
