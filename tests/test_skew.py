@@ -45,6 +45,17 @@ def test_prefix_all_kinds(fp, hot):
     same(a, b, list(aggs))
 
 
+def test_one_key_and_one_time(spark):
+    """100,000 rows of one key and one timestamp: no chunk above the limit, equal to the plain window."""
+    rows = spark.range(100_000).select(F.lit(0).cast("long").alias("player"), F.col("id").alias("item"), F.lit(5).cast("long").alias("ts"), draw_long("s", F.col("id")).alias("seq"), (F.col("id") % 101).cast("double").alias("acc"))
+    rows = rows.union(spark.range(1).select(F.lit(0).cast("long"), F.lit(-1).cast("long"), F.lit(10**12).cast("long"), F.lit(0).cast("long"), F.lit(1.0)))
+    hot = skew.probe(rows, ["player"], "ts", 10_000)
+    assert max(r["count"] for r in skew._equi_depth(rows, ["player"], ORD, hot).groupBy(skew.CHUNK).count().collect()) <= 10_000
+    aggs = {"r": ("rank",), "s": ("sum", F.col("acc")), "pv": ("prev", F.col("acc"))}
+    a, b = (skew.prefix(rows, ["player"], ORD, aggs, h).agg(*[F.sum(F.hash("item", c)).alias(c) for c in aggs]).first() for h in (None, hot))
+    assert a == b
+
+
 @pytest.mark.parametrize("by,span,upto", [("rows", 10, -1), ("rows", 3, 0), ("range", 20 * 86400, -1), ("range", 86400, 0)])
 def test_trailing(fp, hot, by, span, upto):
     aggs = {"m": F.avg("acc"), "n": F.count(F.lit(1))}

@@ -2,7 +2,7 @@
 
 A plain window puts one key into one task.  Every causal operator here goes through
 ``prefix`` / ``trailing`` instead: keys above ``HOT_ROWS`` rows are cut into
-order-preserving chunks, each chunk is scanned by its own task, and a small
+order-preserving chunks of about equal size over all order columns, each chunk is scanned by its own task, and a small
 per-chunk carry table (one row per chunk) links the chunks.  Keys below the limit
 keep the ordinary one-shuffle window plan.
 """
@@ -55,6 +55,17 @@ def _with_chunk(df: DataFrame, keys: list[str], lead: str, hot: DataFrame, span=
     )
 
 
+def _equi_depth(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame) -> DataFrame | None:
+    """All rows, those of hot keys in chunks of about equal size; None where no key is hot.  The chunks are range partitions over the keys and all order columns, so many rows of one
+    leading value, or one far outlier, make no large chunk.  They are written once: every later step sees the same chunks."""
+    parts = int(hot.agg(F.sum("_parts")).first()[0] or 0)
+    if not parts:
+        return None
+    marked = df.join(F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True))), keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))).select(*df.columns, "_hot")
+    own = cut(marked.filter("_hot").repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long")))
+    return marked.filter("not _hot").withColumn(CHUNK, F.lit(0).cast("long")).unionByName(own)
+
+
 def _combine(kind: str, local: Column, carry: Column) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(local + carry, local, carry)
@@ -98,7 +109,9 @@ def prefix(
         return df.select("*", *cols)
 
     # hot keys present: per-chunk scan + carry
-    c = df.withColumn("_hot", F.lit(True)) if CHUNK in df.columns else _with_chunk(df, keys, order[0], hot)
+    c = df.withColumn("_hot", F.lit(True)) if CHUNK in df.columns else _equi_depth(df, keys, order, hot)
+    if c is None:
+        return prefix(df, keys, order, aggs)
     w = W.partitionBy(*keys, CHUNK).orderBy(*order)
     wp = w.rowsBetween(*_UNTIL_PREV)
     ordering = F.struct(*order)
