@@ -172,7 +172,6 @@ def evl_calibration(spark, sf):
 
 
 BAND = "pred - 18 - abs(pred - 50) / 4 AS lo, pred + 18 AS hi"
-CALQ = S.draw_hex("'cal'", "player", "item")
 
 
 def banded(spark, sf):
@@ -180,14 +179,6 @@ def banded(spark, sf):
     return p.withColumn("lo", F.col("pred") - 18 - F.abs(F.col("pred") - 50) / 4).withColumn("hi", F.col("pred") + 18).withColumn("is_cal", draw_hex("cal", F.col("player"), F.col("item")) < "80000000")
 
 
-@query("evl_conformal", f"""WITH {PRED}, b AS (SELECT *, {BAND}, {CALQ} < '80000000' AS is_cal FROM pr), n AS (SELECT count(*) AS n, list(greatest(lo - y, y - hi)) AS s FROM b WHERE is_cal),
- q AS (SELECT list_sort(s) AS s, least(1.0, ceil((n + 1) * 0.8) / n) * (n - 1) AS pos FROM n), c AS (SELECT s[CAST(floor(pos) AS INT) + 1] + (s[CAST(ceil(pos) AS INT) + 1] - s[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos)) AS q FROM q)
- SELECT round(any_value(q), 4) AS q, round(avg(CAST(y >= lo - q AND y <= hi + q AS INT)), 4) AS coverage, round(avg(hi - lo + 2 * q), 4) AS mean_width FROM b, c WHERE NOT is_cal""")
-def evl_conformal(spark, sf):
-    b = banded(spark, sf)
-    return rd(M.conformal(b.filter("is_cal"), b.filter("not is_cal")))
-
-
 @query("evl_width_corr", f"""WITH {PRED}, b AS (SELECT *, {BAND} FROM pr), p AS (SELECT player, stddev_samp(y) AS s, median(hi - lo) AS w FROM b GROUP BY player) SELECT round(corr(s, w), 4) AS width_corr FROM p WHERE s IS NOT NULL""")
 def evl_width_corr(spark, sf):
     b = banded(spark, sf).withColumn("width", F.col("hi") - F.col("lo"))

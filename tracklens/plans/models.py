@@ -11,7 +11,7 @@ from ..session import cut
 from ..sources import tables as t
 from . import sqlparts as S
 from .joins import levels
-from .metrics import PRED, banded, pr, rd
+from .metrics import pr, rd
 from .registry import query
 from .splits import RI
 
@@ -132,18 +132,6 @@ def mdl_pass_prob(spark, sf):
     return p.select(*KEY, "ok", r("prob", 4).alias("prob"))
 
 
-QB = f"""WITH {PRED}, b AS (SELECT *, {S.draw_hex("'cal'", 'player', 'item')} < '80000000' AS is_cal FROM pr), e AS (SELECT quantile_cont(pred, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM b WHERE is_cal),
- z AS (SELECT b.*, CAST(list_sum(list_transform(q, lambda v: CAST(pred >= v AS INT))) AS INT) AS bin FROM b, e), r AS (SELECT bin, quantile_cont(y - pred, 0.1) AS lo, quantile_cont(y - pred, 0.9) AS hi FROM z WHERE is_cal GROUP BY bin)
- SELECT player, item, bin, round(pred + lo + 3.3e-8, 4) AS lo, round(pred + hi + 3.3e-8, 4) AS hi FROM z JOIN r USING (bin) WHERE NOT is_cal"""
-
-
-@query("mdl_quantile_band", QB)
-def mdl_quantile_band(spark, sf):
-    b = cut(banded(spark, sf).drop("lo", "hi"))
-    out = M.residual_band(b.filter("is_cal"), b.filter("not is_cal"))
-    return out.select(*KEY, "bin", *[r(F.col(c) + 3.3e-8, 4).alias(c) for c in ("lo", "hi")])  # off the rounding edge
-
-
 @query("mdl_isotonic")
 def mdl_isotonic(spark, sf):
     p = cut(pr(spark, sf).withColumn("is_cal", draw_hex("cal", F.col("player"), F.col("item")) < "80000000"))
