@@ -50,7 +50,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # texts that may hold one of the tokenizer's added tokens go through it whole
+        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.width = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.packed = [i.tobytes() for i in np.arange(self.whole.get_vocab_size(), dtype=self.width)]
@@ -74,8 +75,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, self.PIECE.findall(text.lower())))
 
     def of(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "replace")
-        if not self.plain_model:
+        text, low = raw.decode("utf-8", "replace"), raw.lower()
+        if not self.plain_model or any(t in low for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.width).tobytes()
         if self.PLAIN.fullmatch(text):
             return self.plain(text)
