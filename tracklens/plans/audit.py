@@ -289,11 +289,11 @@ def agg_log_audit(spark, sf):
     return audit.metrics_long(m).select("metric", r("value").alias("value")).unionByName(lamps)
 
 
-@query("agg_overlap_sets", f"""WITH {S.LOG}, {S.CLIENTS}, p AS (SELECT DISTINCT item, client FROM log JOIN clients USING (player) WHERE acc >= 96)
+@query("agg_overlap_sets", f"""WITH {S.LOG}, {S.CLIENTS}, p AS (SELECT DISTINCT item, client FROM log JOIN clients USING (player))
  SELECT concat_ws('&', a.client, b.client) AS sets, count(*) AS n_both, any_value((SELECT count(DISTINCT item) FROM p WHERE client IN (a.client, b.client))) AS n_union FROM p a JOIN p b ON a.item = b.item AND a.client < b.client GROUP BY a.client, b.client
  UNION ALL SELECT concat_ws('&', a.client, b.client, c.client), count(*), any_value((SELECT count(DISTINCT item) FROM p WHERE client IN (a.client, b.client, c.client))) FROM p a JOIN p b ON a.item = b.item AND a.client < b.client JOIN p c ON a.item = c.item AND b.client < c.client GROUP BY a.client, b.client, c.client""")
 def agg_overlap_sets(spark, sf):
-    log = t.play_log(spark, sf).filter("acc >= 96").join(t.clients(spark, sf), "player")
+    log = t.play_log(spark, sf).join(t.clients(spark, sf), "player")
     sets = joins.roster_sets(log, "item", "client")  # as many rows as there are sets of clients
     m = sets.select("members", "n_items")
     by_one = m.select("n_items", F.explode("members").alias("a"), "members")

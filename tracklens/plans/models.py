@@ -120,7 +120,7 @@ def mdl_bp_tracks(spark, sf):
 def mdl_fail_logit(spark, sf):
     tr, te = history_samples(spark, sf)
     f = (F.col("lamp") == 1).cast("int")
-    p = M.classify(tr.withColumn("fail", f), te.withColumn("fail", f), CONTENT + HIST, "fail", LogisticRegression(maxIter=50, regParam=0.001), scale=True)
+    p = M.classify(tr.withColumn("fail", f), te.withColumn("fail", f), CONTENT + HIST, "fail", LogisticRegression(maxIter=2000, regParam=1 / (0.5 * max(1, tr.count()))), scale=True)  # penalty of the survey: C = 0.5 on the sum of losses
     return p.select(*KEY, "fail", r("prob", 4).alias("prob"))
 
 

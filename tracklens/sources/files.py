@@ -17,7 +17,6 @@ MANIFEST = T.StructType([
     T.StructField("quarantine", T.ArrayType(T.StringType())), T.StructField("flags", T.ArrayType(T.StringType())),
     T.StructField("meta", T.StructType([T.StructField("total_notes", T.LongType()), T.StructField("duration_sec", T.DoubleType())])),
 ])
-LEVEL_TABLE = "name string, symbol string, data array<struct<md5:string,sha256:string,level:string>>"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +41,21 @@ def require_arity(man: DataFrame, names: list[str] = STATS) -> DataFrame:
     return man
 
 
-def read_level_table(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, md5, level) from JSON documents with a ``data`` array; hashes lower-cased, unparsable levels dropped."""
-    raw = spark.read.schema(LEVEL_TABLE).json(path)
-    e = raw.select("name", F.explode("data").alias("d")).select("name", F.lower("d.sha256").alias("sha256"), F.lower("d.md5").alias("md5"), F.col("d.level").alias("lv"))
-    return e.withColumn("level", parse_level("lv")).drop("lv").filter("level is not null and coalesce(sha256, md5) is not null")
+def read_level_table(spark: SparkSession, path: str, name: str | None = None, whole_files: bool = False) -> DataFrame:
+    """(name, sha256, md5, level) from JSON documents, one a line or (``whole_files``) one a file.
+
+    A document is an object with a ``data`` array, or the bare array.  Its name is the object's, else ``name`` (the header's), else that of
+    a folder ``name=...``, else that of its file.  Hashes are lower-cased; entries that are no objects, have no hash or
+    no readable level are dropped, as are lines that are no JSON.
+    """
+    raw = spark.read.text(path, wholetext=whole_files)
+    folder = F.col("name") if "name" in raw.columns else F.lit(None).cast("string")
+    doc = raw.select(F.try_parse_json("value").alias("v"), folder.alias("folder"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"))
+    get = lambda at, kind, of="v": F.try_variant_get(of, at, kind)
+    own = doc.select(F.coalesce(get("$.name", "string"), F.lit(name), "folder", "file").alias("name"), F.coalesce(get("$.data", "array<variant>"), get("$", "array<variant>")).alias("data"))
+    e = own.select("name", F.explode("data").alias("d"))
+    out = e.select("name", F.lower(get("$.sha256", "string", "d")).alias("sha256"), F.lower(get("$.md5", "string", "d")).alias("md5"), get("$.level", "string", "d").alias("lv"))
+    return out.withColumn("level", parse_level("lv")).drop("lv").filter("level is not null and coalesce(sha256, md5) is not null")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
