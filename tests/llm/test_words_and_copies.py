@@ -53,7 +53,7 @@ def test_trie_against_dict():
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("bound,part", [(trie.BOUND, trie.PART), (2000, 5000)])
+@pytest.mark.parametrize("bound,part", [(trie.BOUND, trie.PART), (20_000, 100_000)])
 def test_exact_duplicates(docs, rows, keep, bound, part):
     got = trie.exact_duplicates(docs, keep=keep, bound=bound, part=part).collect()
     groups = defaultdict(list)
@@ -141,7 +141,7 @@ def phrase_table(rows, most=3, least=10, top=2000):
     return out
 
 
-@pytest.mark.parametrize("most,top,size", [(3, 2000, phrases.CHUNK), (3, 7, 100), (4, 50, 3000)])
+@pytest.mark.parametrize("most,top,size", [(3, 7, 2000), (4, 50, phrases.CHUNK)])
 def test_collocations(docs, rows, most, top, size, monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK", size)
     monkeypatch.setattr(phrases, "HELD", 2 * size)
