@@ -116,22 +116,52 @@ def test_global_rank_is_a_permutation(fp):
 def test_large_player_neighbours_equal_block_plan(fp, hot):
     known = fp.withColumn("acc", F.coalesce("acc", F.lit(1.0)))
     small = knn.prior_neighbours(known, ORD, ["x1", "x2"], [3, 5])
-    large = knn.prior_neighbours(known, ORD, ["x1", "x2"], [3, 5], hot, block=20, start_level=7)
+    large = knn.prior_neighbours(known, ORD, ["x1", "x2"], [3, 5], hot, block=20, finest=-4)
     same(small, large, ["n_3", "knn_3", "n_5", "knn_5"])
 
 
-def test_neighbours_match_brute_force(fp):
-    z = {r.item: (r._z0, r._z1) for r in knn.standardise(fp, ["x1", "x2"]).collect()}
-    rows = sorted(fp.collect(), key=lambda r: (r.player, r.ts, r.seq, r.item))
-    got = {r.item: r.knn_5 for r in knn.prior_neighbours(fp, ORD, ["x1", "x2"], [5]).collect()}
-    hist = {}
-    for r in rows:
+def brute_neighbours(rows, k):
+    """{item: mean acc of the k nearest earlier rows}, distances in doubles, ties to the earlier row."""
+    import numpy as np
+
+    x = np.array([[np.nan if v is None else float(v) for v in (r.x1, r.x2)] for r in rows])
+    x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    s = np.array([np.nanstd([float(v) for v in c if v is not None]) for c in zip(*[(r.x1, r.x2) for r in rows])])
+    out, hist = {}, {}
+    for i, r in enumerate(rows):
         h = hist.setdefault(r.player, [])
-        d = sorted(((z[r.item][0] - z[q.item][0]) ** 2 + (z[r.item][1] - z[q.item][1]) ** 2, i, q.acc) for i, q in enumerate(h))[:5]
-        acc = [a for _, _, a in d if a is not None]
-        want = sum(acc) / len(acc) if acc else None
-        assert (want is None and got[r.item] is None) or abs(want - got[r.item]) < 1e-9
-        h.append(r)
+        near = sorted((sum(((x[i, a] - x[j, a]) / s[a]) ** 2 for a in (0, 1) if s[a] > 0), n, j) for n, j in enumerate(h))[:k]
+        acc = [rows[j].acc for _, _, j in near if rows[j].acc is not None]
+        out[r.item] = sum(acc) / len(acc) if acc else None
+        h.append(i)
+    return out
+
+
+@pytest.mark.parametrize("block", [knn.BLOCK, 20])
+def test_neighbours_match_brute_force(fp, hot, block):
+    rows = sorted(fp.collect(), key=lambda r: (r.player, r.ts, r.seq, r.item))
+    want = brute_neighbours(rows, 5)
+    got = {r.item: r.knn_5 for r in knn.prior_neighbours(fp, ORD, ["x1", "x2"], [5], hot, block=block, finest=-3).collect()}
+    assert got.keys() == want.keys()
+    for item, w in want.items():
+        assert (w is None and got[item] is None) or abs(w - got[item]) < 1e-9
+
+
+def test_neighbours_of_equal_points_and_flat_axes(spark):
+    n = 60
+    df = spark.range(n).select(F.lit(1).cast("long").alias("player"), F.col("id").alias("item"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("acc"),
+                               (F.col("id") % 2).cast("double").alias("x1"), F.lit(7.0).alias("x2"))
+    for block in (knn.BLOCK, 10):  # the nearest are the earliest rows of the same parity
+        got = {r.item: r.knn_3 for r in knn.prior_neighbours(df, ORD, ["x1", "x2"], [3], block=block, finest=-2).collect()}
+        assert got[40] == 2.0 and got[41] == 3.0 and got[0] is None
+
+
+def test_cells_tell_points_closer_than_a_thousandth_apart(spark):
+    df = spark.range(50).select(F.lit(1).cast("long").alias("player"), F.col("id").alias("item"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("acc"),
+                                F.when(F.col("id") == 0, 1e6).otherwise(F.col("id") * 1e-3).alias("x1"))
+    for block in (knn.BLOCK, 10):
+        got = {r.item: r.knn_1 for r in knn.prior_neighbours(df, ORD, ["x1"], [1], block=block).collect()}
+        assert all(got[i] == i - 1 for i in range(2, 50))
 
 
 def test_sequence_stats_of_hot_item(spark):

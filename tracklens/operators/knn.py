@@ -1,16 +1,16 @@
 """Mean outcome of the k nearest strictly-prior items of the same player.
 
-Distances are squared Euclidean in z-space quantised to 1/1000, ties broken by the earlier
-row.  Two exact plans:
-
-* players with at most ``BLOCK`` rows: sorted streaming over partitions, one small numpy
-  distance block per player;
-* larger players: grid search from fine to coarse.  A target only meets candidates from the
-  3^A cells around it; it is settled once the k-th distance fits inside the searched cube,
-  otherwise the cell side doubles, so a dense region is settled with small cells.  Targets and
-  candidates also join on the epoch (power of two of the row number), which keeps later rows
-  out of the join.  Of equal points only the first k rows can ever matter, so they are the
-  only ones kept as candidates.
+The distance is the squared Euclidean one over axes in units of their spread, in doubles: the sum of ((a - b) / s)^2 in axis
+order.  A missing axis value counts as the mean, an axis without spread as no difference; equal distances go to the earlier row.
+Two exact plans:
+
+* players with at most ``BLOCK`` rows: sorted streaming over partitions; the rows of a player meet earlier ones a tile at
+  a time, and a table of the k best so far is merged with each tile;
+* larger players: search over cells whose sides are powers of two, from fine to coarse.  A target only meets candidates of
+  the 3^A cells around it.  What lies outside them is at least ``reach`` away: a cell side plus the way to the nearest wall of the
+  target's own cell, less a margin for rounding.  A target whose k-th distance is within reach is settled, the others go on with cells
+  twice as wide.  Targets and candidates also join on the epoch (power of two of the row number), which keeps later rows
+  out of the join.  Of equal points only the first k rows can ever matter, so they are the only ones kept as candidates.
 """
 
 from __future__ import annotations
@@ -20,19 +20,21 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import cut
 from . import ranks, skew
 
 BLOCK = 4096
+TILE = 128  # earlier rows that are merged at once
+FINEST = -10  # cells of the first search: 2^-10 of the spread
 
 
 def standardise(df: DataFrame, axes: list[str]) -> DataFrame:
-    """Adds integer z-scores ``_z0.._zA``; a missing axis value counts as the mean."""
-    stats = df.agg(F.struct(*[f(a).alias(f"{n}{i}") for i, a in enumerate(axes) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("st")).scalar()
+    """Adds ``_x0.._xA`` (axis values, the mean where missing) and ``_s0.._sA`` (their spread, NULL without any)."""
+    stats = df.agg(F.struct(*[f(F.col(a).cast("double")).alias(f"{n}{i}") for i, a in enumerate(axes) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("st")).scalar()
     out = df.withColumn("_st", stats)
     for i, a in enumerate(axes):
-        v = F.try_divide(F.col(a) - F.col(f"_st.m{i}"), F.col(f"_st.s{i}"))
-        out = out.withColumn(f"_z{i}", F.coalesce(F.round(v * 1000), F.lit(0)).cast("long"))
+        out = out.withColumn(f"_x{i}", F.coalesce(F.col(a).cast("double"), F.col(f"_st.m{i}"), F.lit(0.0)))
+        out = out.withColumn(f"_s{i}", F.nullif(F.col(f"_st.s{i}"), F.lit(0.0))).withColumn(f"_m{i}", F.col(f"_st.m{i}"))
     return out.drop("_st")
 
 
@@ -44,35 +46,38 @@ def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
     cols = [c for k in ks for c in (f"n_{k}", f"knn_{k}")]
     schema = "player long, item long, " + ", ".join(f"n_{k} long, knn_{k} double" for k in ks)
 
-    def one(z, acc):
-        """(rows, ks) means for one player's rows in order."""
-        n = len(acc)
-        res = np.full((n, len(ks)), np.nan)
-        for lo in range(0, n, 256):
-            hi = min(lo + 256, n)
-            d = np.zeros((hi - lo, hi), np.int64)
+    def nearest(x, s):
+        """(distance, row) of the kmax nearest earlier rows of every row, nearest first; inf where there are fewer."""
+        n = len(x)
+        far, who = np.full((n, kmax), np.inf), np.zeros((n, kmax), np.int64)
+        for first in range(0, n - 1, TILE):
+            last = min(first + TILE, n)
+            later = np.arange(first + 1, n)  # rows with an earlier one in this tile
+            d = np.zeros((len(later), last - first))
             for i in range(na):
-                d += (z[lo:hi, None, i] - z[None, :hi, i]) ** 2
-            key = d * n + np.arange(hi)[None, :]
-            key[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = np.iinfo(np.int64).max
-            m = min(kmax, hi)
-            near = np.argpartition(key, m - 1, axis=1)[:, :m] if m < hi else np.broadcast_to(np.arange(hi), (hi - lo, hi))
-            sub = np.take_along_axis(key, near, 1)
-            o = np.argsort(sub, axis=1, kind="stable")
-            near = np.take_along_axis(near, o, 1)
-            a = np.where(np.take_along_axis(sub, o, 1) < np.iinfo(np.int64).max, acc[near], np.nan)
-            known = ~np.isnan(a)
-            cs, cn = np.cumsum(np.where(known, a, 0.0), 1), np.cumsum(known, 1)
-            for q, k in enumerate(ks):
-                e = min(k, m) - 1
-                res[lo:hi, q] = np.where(cn[:, e] > 0, cs[:, e] / np.maximum(cn[:, e], 1), np.nan)
-        return res
+                if s[i] > 0:
+                    d += np.square((x[later, None, i] - x[None, first:last, i]) / s[i])
+            d[np.arange(first, last)[None, :] >= later[:, None]] = np.inf
+            both = np.concatenate([far[later], d], axis=1)
+            rows = np.concatenate([who[later], np.broadcast_to(np.arange(first, last), d.shape)], axis=1)
+            best = np.argsort(both, axis=1, kind="stable")[:, :kmax]  # rows of a tile are later than those of tiles before it
+            far[later], who[later] = np.take_along_axis(both, best, 1), np.take_along_axis(rows, best, 1)
+        return far, who
+
+    def means(x, s, acc):
+        far, who = nearest(x, s)
+        value = np.where(np.isfinite(far), acc[who], np.nan)
+        known = ~np.isnan(value)
+        total, count = np.cumsum(np.where(known, value, 0.0), axis=1), np.cumsum(known, axis=1)
+        at = [k - 1 for k in ks]
+        return np.where(count[:, at] > 0, total[:, at] / np.maximum(count[:, at], 1), np.nan)
 
     def solve(pdf, edges):
-        z = pdf[[f"_z{i}" for i in range(na)]].to_numpy(np.int64)
+        x = pdf[[f"_x{i}" for i in range(na)]].to_numpy(float)
+        s = pdf[[f"_s{i}" for i in range(na)]].iloc[0].astype(float).fillna(0.0).to_numpy()
         acc = pdf["acc"].to_numpy(float)
         pos = pdf["_idx"].to_numpy(np.int64) - 1
-        res = np.concatenate([one(z[a:b], acc[a:b]) for a, b in zip(edges, edges[1:])])
+        res = np.concatenate([means(x[a:b], s, acc[a:b]) for a, b in zip(edges, edges[1:])])
         out = {"player": pdf["player"].to_numpy(), "item": pdf["item"].to_numpy()}
         for q, k in enumerate(ks):
             out[f"n_{k}"] = np.minimum(pos, k)
@@ -91,44 +96,46 @@ def _small(df: DataFrame, na: int, ks: list[int]) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest, [0, len(rest)])
 
-    src = df.select("player", "item", "_idx", "acc", *[f"_z{i}" for i in range(na)])
+    src = df.select("player", "item", "_idx", "acc", *[f"_{n}{i}" for n in "xs" for i in range(na)])
     return src.repartition("player").sortWithinPartitions("player", "_idx").mapInPandas(run, schema).select("player", "item", *cols)
 
 
-def _large(df: DataFrame, na: int, ks: list[int], start_level: int) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
+def _large(df: DataFrame, na: int, ks: list[int], finest: int) -> DataFrame:
     kmax = max(ks)
-    zs = [f"_z{i}" for i in range(na)]
-    rows = df.select("player", "item", "_idx", "acc", *zs)
-    points = ranks.top_n(rows, ["player", *zs], ["_idx"], kmax, "_pt").drop("_pt", "item")
-    span = rows.groupBy("player").agg(F.greatest(*[F.max(z) - F.min(z) for z in zs]).alias("_span"))
-    epoch = F.ceil(F.log2(F.col("_idx"))).cast("int")
-    todo = rows.join(F.broadcast(span), "player").withColumns({"_lv": F.lit(start_level), "_ep": epoch}).checkpoint()
-    top = F.ceil(F.log2(F.col("_span") + 1)).cast("int")
-    done = None
+    xs, zs, ss = ([f"_{n}{i}" for i in range(na)] for n in "xzs")
+    z = {f"_z{i}": F.coalesce((F.col(f"_x{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}"), F.lit(0.0)) for i in range(na)}
+    rows = cut(df.withColumns(z).select("player", "item", "_idx", "acc", *xs, *zs, *ss))
+    points = cut(ranks.top_n(rows.select("player", "_idx", "acc", *xs, *zs), ["player", *xs], ["_idx"], kmax, "_pt").drop("_pt"))
+    span = rows.groupBy("player").agg(F.greatest(F.lit(0.0), *[F.max(z) - F.min(z) for z in zs]).alias("_span"))
+    todo = cut(rows.join(span, "player").withColumn("_ep", F.ceil(F.log2(F.col("_idx"))).cast("int")))
     offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(t)]) for t in itertools.product((-1, 0, 1), repeat=na)])
-    level = start_level
+    done, level = None, finest
     while not todo.isEmpty():
+        side = float(2.0**level)  # a power of two: the number of a cell is exact
+
         def cell(z):
-            return F.floor(F.col(z) / float(2**level)).cast("long")
+            return F.floor(F.col(z) / side).cast("long")
 
         # a candidate serves every epoch that still has open targets and ends after it: at most log2(rows) of them
         open_ = todo.groupBy("player", "_ep").agg(F.max("_idx").alias("_upto"))
-        cand = points.join(F.broadcast(open_), "player").filter(F.col("_idx") < F.col("_upto"))
-        cand = cand.select("player", "_ep", F.col("_idx").alias("_ci"), F.col("acc").alias("_ca"), *[F.col(z).alias("c" + z) for z in zs], *[cell(z).alias(f"_g{i}") for i, z in enumerate(zs)])
+        cand = points.join(open_, "player").filter(F.col("_idx") < F.col("_upto"))
+        cand = cand.select("player", "_ep", F.col("_idx").alias("_ci"), F.col("acc").alias("_ca"), *[F.col(x).alias("c" + x) for x in xs], *[cell(z).alias(f"_g{i}") for i, z in enumerate(zs)])
         tg = todo.withColumn("_o", F.explode(offsets))
         tg = tg.withColumns({f"_g{i}": cell(z) + F.col(f"_o.o{i}") for i, z in enumerate(zs)})
         pairs = tg.join(cand, ["player", "_ep", *[f"_g{i}" for i in range(na)]]).filter(F.col("_ci") < F.col("_idx"))
-        dist = sum((F.col(z) - F.col("c" + z)) * (F.col(z) - F.col("c" + z)) for z in zs)
-        near = ranks.top_n(pairs.select("player", "item", "_ci", "_ca", dist.alias("_d")), ["player", "item"], ["_d", "_ci"], kmax, "_r")
+        apart = [F.coalesce((F.col(x) - F.col("c" + x)) / F.col(s), F.lit(0.0)) for x, s in zip(xs, ss)]
+        near = ranks.top_n(pairs.select("player", "item", "_ci", "_ca", sum((a * a for a in apart), F.lit(0.0)).alias("_d")), ["player", "item"], ["_d", "_ci"], kmax, "_r")
         agg = near.groupBy("player", "item").agg(
             F.max("_d").alias("_far"), F.count(F.lit(1)).alias("_found"),
             *[F.count(F.when(F.col("_r") <= k, 1)).alias(f"n_{k}") for k in ks],
             *[F.avg(F.when(F.col("_r") <= k, F.col("_ca"))).alias(f"knn_{k}") for k in ks])
+        walls = [w for z in zs for w in (F.col(z) - cell(z) * side, (cell(z) + 1) * side - F.col(z))]
+        size = F.greatest(F.lit(1.0), *[F.abs(z) for z in zs])
+        reach = (F.least(*walls) + side) * (1 - 1e-9) - size * 1e-12
         need = F.least(F.lit(kmax), F.col("_idx") - 1)
-        # everything outside the searched cube is farther than one cell side
-        inside = (F.lit(level) >= top) | ((F.coalesce("_found", F.lit(0)) >= need) & (F.coalesce("_far", F.lit(0)) <= float(4**level)))
-        step = todo.join(agg, ["player", "item"], "left").withColumn("_ok", inside).checkpoint()
+        enough = (F.coalesce("_found", F.lit(0)) >= need) & (reach > 0) & (F.coalesce("_far", F.lit(0.0)) < reach * reach)
+        settled = (need == 0) | (F.col("_span") < side) | enough
+        step = cut(todo.join(agg, ["player", "item"], "left").withColumn("_ok", settled))
         hit = step.filter("_ok").select("player", "item", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in ks], *[f"knn_{k}" for k in ks])
         done = hit if done is None else done.unionByName(hit)
         todo = step.filter(~F.col("_ok")).select(*todo.columns)
@@ -136,14 +143,12 @@ def _large(df: DataFrame, na: int, ks: list[int], start_level: int) -> DataFrame
     return done
 
 
-def prior_neighbours(fp: DataFrame, order: list[str], axes: list[str], ks: list[int], hot=None, block: int = BLOCK, start_level: int = 0) -> DataFrame:
-    """(player, item, n_k, knn_k ...) for every row; n_k is how many neighbours were available."""
+def prior_neighbours(fp: DataFrame, order: list[str], axes: list[str], ks: list[int], hot=None, block: int = BLOCK, finest: int = FINEST) -> DataFrame:
+    """(player, item, n_k, knn_k ...) for every row; n_k is how many neighbours were available, those without an outcome included."""
     z = skew.prefix(standardise(fp, axes), ["player"], order, {"_idx": ("rank",)}, hot)
-    sizes = fp.groupBy("player").agg(F.count(F.lit(1)).alias("_size"))
-    big = sizes.filter(F.col("_size") > block)
+    big = fp.groupBy("player").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block).select("player")
     if big.isEmpty():
         return _small(z, len(axes), ks)
-    large = z.join(F.broadcast(big.select("player")), "player", "left_semi")
-    small = z.join(F.broadcast(big.select("player")), "player", "left_anti")
+    z, big = cut(z), cut(big)
     cols = ["player", "item", *[c for k in ks for c in (f"n_{k}", f"knn_{k}")]]
-    return _small(small, len(axes), ks).unionByName(_large(large, len(axes), ks, start_level).select(*cols))
+    return _small(z.join(big, "player", "left_anti"), len(axes), ks).unionByName(_large(z.join(big, "player", "left_semi"), len(axes), ks, finest).select(*cols))

@@ -182,10 +182,10 @@ def evl_half_life_sweep(spark, sf):
     return out.select("half_life", "n", r("mae", 3).alias("mae"))
 
 
-KNN = """WITH {S}, z AS (SELECT player, item, ts, seq, acc, row_number() OVER (PARTITION BY player ORDER BY ts, seq, item) AS rn,
- CAST(round((x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER () * 1000) AS BIGINT) AS z1, CAST(round((x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER () * 1000) AS BIGINT) AS z2 FROM smp),
- d AS (SELECT a.player, a.item, b.acc, row_number() OVER (PARTITION BY a.player, a.item ORDER BY (a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2), b.rn) AS r
- FROM z a JOIN z b ON a.player = b.player AND b.rn < a.rn)"""
+KNN = """WITH {S}, st AS (SELECT avg(CAST(x1 AS DOUBLE)) AS m1, stddev_pop(CAST(x1 AS DOUBLE)) AS s1, avg(CAST(x2 AS DOUBLE)) AS m2, stddev_pop(CAST(x2 AS DOUBLE)) AS s2 FROM smp),
+ z AS (SELECT player, item, ts, seq, acc, row_number() OVER (PARTITION BY player ORDER BY ts, seq, item) AS rn, coalesce(CAST(x1 AS DOUBLE), m1) AS x1, coalesce(CAST(x2 AS DOUBLE), m2) AS x2, s1, s2 FROM smp, st),
+ e AS (SELECT a.player, a.item, b.acc, b.rn, (a.x1 - b.x1) / a.s1 AS d1, (a.x2 - b.x2) / a.s2 AS d2 FROM z a JOIN z b ON a.player = b.player AND b.rn < a.rn),
+ d AS (SELECT player, item, acc, row_number() OVER (PARTITION BY player, item ORDER BY d1 * d1 + d2 * d2, rn) AS r FROM e)"""
 
 
 @query("win_knn_prior", KNN.format(S=S.SAMPLES) + " SELECT player, item, round(avg(acc) FILTER (WHERE r <= 20), 4) AS h_knn_acc FROM d GROUP BY 1, 2")
