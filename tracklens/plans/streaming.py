@@ -1,9 +1,10 @@
-"""Streaming query."""
+"""Streaming queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources import sinks
 from ..sources import tables as t
 from ..streaming import first_play as fs
@@ -11,11 +12,36 @@ from . import sqlparts as S
 from .registry import query
 
 
-@query("stm_first_play", f"""WITH {S.LOG}, f AS (SELECT player, item, min(ts) AS ts FROM log GROUP BY 1, 2) SELECT strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS week, count(*) AS n FROM f GROUP BY 1""")
+WEEKS = f"""WITH {S.LOG}, f AS (SELECT player, item, min(ts) AS ts FROM log GROUP BY 1, 2) SELECT strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS week, count(*) AS n FROM f GROUP BY 1"""
+SLICES = 4
+KEEP = "4000 days"  # longer than the log: no play of a known key may count again
+
+
+def timed_log(spark, sf):
+    return t.play_log(spark, sf).select("player", "item", "ts", F.timestamp_seconds("ts").alias("time"), "acc", "lamp")
+
+
+@query("stm_first_play", WEEKS)
 def stm_first_play(spark, sf):
-    """The log arrives as files over several micro-batches; the streamed first plays give the batch answer."""
+    """The log arrives in time order, slice after slice; each is drained from where the last one ended.  First plays are kept in
+    event-time state and counted in streaming weekly windows."""
+    src, out, ck = (sinks.scratch(spark, n) for n in ("log", "weeks", "commit"))
+    log = cut(timed_log(spark, sf))
+    last = log.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(SLICES if last[0] is not None else 0):
+        lo, hi = (last[0] + (last[1] + 1 - last[0]) * k // SLICES for k in (i, i + 1))
+        log.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(src)
+        stream = fs.log_stream(spark, src, 1_000_000)
+        fs.run_windows(fs.weekly_windows(fs.first_plays_in_order(stream, KEEP)), out, ck)
+    if last[0] is None:
+        return spark.createDataFrame([], "week string, n long")
+    return fs.latest_windows(spark, out).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n")
+
+
+@query("stm_first_play_any_order", WEEKS)
+def stm_first_play_any_order(spark, sf):
+    """The log arrives as files in any order over several micro-batches; the streamed first plays give the batch answer."""
     src, out, ck = (sinks.scratch(spark, n) for n in ("log", "first", "commit"))
-    log = t.play_log(spark, sf).select("player", "item", "ts", F.timestamp_seconds("ts").alias("time"), "acc", "lamp")
-    log.write.parquet(src)
+    timed_log(spark, sf).write.parquet(src)
     fs.run_updates(fs.first_plays(fs.log_stream(spark, src, 4)), out, ck)
     return fs.weekly(fs.compact(spark, out))

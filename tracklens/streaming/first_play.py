@@ -13,11 +13,37 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Da
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def earliest(stream: DataFrame) -> DataFrame:
+    """(player, item, time): the earliest row of every key in a micro-batch.
+
+    The rows of a key meet in one task, which holds one time for each of its keys."""
+    ddl = "player long, item long, time timestamp"
+
+    def run(batches):
+        import pandas as pd
+
+        best = None
+        for pdf in batches:
+            best = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
+            best = best.groupby(KEY, as_index=False, dropna=False)["time"].min()
+        if best is not None:
+            yield best
+
+    return stream.select(*KEY, "time").repartition(*KEY).mapInPandas(run, ddl)
+
+
 def first_plays_in_order(stream: DataFrame, keep: str) -> DataFrame:
-    """For a feed in time order: one row per key passes, from the first micro-batch that has the key; state is
-    dropped ``keep`` after it.  Which of several rows inside that micro-batch passes is not defined - use
-    ``first_plays`` where the exact time matters."""
-    return stream.withWatermark("time", keep).dropDuplicatesWithinWatermark(KEY)
+    """For a feed in time order: one row per key passes, the earliest of the first micro-batch that has the key.
+
+    Event time rules: a key is forgotten ``keep`` after its row, so a play later than that counts as a first one again, and a row
+    more than ``keep`` behind the newest one is late: it is dropped, and ``run_windows`` counts it.  A key whose earliest row of
+    a micro-batch is late is late there as a whole, and so are times up to 1970, where event time starts; feeds out of order by more than ``keep`` take ``first_plays``."""
+    return earliest(stream).withWatermark("time", keep).dropDuplicatesWithinWatermark(KEY)
+
+
+def weekly_windows(first: DataFrame) -> DataFrame:
+    """Streaming tumbling windows over first plays: (week, n), a week again in each micro-batch that changes it."""
+    return first.groupBy(week_of("time").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("week"), "n")
 
 
 def first_plays(stream: DataFrame) -> DataFrame:
@@ -34,9 +60,20 @@ def run_updates(agg: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_append(df: DataFrame, out: str, checkpoint: str) -> None:
-    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_windows(windows: DataFrame, out: str, checkpoint: str) -> int:
+    """Drain the available input into ``out`` (one folder a micro-batch) and return the number of late rows dropped."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """(week, n) as of the last micro-batch that changed the week."""
+    rows = spark.read.schema("week timestamp, n long, batch long").parquet(out)
+    return rows.groupBy("week").agg(F.max_by("n", "batch").alias("n"))
 
 
 def compact(spark: SparkSession, out: str) -> DataFrame:
@@ -44,7 +81,11 @@ def compact(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy(*KEY).agg(F.min("time").alias("time"))
 
 
+def week_of(time: str):
+    """The week (from Monday) of a time as a tumbling window."""
+    return F.window(time, "7 days", startTime="4 days")  # the epoch was a Thursday
+
+
 def weekly(fp: DataFrame) -> DataFrame:
-    """Tumbling weekly counts (weeks start on Monday)."""
-    w = F.window("time", "7 days", startTime="4 days")  # the epoch was a Thursday
-    return fp.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "n")
+    """Tumbling weekly counts of a table of first plays."""
+    return fp.groupBy(week_of("time").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "n")
