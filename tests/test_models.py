@@ -101,10 +101,37 @@ def test_streamed_first_plays_equal_batch(spark):
     log.repartition(6).write.parquet(src)
     fs.run_updates(fs.first_plays(fs.log_stream(spark, src, 2)), out, ck)
     assert sorted((r.player, r.item, r.time) for r in fs.compact(spark, out).collect()) == want
+
+
+def plays(spark, rows):
+    """(player, item, day) as log rows."""
+    return spark.createDataFrame(rows, "player long, item long, day long").select("player", "item", (F.col("day") * 86400).alias("ts"), F.timestamp_seconds(F.col("day") * 86400).alias("time"), F.lit(1.0).alias("acc"), F.lit(1).alias("lamp"))
+
+
+def streamed_weeks(spark, parts, keep):
+    """({Monday: n}, late rows of every part) of parts that arrive one after the other."""
     src, out, ck = (sinks.scratch(spark, n) for n in ("s", "o", "c"))
-    for lo in (0, 100, 200):  # three files in time order, one micro-batch each
-        log.filter(f"ts >= {lo * 3600} and ts < {(lo + 100) * 3600}").coalesce(1).write.mode("append").parquet(src)
-    fs.run_append(fs.first_plays_in_order(fs.log_stream(spark, src, 1), "30 days"), out, ck)
-    got = spark.read.parquet(out).select("player", "item", "ts").collect()
-    first = {(p, i): t.timestamp() // 360000 for p, i, t in want}
-    assert len(got) == len(want) and all(r.ts // 360000 == first[(r.player, r.item)] for r in got)
+    late = []
+    for part in parts:
+        plays(spark, part).write.mode("append").parquet(src)
+        late.append(fs.run_windows(fs.weekly_windows(fs.first_plays_in_order(fs.log_stream(spark, src, 100), keep)), out, ck))
+    return {r.week.strftime("%Y-%m-%d"): r.n for r in fs.latest_windows(spark, out).collect()}, late
+
+
+def test_ordered_feed_in_event_time_equals_batch(spark):
+    rows = [(i % 7, i % 11, i + 100) for i in range(150)]  # every key again after 77 days
+    got, late = streamed_weeks(spark, [rows[a : a + 50] for a in (0, 50, 100)], "1000 days")
+    log = plays(spark, rows)
+    want = {r.week: r.n for r in fs.weekly(log.groupBy("player", "item").agg(F.min("time").alias("time"))).collect()}
+    assert got == want and sum(got.values()) == 77 and not any(late)
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    parts = [[(1, 1, 4), (2, 2, 100)],  # the newest row is of day 100: with 30 days, day 70 is the limit from here on
+             [(3, 3, 75), (4, 4, 10), (2, 2, 101)],  # in time; late; seen before
+             [(5, 5, 180)],
+             [(2, 2, 181)]]  # forgotten by now: a first play again
+    got, late = streamed_weeks(spark, parts, "30 days")
+    assert sum(late) == 1 and late[0] == 0
+    assert sum(got.values()) == 5  # days 4, 100, 75, 180 and 181
+    assert got["1970-01-05"] == 1 and "1970-01-12" not in got

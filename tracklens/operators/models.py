@@ -6,6 +6,9 @@ left out); history features take the train median.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -15,8 +18,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from . import baselines
+from ..session import checkpoint_dir, cut
+from . import baselines, skew
 
 TREES = dict(maxIter=300, stepSize=0.06, maxDepth=3)  # reference settings; callers may lower maxIter
 
@@ -85,31 +88,72 @@ def content_ridge(train: DataFrame, test: DataFrame, feats: list[str], target: s
     return p.select(*test.columns, F.least(F.greatest(F.col("_mu") + F.col("_off") + F.col("_r"), F.lit(0.0)), F.lit(100.0)).alias("pred"))
 
 
+class Factors:
+    """Matrix factorisation over the shrunk additive bias: ALS on the train residuals.
+
+    The frames are written once, for any number of fits: residuals of the fitted rows, and the rows to predict with their bias.
+    Players and items are numbered by rank (ALS wants small numbers; the keys may be any).  A cold key falls back to the bias;
+    predictions are clipped to 0-100.
+    """
+
+    def __init__(self, train: DataFrame, test: DataFrame, target: str = "acc", shrink_k: float = 10.0):
+        checkpoint_dir(train.sparkSession)
+        self.target, self.columns = target, test.columns
+        numbers = [cut(skew.global_prefix(train.select(k).distinct(), [k], {n: ("rank",)}).select(k, F.col(n).cast("int").alias(n))) for k, n in (("player", "_u"), ("item", "_v"))]
+
+        def framed(rows):
+            out = baselines.predict(train, rows, target, shrink_k=shrink_k)
+            for k, d in zip(("player", "item"), numbers):
+                out = out.join(d, k, "left")
+            return out
+
+        bias = F.col("additive_shrunk")
+        self.residuals = cut(framed(train).filter(F.col(target).isNotNull()).select("_u", "_v", (F.col(target) - bias).cast("float").alias("_r")))
+        self.rows = cut(framed(test).select(*test.columns, "player_mean", "additive", "additive_shrunk", "_u", "_v"))
+
+    def predict(self, rank: int = 8, reg: float = 0.3, iters: int = 25, seed: int = 0) -> DataFrame:
+        """The rows with additive, additive_shrunk and mf."""
+        als = ALS(rank=rank, regParam=reg, maxIter=iters, seed=seed, userCol="_u", itemCol="_v", ratingCol="_r", coldStartStrategy="nan", checkpointInterval=10)
+        warm = als.fit(self.residuals).transform(self.rows.filter("_u is not null and _v is not null"))
+        cold = self.rows.filter("_u is null or _v is null").withColumn("prediction", F.lit(None).cast("float"))
+        latent = F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(0.0))
+        raw = F.col("additive_shrunk") + latent
+        return warm.unionByName(cold).select(*self.columns, "additive", "additive_shrunk", F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).alias("mf"))
+
+    def trace(self, rank: int, reg: float, steps: list[int], patience: int = 1, seed: int = 0) -> list[tuple[int, float]]:
+        """(iterations, MAE on the rows) for growing numbers of iterations, until ``patience`` steps in a row bring nothing."""
+        out, best, idle = [], None, 0
+        for n in steps:
+            out.append((n, mae(self.predict(rank, reg, n, seed), self.target, "mf")))
+            idle = 0 if best is None or out[-1][1] < best else idle + 1
+            best = out[-1][1] if best is None else min(best, out[-1][1])
+            if idle >= patience:
+                break
+        return out
+
+
 def als_predict(train: DataFrame, test: DataFrame, target: str = "acc", rank: int = 8, reg: float = 0.3, iters: int = 8, seed: int = 0, shrink_k: float = 10.0) -> DataFrame:
-    """Shrunk additive bias + ALS on its train residuals; a cold key falls back to the bias; clipped to 0-100."""
-    checkpoint_dir(train.sparkSession)
-    ids = lambda d: d.withColumns({"_u": F.col("player").cast("int"), "_v": F.col("item").cast("int")})
-    res = ids(baselines.predict(train, train, target, shrink_k=shrink_k)).select("_u", "_v", (F.col(target) - F.col("additive_shrunk")).cast("float").alias("_r"))
-    model = ALS(rank=rank, regParam=reg, maxIter=iters, seed=seed, userCol="_u", itemCol="_v", ratingCol="_r", coldStartStrategy="nan", checkpointInterval=5).fit(res)
-    te = model.transform(ids(baselines.predict(train, test, target, shrink_k=shrink_k)))
-    latent = F.when(F.isnan("prediction") | F.col("prediction").isNull(), 0.0).otherwise(F.col("prediction"))
-    raw = F.col("additive_shrunk") + latent
-    return te.select(*test.columns, "additive", "additive_shrunk", F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).cast("double").alias("mf"))
-
-
-def als_select(train: DataFrame, inner_keys: DataFrame, ranks_: list[int], regs: list[float], target: str = "acc", iters: int = 5) -> list[tuple[int, float, float]]:
-    """(rank, reg, inner MAE) per grid point, fitted inside the train rows only."""
+    """One fit of ``Factors``."""
+    return Factors(train, test, target, shrink_k).predict(rank, reg, iters, seed)
+
+
+def als_select(train: DataFrame, inner_keys: DataFrame, ranks_: list[int], regs: list[float], steps: list[int], target: str = "acc", patience: int = 1, parallel: int = 4) -> list[tuple[int, float, int, float]]:
+    """(rank, reg, iterations, inner MAE) of every fit of the grid, in grid order; each point stops early.
+
+    Models are fitted on the train rows outside ``inner_keys`` and scored on those inside; ``parallel`` points are fitted at a time.
+    """
     key = ["player", "item"]
-    fit = train.join(inner_keys, key, "left_anti").persist()
-    val = train.join(inner_keys, key, "left_semi").persist()
-    trace = []
-    for rk in ranks_:
-        for rg in regs:
-            p = als_predict(fit, val, target, rk, rg, iters)
-            trace.append((rk, rg, p.agg(F.avg(F.abs(F.col(target) - F.col("mf")))).first()[0]))
-    fit.unpersist()
-    val.unpersist()
-    return trace
+    inner_keys = cut(inner_keys)
+    frames = Factors(train.join(inner_keys, key, "left_anti"), train.join(inner_keys, key, "left_semi"), target)
+    points = [(rk, rg) for rk in ranks_ for rg in regs]
+    with ThreadPool(parallel) as pool:
+        traces = pool.map(inheritable_thread_target(train.sparkSession)(lambda p: frames.trace(*p, steps, patience)), points)
+    return [(*p, n, e) for p, tr in zip(points, traces) for n, e in tr]
+
+
+def best_point(trace: list[tuple[int, float, int, float]]) -> tuple[int, float, int, float]:
+    """The fit with the smallest inner MAE, of equal ones the first."""
+    return min(trace, key=lambda x: x[3])
 
 
 def classify(train: DataFrame, test: DataFrame, feats: list[str], label: str, estimator, out: str = "prob", impute: bool = True, scale: bool = False) -> DataFrame:

@@ -38,21 +38,30 @@ def table(spark, rows, schema):
     return spark.createDataFrame([tuple(round(v, 4) if isinstance(v, float) else v for v in x) for x in rows], schema)
 
 
+STEPS = [5, 10, 15, 20, 25]  # iterations at which early stopping looks
+DIMS, REGS = [2, 4, 8, 16, 32, 64], [0.3, 1.0, 3.0, 10.0, 30.0]
+
+
+def inner_keys(spark, sf, train):
+    return splits.per_player_quota(train, 0.1, 0, "ri_inner", t.hot(spark, sf, "player")).select(*KEY)
+
+
 @query("mdl_mf_als")
 def mdl_mf_als(spark, sf):
+    """Iterations chosen by early stopping on the inner split, then one fit on all train rows."""
     tr, te = matrix(spark, sf)
-    p = M.als_predict(tr, te, rank=8, reg=0.3, iters=6)
+    _, _, iters, _ = M.best_point(M.als_select(tr, inner_keys(spark, sf, tr), [8], [0.3], STEPS))
+    p = M.als_predict(tr, te, rank=8, reg=0.3, iters=iters)
     return p.select(*KEY, "acc", r("additive_shrunk").alias("bias_pred"), r("mf", 3).alias("mf_pred"))
 
 
 @query("mdl_mf_select")
 def mdl_mf_select(spark, sf):
-    """Grid trace on the inner split; ``chosen`` marks the frozen parameters."""
+    """Trace of the whole grid on the inner split, one row for each fit; ``chosen`` marks the frozen parameters."""
     tr, _ = matrix(spark, sf)
-    inner = splits.per_player_quota(tr, 0.1, 0, "ri_inner", t.hot(spark, sf, "player")).select(*KEY)
-    trace = M.als_select(tr, inner, [4, 8], [0.3, 1.0], iters=4)
-    best = min(trace, key=lambda x: x[2])
-    return table(spark, [(*x, x == best) for x in trace], "rank int, reg double, inner_mae double, chosen boolean")
+    trace = M.als_select(tr, inner_keys(spark, sf, tr), DIMS, REGS, STEPS)
+    best = M.best_point(trace)
+    return table(spark, [(*x, x == best) for x in trace], "rank int, reg double, iterations int, inner_mae double, chosen boolean")
 
 
 # ridge on two standardised axes, written out
