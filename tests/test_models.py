@@ -135,3 +135,27 @@ def test_late_rows_are_dropped_and_counted(spark):
     assert sum(late) == 1 and late[0] == 0
     assert sum(got.values()) == 5  # days 4, 100, 75, 180 and 181
     assert got["1970-01-05"] == 1 and "1970-01-12" not in got
+
+
+def test_gate_rules_and_latent_gain(spark):
+    rows = [("warm", s, p, 10.0 * i + e, 10.0 * i + e + 2 + i % 2, 10.0 * i + e + 4 + 3 * (i % 2), 10.0 * i + e + 3) for s in (0, 1) for p in (1, 2) for i in (0, 1) for e in (0.0, 1.0)]
+    rows += [("loo_1", s, p, 1.0, 3.0, 2.0, 2.5) for s in (0, 1) for p in (1, 2)] + [("cold_player", 0, 1, 1.0, 2.0, 2.0, 2.0), ("cold_player", 0, 1, None, 9.0, 0.0, 0.0)]
+    pred = spark.createDataFrame(rows, "split string, seed int, player long, acc double, mf double, gate double, bias double")
+    got = {r.split: r for r in E.gate_table(E.seed_errors(pred, "acc", ["mf", "gate", "bias"]), "mf", "gate", "bias").collect()}
+    assert got["warm"].passed and got["warm"].mae == 2.5 and got["warm"].gate_mae == 5.5 and got["warm"].centred_mae == 0.5 and got["warm"].latent_gain == 0.5 and got["warm"].latent_helps and got["warm"].note is None
+    assert not got["loo_1"].passed and got["loo_1"].reasons == "mae: no stable win" and got["loo_1"].centred_mae is None and "one test row" in got["loo_1"].note and got["loo_1"].latent_gain == -0.5
+    assert got["cold_player"].passed and got["cold_player"].mae == 1.0
+
+
+def test_trace_stops_early_and_grid_takes_the_smallest_error(spark):
+    m = splits.random_mask(matrix(spark), 1, 0.2).cache()
+    tr, te = m.filter("not is_test"), m.filter("is_test")
+    inner = splits.random_mask(tr.drop("is_test"), 7, 0.2, "inner").filter("is_test").select("player", "item")
+    trace = M.als_select(tr, inner, [2, 3], [0.05, 1e4], [2, 6, 10, 14], patience=1)
+    by = {}
+    for rank, reg, n, e in trace:
+        by.setdefault((rank, reg), []).append((n, e))
+    assert list(by) == [(2, 0.05), (2, 1e4), (3, 0.05), (3, 1e4)]
+    for steps in by.values():  # ends at the first step that brings nothing
+        assert all(b[1] < a[1] for a, b in zip(steps[:-1], steps[1:-1])) and (len(steps) == 4 or steps[-1][1] >= steps[-2][1])
+    assert M.best_point(trace)[1] == 0.05 and M.best_point(trace)[3] == min(e for *_, e in trace)

@@ -193,3 +193,46 @@ def stable_gain(summary: DataFrame, challenger: str, reference: str) -> DataFram
     wins = F.when(lower, F.col("best_hi") < F.col("reference")).otherwise(F.col("best_lo") > F.col("reference"))
     out = c.join(ref, "metric").withColumn("gain", gain).withColumn("all_seeds_win", wins)
     return out.withColumn("gain_exceeds_std", F.col("gain") > F.col("challenger_std")).withColumn("stable_win", F.col("all_seeds_win") & F.col("gain_exceeds_std")).drop("best_lo", "best_hi")
+
+
+def seed_errors(pred: DataFrame, y: str, models: list[str]) -> DataFrame:
+    """(split, seed, model, metric, value) of predictions (split, seed, player, ``y``, one column a model).
+
+    mae, and the centred MAE (actual and predicted value each less its player's mean), which is NULL where no player has two rows.
+    """
+    by = ["split", "seed"]
+    known = pred.filter(F.col(y).isNotNull())
+    means = known.groupBy(*by, "player").agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_y"), *[F.avg(m).alias(f"_p{i}") for i, m in enumerate(models)])
+    j = known.join(means, [*by, "player"])
+    within = [F.when(F.max("_n") > 1, F.avg(F.abs((F.col(y) - F.col("_y")) - (F.col(m) - F.col(f"_p{i}"))))) for i, m in enumerate(models)]
+    wide = j.groupBy(*by).agg(*[F.avg(F.abs(F.col(y) - F.col(m))).alias(f"mae{i}") for i, m in enumerate(models)], *[w.alias(f"centred_mae{i}") for i, w in enumerate(within)])
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("metric"), F.col(f"{k}{i}").alias("value")) for i, m in enumerate(models) for k in ("mae", "centred_mae")])
+    return wide.select(*by, F.explode(rows).alias("s")).select(*by, "s.*")
+
+
+def gate_table(errors: DataFrame, model: str, gate: str, bias: str, cold: tuple[str, ...] = ("cold_player",)) -> DataFrame:
+    """One row a split from ``seed_errors``: does ``model`` win over ``gate``, and is it more than the regularised ``bias``?
+
+    A win is stable when every seed beats the gate's mean and the gain exceeds the model's spread over seeds.  A warm split passes when
+    all its metrics are stable wins; a metric that is NULL on a split is no part of it, and ``note`` says so.  A cold
+    split passes when the model is not worse than the gate.  ``latent_gain`` is the bias's MAE less the model's.
+    """
+    s = errors.groupBy("split", "model", "metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.max("value").alias("worst"), F.countDistinct("seed").alias("n_seeds"))
+
+    def at(who, metric, what):
+        return F.max(F.when((F.col("model") == who) & (F.col("metric") == metric), F.col(what)))
+
+    wide = s.groupBy("split").agg(
+        F.max("n_seeds").alias("n_seeds"), at(model, "mae", "mean").alias("mae"), at(gate, "mae", "mean").alias("gate_mae"), at(model, "mae", "std").alias("seed_std"), at(model, "mae", "worst").alias("_w"),
+        at(model, "centred_mae", "mean").alias("centred_mae"), at(gate, "centred_mae", "mean").alias("gate_centred_mae"), at(model, "centred_mae", "std").alias("_cs"), at(model, "centred_mae", "worst").alias("_cw"),
+        at(bias, "mae", "mean").alias("bias_mae"))
+    stable = (F.col("_w") < F.col("gate_mae")) & (F.col("gate_mae") - F.col("mae") > F.col("seed_std"))
+    within = (F.col("_cw") < F.col("gate_centred_mae")) & (F.col("gate_centred_mae") - F.col("centred_mae") > F.col("_cs"))
+    is_cold, degenerate = F.col("split").isin(*cold), F.col("centred_mae").isNull()
+    not_worse = F.col("mae") <= F.col("gate_mae") + 1e-9
+    reasons = F.array_compact(F.array(
+        F.when(is_cold & ~not_worse, "worse than the gate"), F.when(~is_cold & ~stable, "mae: no stable win"), F.when(~is_cold & ~degenerate & ~within, "centred_mae: no stable win")))
+    out = wide.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("latent_gain", F.col("bias_mae") - F.col("mae"))
+    note = F.when(degenerate, "one test row per player: no within-player metrics").when(is_cold, "no train rows of the player: only the item effect is left")
+    return out.select("split", "n_seeds", "mae", "gate_mae", "centred_mae", "gate_centred_mae", "bias_mae", (F.col("reasons") == "").alias("passed"), "reasons", "latent_gain",
+                      (F.col("latent_gain") > F.col("seed_std")).alias("latent_helps"), note.alias("note"))

@@ -88,6 +88,12 @@ def content_ridge(train: DataFrame, test: DataFrame, feats: list[str], target: s
     return p.select(*test.columns, F.least(F.greatest(F.col("_mu") + F.col("_off") + F.col("_r"), F.lit(0.0)), F.lit(100.0)).alias("pred"))
 
 
+def side_by_side(spark, work, points: list, parallel: int = 4) -> list:
+    """``work`` of every point, ``parallel`` Spark jobs at a time; results in the order of the points."""
+    with ThreadPool(parallel) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), points)
+
+
 class Factors:
     """Matrix factorisation over the shrunk additive bias: ALS on the train residuals.
 
@@ -146,8 +152,7 @@ def als_select(train: DataFrame, inner_keys: DataFrame, ranks_: list[int], regs:
     inner_keys = cut(inner_keys)
     frames = Factors(train.join(inner_keys, key, "left_anti"), train.join(inner_keys, key, "left_semi"), target)
     points = [(rk, rg) for rk in ranks_ for rg in regs]
-    with ThreadPool(parallel) as pool:
-        traces = pool.map(inheritable_thread_target(train.sparkSession)(lambda p: frames.trace(*p, steps, patience)), points)
+    traces = side_by_side(train.sparkSession, lambda p: frames.trace(*p, steps, patience), points, parallel)
     return [(*p, n, e) for p, tr in zip(points, traces) for n, e in tr]
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw_hex, r
@@ -64,6 +67,40 @@ def mdl_mf_select(spark, sf):
     return table(spark, [(*x, x == best) for x in trace], "rank int, reg double, iterations int, inner_mae double, chosen boolean")
 
 
+GATE_SEEDS = [0, 1, 2]
+GATE_LOO = [1, 5, 10]
+
+
+def gate_predictions(spark, sf):
+    """(split, seed, player, item, acc, additive, additive_shrunk, mf): a factorisation fitted for every split and seed."""
+    best = cut(t.best_rows(spark, sf).select(*KEY, "acc"))
+
+    def held(split, seed):
+        if split == "random_interaction":
+            return splits.random_mask(best, seed, 0.2).filter("is_test").select(*KEY), KEY
+        if split == "cold_player":
+            return splits.cold_groups(best, "player", 0.1, seed, "cold_player"), ["player"]
+        return splits.leave_k_out(best, int(split.split("_")[1]), seed), KEY
+
+    def one(point):
+        split, seed = point
+        keys, on = held(split, seed)
+        keys = cut(keys)
+        p = M.als_predict(best.join(keys, on, "left_anti"), best.join(keys, on, "left_semi"), rank=8, reg=0.3, iters=10, seed=seed)
+        return cut(p.select(F.lit(split).alias("split"), F.lit(seed).alias("seed"), *p.columns))
+
+    points = [(s, seed) for s in ["random_interaction", *[f"loo_{k}" for k in GATE_LOO], "cold_player"] for seed in GATE_SEEDS]
+    frames = M.side_by_side(spark, one, points)
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("evl_gate_m3")
+def evl_gate_m3(spark, sf):
+    """The factorisation against the additive gate on every split over the seeds, with reasons, and what its latent part adds to the shrunk bias."""
+    out = E.gate_table(E.seed_errors(gate_predictions(spark, sf), "acc", ["mf", "additive", "additive_shrunk"]), "mf", "additive", "additive_shrunk")
+    return rd(out, 6)
+
+
 # ridge on two standardised axes, written out
 RIDGE = f"""WITH {S.BEST}, {S.ITEMS}, d AS (SELECT best.*, x1, x2, {RI} AS is_test FROM best JOIN items USING (item)), tr AS (SELECT * FROM d WHERE NOT is_test), mu AS (SELECT avg(acc) AS mu, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM tr),
  pe AS (SELECT player, avg(acc) AS mp FROM tr GROUP BY player), z AS (SELECT d.*, mu, coalesce(mp - mu, 0) AS off, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM d LEFT JOIN pe USING (player), mu),
