@@ -288,3 +288,77 @@ def test_token_ids_are_those_of_the_tokenizer():
     ids = packing.WordIds(path)
     for t in ["", " ", "Hello, world's n°5!!", "İstanbul ΣΑΣ x\x1cy á 你好 don'T", "a\x85b\xa0c   d <|endoftext|>", "a <|endoftext|> b", "<|STARTOFTEXT|>x", "<|endoftext"]:
         assert np.frombuffer(ids.of(t.encode()), ids.width).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def smallest_capacity(sizes, shards):
+    """By trying: the least largest shard of a contiguous partition."""
+    def fits(c):
+        used, room = 1, c
+        for s in sizes:
+            if s > c:
+                return False
+            if s > room:
+                used, room = used + 1, c
+            room -= s
+        return used <= shards
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_even_cuts_keep_the_smallest_capacity(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 5, 40, 300]) for _ in range(rng.randint(1, 60))]
+    shards = rng.randint(1, 9)
+    capacity, ends = smallest_capacity(sizes, shards), np.cumsum(sizes)
+    cuts = sharding.even_cuts(ends, capacity, shards)
+    assert cuts[-1] == ends[-1] and len(cuts) <= shards and set(cuts) <= set(ends.tolist()) and cuts == sorted(set(cuts))
+    assert max(np.diff([0, *cuts])) == capacity
+
+
+@pytest.mark.parametrize("place", [0, 700, 2999])
+def test_even_cuts_beside_a_group_of_half_of_all_bytes(place):
+    sizes = [10] * 3000
+    sizes[place] = 30_000
+    ends = np.cumsum(sizes)
+    cuts = sharding.even_cuts(ends, smallest_capacity(sizes, 16), 16)
+    assert len(cuts) == 16
+    own = np.diff([0, *cuts])
+    assert max(own) == 30_000 and min(x for x in own) > 0 and sorted(own)[-2] <= 2 * 30_000 / 15
+
+
+def test_even_cuts_of_like_groups_are_near_equal():
+    sizes = [random.Random(1).randint(1, 50)] * 5000
+    own = np.diff([0, *sharding.even_cuts(np.cumsum(sizes), smallest_capacity(sizes, 16), 16)])
+    assert max(own) - min(own) <= 2 * max(sizes)
+
+
+@pytest.mark.parametrize("page,blocks", [
+    ("<p class=it's>Hello world, a.</p><p>b</p>", ["Hello world, a.", "b"]),
+    ('<p title="a>Hello</p><p class="b">x</p>', ["Hello", "x"]),
+    ("<a title=\"x > y\" href='q > r'>t</a>", ["t"]),
+    ('<p title="a>Hello', ["Hello"]),
+    ("<p 'odd \"quotes>w</p>", ["w"]),
+    ('x<img alt="">z', ["xz"]),
+])
+def test_quotes_open_values_only(page, blocks):
+    assert [t for _, t in html.parse(page)[1]] == blocks
+
+
+def test_very_long_pages_of_open_quotes():
+    for page in ('<p a="' * 100_000, "<p " + '="x' * 100_000, "<" * 500_000, "<p " + "= " * 200_000):
+        html.parse(page)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_even_cuts_make_the_smallest_shard_as_large_as_can_be(seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 5, 9, 30]) for _ in range(rng.randint(1, 10))]
+    ends = np.cumsum(sizes)
+    shards = min(rng.randint(1, 4), len(sizes))
+    ways = [np.diff([0, *c, ends[-1]]) for c in combinations(ends[:-1].tolist(), shards - 1)]
+    capacity = min(max(w) for w in ways)
+    own = np.diff([0, *sharding.even_cuts(ends, capacity, shards)])
+    assert max(own) == capacity and min(own) == max(min(w) for w in ways if max(w) <= capacity)

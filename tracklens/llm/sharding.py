@@ -1,16 +1,18 @@
 """Minimax contiguous partition of rows into shards.
 
 Rows with equal text form one atomic group; groups stand in the order of their smallest key.  The smallest capacity for
-which a greedy scan needs no more than ``shards`` shards is found by binary search, and the greedy scan with that
-capacity makes the cuts, so no contiguous partition has a smaller largest shard.
+which a greedy scan needs no more than ``shards`` shards is found by binary search, so no contiguous partition has a smaller
+largest shard.  A greedy scan with that capacity would fill the first shards and leave the last ones empty where one group is larger
+than a fair share; so of all cuts within that capacity those are made that leave the smallest shard as large as can be.
 
 The scan never sees all groups on the driver.  Groups get running totals on Spark; a group's end is its running total
 with itself.  A greedy step asks for the last end at or below a bound.  From a histogram of the ends (one row a bucket: smallest
 and largest end) that question has a lower and an upper answer, hence every capacity is surely feasible, surely
 infeasible or open.  Where some stay open, only the buckets on which the scans depend get a finer histogram, until no
-answer is open.  Each histogram has about ``BUCKETS`` rows, whatever the input.
+answer is open.  Each histogram has about ``BUCKETS`` rows, whatever the input.  The even cuts are among the ends
+that the histograms name.
 
-Null text counts as empty.  A shard may stay empty when there are fewer groups than shards.  Rows that are equal in
+Null text counts as empty.  A shard stays empty only when there are fewer groups than shards.  Rows that are equal in
 all columns are told apart by nothing but their slot.  An empty table gives an empty result.
 """
 
@@ -66,6 +68,35 @@ def least(total: int, low: int, high: int, ok) -> int:
     return high
 
 
+def even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts among ``ends`` (ascending, the last is the total) that make no shard larger than ``capacity`` and the smallest one as large
+    as that allows; of several such cuts those closest to even shares.  Some cuts within the capacity must exist."""
+    at = np.concatenate([[0], ends]).astype(np.int64)
+    n = min(shards, len(ends))
+    first = np.searchsorted(at, at - capacity, "left")
+
+    def reached(floor: int) -> list[np.ndarray]:
+        """[j]: the places that j shards of floor to capacity can end at."""
+        last = np.searchsorted(at, at - floor, "right")
+        out = [at == 0]
+        for _ in range(n):
+            before = np.concatenate([[0], np.cumsum(out[-1])])
+            out.append(before[np.maximum(last, first)] > before[first])
+        return out
+
+    low, high = 1, int(at[-1]) // n + 1  # every shard can hold something; none can hold more than a share
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if reached(mid)[n][-1] else (low, mid)
+    places, k, cuts = reached(low), len(at) - 1, []
+    for j in range(n, 0, -1):
+        cuts.append(int(at[k]))
+        from_, to = first[k], np.searchsorted(at, at[k] - low, "right")
+        open_ = from_ + np.flatnonzero(places[j - 1][from_:to])
+        k = int(open_[np.abs(at[open_] - at[k] * (j - 1) / j).argmin()])
+    return cuts[::-1]
+
+
 def histogram(groups: DataFrame, end: str, edges: np.ndarray, wanted: np.ndarray) -> list:
     """(smallest, largest) end in each wanted interval (edges[k], edges[k + 1]] that holds one; one row for each."""
     ddl = "b int, lo long, hi long"
@@ -87,7 +118,7 @@ def histogram(groups: DataFrame, end: str, edges: np.ndarray, wanted: np.ndarray
 
 
 def minimax_cuts(groups: DataFrame, end: str, shards: int, buckets: int = BUCKETS, probes: int = 16) -> tuple[int, list[int]]:
-    """(capacity, cuts): the smallest capacity and the ends at which its greedy scan cuts.
+    """(capacity, cuts): the smallest capacity and the ends at which shards of about equal size within it are cut.
 
     ``groups`` has one row a group with its end (running total with itself, all different and above 0).  Each round
     searches with what is known; where it stays open, greedy scans of ``probes`` capacities of the open interval tell which
@@ -121,7 +152,7 @@ def minimax_cuts(groups: DataFrame, end: str, shards: int, buckets: int = BUCKET
                         touched[k] = True  # the answer depends on ends inside this bucket
                     at = max(at, answer(x))
         if not touched.any():
-            return sure, greedy(known.at_least, total, sure, shards)
+            return sure, even_cuts(np.unique(np.concatenate([known.low, known.high])), sure, shards)
         replaced, each = touched, max(2, buckets // int(touched.sum()))
         parts, want = [], []
         for a, b in zip(known.low[touched] - 1, known.high[touched]):
