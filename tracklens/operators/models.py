@@ -6,6 +6,7 @@ left out); history features take the train median.
 
 from __future__ import annotations
 
+import itertools
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -161,6 +162,25 @@ def best_point(trace: list[tuple[int, float, int, float]]) -> tuple[int, float,
     return min(trace, key=lambda x: x[3])
 
 
+def boost_select(rows: DataFrame, feats: list[str], label: str, fold: str, folds: int, grid: dict[str, list], rounds: list[int], parallel: int = 4) -> list[tuple]:
+    """(rounds, *settings, mean MAE over the folds) of every point of ``grid`` x ``rounds``, in grid order.
+
+    Boosting is stage-wise, so one fit with the most rounds has the errors of all smaller numbers.  The frame is written once; ``parallel`` fits run at a time.
+    """
+    frame = cut(VectorAssembler(inputCols=feats, outputCol="features").transform(_double(rows.dropna(subset=[*feats, label]), [*feats, label])).select(fold, "features", label))
+    settings = [dict(zip(grid, x)) for x in itertools.product(*grid.values())]
+
+    def errors(point):
+        setting, k = point
+        model = gbt(max(rounds)).setParams(**setting).setLabelCol(label).fit(frame.filter(F.col(fold) != k))
+        trace = model.evaluateEachIteration(frame.filter(F.col(fold) == k), "absolute")
+        return [trace[n - 1] for n in rounds]
+
+    found = side_by_side(rows.sparkSession, errors, [(s, k) for s in settings for k in range(folds)], parallel)
+    means = [[sum(x) / folds for x in zip(*found[i * folds : (i + 1) * folds])] for i in range(len(settings))]
+    return [(n, *s.values(), e[j]) for s, e in zip(settings, means) for j, n in enumerate(rounds)]
+
+
 def classify(train: DataFrame, test: DataFrame, feats: list[str], label: str, estimator, out: str = "prob", impute: bool = True, scale: bool = False) -> DataFrame:
     """Probability of class 1 (or the predicted class with ``out='class'``)."""
     tr = _double(train, feats).withColumn("_label", F.col(label).cast("double"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence", "grid", "corpus", "sources", "models", "linear", "bands", "scoring", "streaming"]
+MODULES = ["causal", "response", "joins", "audit", "splits", "metrics", "sequence", "grid", "corpus", "sources", "models", "transfer", "linear", "bands", "scoring", "streaming"]
 
 
 def load_all():

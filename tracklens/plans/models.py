@@ -221,34 +221,3 @@ def mdl_interaction(spark, sf):
     tr, te = tr.join(cl, "player"), te.join(cl, "player")
     rows = [(name, M.mae(M.interaction_predict(tr, te, CONTENT, "client", "acc", trees, ITERS), "acc", "pred")) for name, trees in (("linear", False), ("trees", True))]
     return table(spark, rows, "model string, mae double")
-
-
-@query("mdl_tune_nested")
-def mdl_tune_nested(spark, sf):
-    """Tree depth on inner item folds of the train rows; the test rows are read once, with the chosen depth."""
-    tr, te = matrix(spark, sf)
-    tr = tr.withColumn("fold", splits.fold(2, 5, "item"))
-    rows = []
-    for d in (2, 4):
-        errs = [M.mae(M.fit_predict(tr.filter(F.col("fold") != k), tr.filter(F.col("fold") == k), CONTENT, "acc", M.gbt(6).setMaxDepth(d), impute=False), "acc", "pred") for k in range(2)]
-        rows.append((d, sum(errs) / 2))
-    best = min(rows, key=lambda x: x[1])[0]
-    test = M.mae(M.fit_predict(tr, te, CONTENT, "acc", M.gbt(6).setMaxDepth(best), impute=False), "acc", "pred")
-    return table(spark, [(d, e, d == best, test if d == best else None) for d, e in rows], "max_depth int, inner_mae double, chosen boolean, test_mae double")
-
-
-@query("mdl_transfer")
-def mdl_transfer(spark, sf):
-    """Per held-out client: M0 item only, M1 own history only, M2 cross-player; models see the other clients' players only."""
-    fp, hot = t.samples(spark, sf), t.hot(spark, sf, "player")
-    h = causal.history(fp, t.FP_ORDER, hot).join(t.clients(spark, sf).select("player", "client"), "player")
-    h = cut(h.select(*KEY, "client", "acc", *CONTENT, *HIST))
-    mu = h.agg(F.avg("acc")).first()[0]
-    out = None
-    for c in sorted(x.client for x in h.filter("client is not null").select("client").distinct().collect()):
-        tr, te = h.filter(~F.col("client").eqNullSafe(c)), h.filter(F.col("client") == c)
-        p = M.fit_predict(tr, M.fit_predict(tr, te, CONTENT, "acc", M.gbt(4), impute=False, out="m0"), CONTENT + HIST, "acc", M.gbt(4), out="m2").withColumn("m1", F.coalesce("h_acc_mean", F.lit(mu)))
-        few = F.col("h_n_firstplays") < 10
-        s = p.agg(F.lit(c).alias("client"), F.count(F.lit(1)).alias("n"), *[r(F.avg(F.abs(F.col("acc") - F.col(m))), 4).alias(f"mae_{m}") for m in ("m0", "m1", "m2")], r(F.avg(F.when(few, F.abs(F.col("acc") - F.col("m2")))), 4).alias("mae_m2_few"))
-        out = s if out is None else out.unionByName(s)
-    return out
