@@ -6,9 +6,10 @@ words are neighbours.  Tokenised documents are range-partitioned and sorted by t
 documents end to end and cuts the stream into sequences.  What is left at the end of a partition is cut at powers of two, which need no padding.
 
 Tokenising happens once, into a table in the shared folder; the range sort reads only the key for its bounds.  Equal keys are told
-apart by a hash of the document's key, so copies spread over partitions.  Memory holds one document and one open sequence.
+apart by a hash of the document's key, so copies spread over partitions.  The number of ranges follows from the size of that table, so a task's
+sort does not grow with the input.  Memory holds one document and one open sequence.
 
-Null texts count as empty: such a document has its end token alone.  Repeated rows are packed one by one.  An empty table gives
+Null keys are packed like any other; pieces of several rows without a key can be told apart by their place only.  Null texts count as empty: such a document has its end token alone.  Repeated rows are packed one by one.  An empty table gives
 an empty result.
 """
 
@@ -25,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stage, tasks_for, texts, to_batch
+from .common import arrow_schema, stage, stored_bytes, tasks_for, texts, to_batch
 
 SEQUENCE = 2048
 END = 1
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
+RANGE_BYTES = 64 << 20  # stored ids of one range of the curve
 
 
 _LETTERS, _NUMBERS = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ", "0-9²³¹¼½¾"
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     table = stage(tokenised(docs, path, key, text), "packing")
     order = table.withColumn("_tie", F.xxhash64(F.col(f"`{key}`"))).select(F.col(f"`{key}`"), "ids", "curve", "_tie")
     sort = ["curve", "_tie", f"`{key}`"]
-    order = order.repartitionByRange(tasks_for(order), *sort).sortWithinPartitions(*sort, "ids").select(F.col(f"`{key}`"), "ids")
+    order = order.repartitionByRange(tasks_for(order, -(-stored_bytes(table) // RANGE_BYTES)), *sort).sortWithinPartitions(*sort, "ids").select(F.col(f"`{key}`"), "ids")
     ddl = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     schema = arrow_schema(docs, ddl)
 
