@@ -224,7 +224,11 @@ def fit_linear(docs: np.ndarray, feats: np.ndarray, y: np.ndarray, size: int, st
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, least_docs: int = 5) -> Model:
-    """``fit_rows`` bounds the labelled rows that the model sees; they are drawn by a hash of the key outside the held-out fold."""
+    """``fit_rows`` bounds the labelled rows that the model sees; they are drawn by a hash of the key outside the held-out fold.
+
+    Of rows that share a key the sample takes one, that with the smallest text hash; of labels that share a key the largest counts.
+    Labels without key or value are not used.
+    """
     seeds = seed_features()
     k = F.col(f"`{key}`")
     chosen = (
@@ -232,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .groupBy("_k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_k"), "_k").limit(fit_rows)
     )
     chosen = stage(chosen, "toxic-chosen")  # at most fit_rows rows
-    sample = docs.select(k.alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_k").select("text", "toxic")
+    own = docs.select(k.alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_k")
+    sample = own.groupBy("_k", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")  # one row a key
     sample = stage(sample, "toxic-sample")
     mined = mine(sample, least_docs, MOST_FEATURES)
     features = np.unique(np.concatenate([seeds, mined]))
@@ -248,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 cut = np.searchsorted(d, np.arange(len(v) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in v], pa.binary()), pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=schema)
 
-    rows = sample.select("text").mapInArrow(run, ddl).toPandas()  # bounded by fit_rows and repeats of keys
+    rows = sample.select("text").mapInArrow(run, ddl).toPandas()  # bounded by fit_rows
     if not len(rows):
         return Model(features, np.full(len(features), 4.0), -2.0)
     v = np.stack([np.frombuffer(x, np.int8) for x in rows.votes])
