@@ -14,8 +14,9 @@ Every candidate is verified by the exact word edit distance between the item and
 when the distance is at most ``(1 - similarity)`` of the item's words.
 
 Words are compared without case and outer punctuation.  Null and empty texts and items without words match nothing.  Items with
-fewer than ``least_words`` words count only where their words stand in a row without any edit.  Repeated rows are judged one by one.  The benchmark is the stated
-query set: it is read in blocks of bounded size, each against all documents; documents are never shuffled.
+fewer than ``least_words`` words count only where their words stand in a row without any edit.  Repeated rows are judged one by one, also rows without a key.  The benchmark is the stated
+query set: equal items count once; it is read in blocks of bounded size, each against all documents; documents are never shuffled.  Where there are
+several blocks, each one's results are written before the next index is built.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, mix, to_batch, word_hashes, words_of
+from .common import arrow_schema, mix, stage, to_batch, unstage, word_hashes, words_of
 
 BLOCK_ITEMS = 20_000  # items of one pass
+BLOCK_BYTES = 32 << 20  # and their text
 RUN_BYTES = 600_000  # text embedded at once: its arrays stay in the processor's cache
 PLACES = 4  # sampled places of a key
 WIDEST = 64  # words of a window: the sampled places of a wider one seldom all escape the edits
@@ -234,13 +236,18 @@ class BenchmarkIndex:
         return [(d, k, at, distance) for (d, k), (distance, at) in sorted(out.items())]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, size: int):
-    """The benchmark in blocks of about ``size`` items, each read by the driver when its turn comes."""
-    slim = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("x"))
-    n = max(1, -(-slim.count() // size))
-    for b in range(n):
+def blocks_of(benchmark: DataFrame, item: str | None, text: str, size: int):
+    """(number of blocks, the blocks one after the other): distinct items, about ``size`` and BLOCK_BYTES a block, each read by the driver when its turn comes."""
+    own = F.col(f"`{item}`") if item else F.lit(None).cast("string")
+    slim = benchmark.select(own.alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("x")).distinct()
+    found = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("x")).alias("b")).first()
+    n = max(1, -(-found.n // size), -(-(found.b or 0) // BLOCK_BYTES))
+
+    def block(b):
         part = slim if n == 1 else slim.filter(F.pmod(F.xxhash64("i", "x"), F.lit(n)) == b)
-        yield [(r.i, (r.x or "").encode()) for r in part.collect()]
+        return [(r.i, r.x.encode()) for r in sorted(part.collect(), key=lambda r: (r.i is not None, r.i if r.i is not None else 0, r.x))]
+
+    return n, (block(b) for b in range(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.95, least_words: int = 8) -> DataFrame:
@@ -250,7 +257,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     schema = arrow_schema(slim, ddl)
     out = None
-    for items in blocks_of(benchmark, item, item_text, BLOCK_ITEMS):
+    n_blocks, blocks = blocks_of(benchmark, item, item_text, BLOCK_ITEMS)
+    for items in blocks:
         index = BenchmarkIndex(items, similarity, recall, least_words)
 
         def run(batches, index=index):
@@ -262,6 +270,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                         yield to_batch(rows, schema)
 
         part = slim.mapInArrow(run, ddl)
+        if n_blocks > 1:
+            part = stage(part, "contaminated")  # done with this block's index before the next one is built
         out = part if out is None else out.union(part)
     return out
 
@@ -270,7 +280,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     out = docs
     at = docs.columns.index(text)
-    for items in blocks_of(benchmark, item, item_text, BLOCK_ITEMS):
+    n_blocks, blocks = blocks_of(benchmark, None, item_text, BLOCK_ITEMS)
+    for items in blocks:
         index = BenchmarkIndex(items, similarity, recall, least_words)
 
         def run(batches, index=index):
@@ -281,5 +292,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                         keep[words.rows[d]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        before, out = out, out.mapInArrow(run, docs.schema)
+        if n_blocks > 1:
+            out = stage(out, "decontaminated")
+            if before is not docs:
+                unstage(before)
     return out
