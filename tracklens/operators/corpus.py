@@ -293,6 +293,7 @@ def jacks(notes: DataFrame, limit: float = 0.12, hot=None) -> DataFrame:
     return p.groupBy("item").agg(F.count(F.when(F.round(F.col("t") - F.col("_pt"), 9) < limit, 1)).alias("jack_count"))
 
 
+# fixed values: the 26 statistics of a chart, in report order
 STATS = ["total_notes", "ln_ratio", "duration_sec", "measures", "initial_bpm", "min_bpm", "max_bpm", "bpm_change_count", "stop_count", "stop_total_sec",
          "lane0_scratch", "lane1", "lane2", "lane3", "lane4", "lane5", "lane6", "lane7", "scratch_ratio", "avg_nps", "peak_nps_1s", "peak_measure_nps", "chord_count", "chord2_count", "chord3plus_count", "jack_count"]
 
