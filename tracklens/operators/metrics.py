@@ -19,6 +19,7 @@ def error_aggs() -> list[Column]:
 
 
 def basic(pr: DataFrame) -> DataFrame:
+    pr = cut(pr.select("y", "pred"))
     med = ranks.quantiles(pr.select(F.abs(F.col("pred") - F.col("y")).alias("ae")), [], "ae", {"medae": 0.5})
     return pr.agg(*error_aggs()).withColumn("medae", med.scalar())
 
@@ -61,7 +62,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def edge_bins(df: DataFrame, value: str, n: int, right_closed: bool) -> DataFrame:
     """Bin index from the n-quantile edges of ``value`` (edges: one small row)."""
-    probs = {f"e{i}": i / n for i in range(1, n)}
+    df, probs = cut(df), {f"e{i}": i / n for i in range(1, n)}
     edges = ranks.quantiles(df, [], value, probs)
     out = df.withColumn("_edges", edges.select(F.struct(*probs)).scalar())
     v = F.col(value)
