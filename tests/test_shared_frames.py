@@ -9,3 +9,8 @@ SF = "/root/testdata/sf0.001"
 def test_predictions_do_not_read_the_log_again(spark):
     load_all()
     assert not [f for f in metrics.pr(spark, SF).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_control_rows_do_not_read_the_log_again(spark):
+    load_all()
+    assert not [f for d in metrics.control_rows(spark, SF) for f in d.inputFiles() if "lineitem" in f or "orders" in f]

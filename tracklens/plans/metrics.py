@@ -263,7 +263,7 @@ CTL = f"""{S.SAMPLES}, s AS (SELECT player, item, acc, CAST(bp AS DOUBLE) AS x,
 
 
 def control_rows(spark, sf):
-    s = t.first_plays(spark, sf).select(*KEY, "acc", F.col("bp").cast("double").alias("x"), (draw_hex("ctl", F.col("player"), F.col("item")) < "4ccccccc").alias("is_test"))
+    s = cut(t.first_plays(spark, sf).select(*KEY, "acc", F.col("bp").cast("double").alias("x"), (draw_hex("ctl", F.col("player"), F.col("item")) < "4ccccccc").alias("is_test")))
     return s.filter("not is_test").drop("is_test"), s.filter("is_test").drop("is_test")
 
 
