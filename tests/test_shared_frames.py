@@ -1,7 +1,7 @@
 """Frames that a query reads several times: the log is joined and ranked once."""
 
 from tracklens.plans import load_all
-from tracklens.plans import metrics
+from tracklens.plans import metrics, models
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +14,9 @@ def test_predictions_do_not_read_the_log_again(spark):
 def test_control_rows_do_not_read_the_log_again(spark):
     load_all()
     assert not [f for d in metrics.control_rows(spark, SF) for f in d.inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_both_parts_of_the_matrix_are_one_table(spark):
+    load_all()
+    train, test = models.matrix(spark, SF)
+    assert set(train.inputFiles()) == set(test.inputFiles())

@@ -25,8 +25,9 @@ ITERS = 12  # boosting rounds in the registered queries
 
 
 def matrix(spark, sf):
-    s = splits.random_mask(t.best_rows(spark, sf), 0, 0.2).join(t.items(spark, sf).select("item", "x1", "x2", "notes"), "item")
-    return cut(s.filter("not is_test").drop("is_test")), cut(s.filter("is_test").drop("is_test"))
+    """(train, test) of the best results with the item axes; the log is joined and ranked once for both."""
+    s = cut(splits.random_mask(t.best_rows(spark, sf).select(*KEY, "acc"), 0, 0.2).join(t.items(spark, sf).select("item", *CONTENT), "item"))
+    return s.filter("not is_test").drop("is_test"), s.filter("is_test").drop("is_test")
 
 
 def history_samples(spark, sf):
