@@ -1,7 +1,7 @@
 """Frames that a query reads several times: the log is joined and ranked once."""
 
 from tracklens.plans import load_all
-from tracklens.plans import metrics, models
+from tracklens.plans import metrics, models, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +20,8 @@ def test_both_parts_of_the_matrix_are_one_table(spark):
     load_all()
     train, test = models.matrix(spark, SF)
     assert set(train.inputFiles()) == set(test.inputFiles())
+
+
+def test_future_rows_do_not_read_the_log_again(spark):
+    load_all()
+    assert not [f for f in scoring.future_features(spark, SF).inputFiles() if "lineitem" in f or "orders" in f]
