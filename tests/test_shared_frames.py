@@ -2,6 +2,7 @@
 
 from tracklens.plans import load_all
 from tracklens.plans import metrics, models, scoring
+from tracklens.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +23,13 @@ def test_both_parts_of_the_matrix_are_one_table(spark):
     assert set(train.inputFiles()) == set(test.inputFiles())
 
 
+def test_notes_keep_their_number_of_parts(spark, monkeypatch):
+    load_all()
+    monkeypatch.setattr(tables, "NOTES_A_TASK", 100)  # 1,000 rows
+    assert "REPARTITION_BY_NUM" in tables.notes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert tables.notes(spark, SF).rdd.getNumPartitions() == 10
+
+
 def test_future_rows_do_not_read_the_log_again(spark):
     load_all()
     assert not [f for f in scoring.future_features(spark, SF).inputFiles() if "lineitem" in f or "orders" in f]
