@@ -159,3 +159,11 @@ def test_trace_stops_early_and_grid_takes_the_smallest_error(spark):
     for steps in by.values():  # ends at the first step that brings nothing
         assert all(b[1] < a[1] for a, b in zip(steps[:-1], steps[1:-1])) and (len(steps) == 4 or steps[-1][1] >= steps[-2][1])
     assert M.best_point(trace)[1] == 0.05 and M.best_point(trace)[3] == min(e for *_, e in trace)
+
+
+def test_factors_read_written_frames(spark, monkeypatch):
+    seen, plain = [], M.baselines.predict
+    monkeypatch.setattr(M.baselines, "predict", lambda train, rows, *a, **k: seen.append((train, rows)) or plain(train, rows, *a, **k))
+    rows = spark.createDataFrame([(p, i, float(50 + p + i)) for p in range(4) for i in range(5)], "player long, item long, acc double")
+    M.Factors(rows.filter("player <> item"), rows.filter("player = item"))
+    assert len(seen) == 2 and all("/cut-" in f for pair in seen for d in pair for f in d.inputFiles()) and all(d.inputFiles() for pair in seen for d in pair)
