@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw_hex, r
-from ..operators import causal, metrics as E, models as M, splits
+from ..operators import boost, causal, metrics as E, models as M, splits
 from ..session import cut
 from ..sources import tables as t
 from . import sqlparts as S
@@ -123,10 +123,12 @@ def mdl_gbt(spark, sf):
 
 
 def heads(tr, te, feats, iters=ITERS):
-    """acc, ordinal lamp and log1p(bp) heads."""
-    a = M.fit_predict(tr, te, feats, "acc", M.gbt(iters), out="p_acc")
-    b = M.fit_predict(tr, a, feats, "lamp", M.gbt(iters), out="p_lamp")
-    return M.fit_predict(tr, b, feats, "bp", M.gbt(iters), out="p_bp", transform=(F.log1p, lambda c: F.expm1(M.clip(c, 0.0, 12.0))))
+    """acc, ordinal lamp and log1p(bp) heads, grown side by side."""
+    labels = {"_y_acc": F.col("acc").cast("double"), "_y_lamp": F.col("lamp").cast("double"), "_y_bp": F.log1p(F.col("bp").cast("double"))}
+    own = [boost.Model(0, j, list(range(len(feats)))) for j in range(len(labels))]
+    edge = boost.fit(tr.withColumns(labels), feats, list(labels), own, iters)
+    p = te.withColumn("_p", boost.predictions(feats, own, edge))
+    return p.select(*te.columns, F.col("_p.p0").alias("p_acc"), F.col("_p.p1").alias("p_lamp"), F.expm1(M.clip(F.col("_p.p2"), 0.0, 12.0)).alias("p_bp"))
 
 
 @query("mdl_three_heads")
