@@ -203,18 +203,30 @@ def _single_sql():
 @query("agg_single_feature", _single_sql())
 def agg_single_feature(spark, sf):
     smp = t.samples(spark, sf)
-    stats = smp.select("acc", "lamp", *FEATS)
-    lf = audit.long_form(stats.withColumnRenamed("acc", "y"), ["y", "lamp"], FEATS, "feature", "v")
-    st = lf.groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    base = lf.join(st, "feature").groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), r(ranks.pearson("v", "y"), 4).alias("r"), r(F.first("m"), 4).alias("mean"),
-        r(F.avg((F.col("v") == 0).cast("int")), 4).alias("zero_share"), F.count(F.when(F.abs(F.col("v") - F.col("m")) / F.col("s") > 1.7, 1)).alias("outliers"))
-    rho = ranks.spearman(lf, ["feature"], "v", "y", AUTO).select("feature", r("rho", 4).alias("rho"))
-    med = ranks.quantiles(lf, ["feature"], "v", {"median": 0.5}, AUTO).select("feature", r("median", 4).alias("median"))
-    lm = lf.groupBy("feature", "lamp").agg(F.avg("v").alias("m"))  # one row per (feature, lamp)
+    lf = audit.long_form(smp.select(F.col("acc").alias("y"), "lamp", *FEATS), ["y", "lamp"], FEATS, "feature", "v")
+    # everything follows from the counts of equal rows, so no key of four values deals the rows
+    cells = cut(lf.groupBy("feature", "v", "y", "lamp").agg(F.count(F.lit(1)).alias("n")))
+    n, v, y = F.col("n"), F.col("v"), F.col("y")
+    known = F.when(v.isNotNull(), n)
+    st = cells.groupBy("feature").agg((F.sum(n * v) / F.sum(known)).alias("m"), (F.sum(n * y) / F.sum(n)).alias("my"))
+    d, e = v - F.col("m"), y - F.col("my")
+    both = F.when(v.isNotNull() & y.isNotNull(), n)
+    mid = cells.join(F.broadcast(st), "feature")  # a row a feature
+    s = mid.groupBy("feature").agg(
+        F.sum(n).alias("n"), F.first("m").alias("m"), F.sum(known).alias("k"), F.sum(known * (v == 0).cast("int")).alias("zero"), F.sum(known * d * d).alias("dd"),
+        F.sum(both).alias("b"), F.sum(both * d).alias("bd"), F.sum(both * e).alias("be"), F.sum(both * d * d).alias("bdd"), F.sum(both * e * e).alias("bee"), F.sum(both * d * e).alias("bde"))
+    vd, ve = F.col("bdd") - F.col("bd") * F.col("bd") / F.col("b"), F.col("bee") - F.col("be") * F.col("be") / F.col("b")
+    sd = s.select("feature", F.sqrt(F.col("dd") / F.col("k")).alias("s"))
+    far = F.when(F.abs(d) / F.nullif(F.col("s"), F.lit(0.0)) > 1.7, n).otherwise(0)
+    outliers = mid.join(F.broadcast(sd), "feature").groupBy("feature").agg(F.sum(far).alias("outliers"))
+    pearson = F.when((vd > 0) & (ve > 0), (F.col("bde") - F.col("bd") * F.col("be") / F.col("b")) / F.sqrt(vd * ve))
+    base = s.select("feature", "n", r(pearson, 4).alias("r"), r("m", 4).alias("mean"), r(F.col("zero") / F.col("k"), 4).alias("zero_share"))
+    rho = ranks.spearman_of_counts(cells.filter("v is not null and y is not null").groupBy("feature", "v", "y").agg(F.sum("n").alias("_n")), ["feature"], "v", "y", AUTO).select("feature", r("rho", 4).alias("rho"))
+    med = ranks.quantiles_of_counts(cells.filter("v is not null").groupBy("feature", "v").agg(F.sum("n").alias("_n")), ["feature"], "v", {"median": 0.5}, AUTO).select("feature", r("median", 4).alias("median"))
+    lm = cells.groupBy("feature", "lamp").agg((F.sum(n * v) / F.sum(known)).alias("m"))  # one row per (feature, lamp)
     prev = F.lag("m").over(W.partitionBy("feature").orderBy("lamp"))
     mono = lm.withColumn("p", prev).filter("p is not null").groupBy("feature").agg((F.bool_and(F.col("m") >= F.col("p")) | F.bool_and(F.col("m") <= F.col("p"))).alias("monotone"))
-    return base.join(rho, "feature").join(med, "feature").join(mono, "feature")
+    return base.join(outliers, "feature").join(rho, "feature").join(med, "feature").join(mono, "feature")
 
 
 @query("top_abs_rho", f"""WITH {S.SAMPLES}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, acc AS y FROM smp" for f in ('x1', 'x2', 'lamp', 'bp', 'notes'))}),
