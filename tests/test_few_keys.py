@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracklens.operators import ranks
+from tracklens.operators import models as M, ranks
 
 
 def test_totals_of_few_keys_are_broadcast(spark):
@@ -15,3 +15,9 @@ def test_totals_of_few_keys_are_broadcast(spark):
             assert sorted(auto.collect()) == sorted(plain.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_parts_of_a_fit_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIT_ROWS", 10)
+    out = M.spread(spark.range(200))
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 200
