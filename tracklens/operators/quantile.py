@@ -1,64 +1,34 @@
-"""Quantile heads: stage-wise boosting with the pinball loss on Spark ML trees.
+"""Quantile heads: stage-wise boosting with the pinball loss.
 
 Every head starts at the quantile of the labels.  A round fits a small tree to the sign of the residuals (the gradient of the pinball
-loss), replaces the leaves' means by the exact quantile of the residuals in the leaf, and adds a share of it.  The rows with their
-predictions are written once a round, so a round reads one table and no plan grows with the number of rounds; the driver holds the
-trees and one number a leaf.
+loss), replaces the leaves' means by the exact quantile of the residuals in the leaf, and adds a share of it.  All heads grow side by side
+(``boost``): a level of their trees is one pass over blocks of bins, the leaves of all heads share a few more; the driver holds the trees.
 
 Gaps in the features get the median of the rows of the fit; rows without a label are left out of it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from . import ranks
-from .models import _double, _features
+from . import boost
 
 
 def pinball(y: Column, p: Column, q: float) -> Column:
     return F.greatest(q * (y - p), (q - 1) * (y - p))
 
 
-def _added(steps: dict[float, float]) -> Column:
-    out = F.lit(0.0)
-    for leaf, v in steps.items():
-        out = F.when(F.col("_leaf") == leaf, v).otherwise(out)
-    return out
-
-
 class Heads:
-    """One boosted model for each quantile of ``qs``."""
+    """One boosted model for each quantile of ``qs``.  ``train`` is read three times."""
 
     def __init__(self, train: DataFrame, feats: list[str], label: str, qs: list[float], rounds: int = 12, step: float = 0.3, depth: int = 3):
-        self.feats, self.qs, self.trees = feats, qs, [[] for _ in qs]
-        known = _double(train, feats).withColumn("_y", F.col(label).cast("double")).filter("_y is not null")
-        self.prepared = Pipeline(stages=_features(feats, impute=True)).fit(known)
-        rows = cut(self.prepared.transform(known).select("features", "_y"))
-        first = ranks.quantiles(rows, [], "_y", {f"q{k}": q for k, q in enumerate(qs)}).first()
-        self.start = [first[f"q{k}"] for k in range(len(qs))]
-        now = rows.select("*", *[F.lit(v).alias(f"_p{k}") for k, v in enumerate(self.start)])
-        for _ in range(rounds):
-            for k, q in enumerate(qs):
-                sign = F.when(F.col("_y") >= F.col(f"_p{k}"), q).otherwise(q - 1)
-                tree = DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=20, labelCol="_g", leafCol="_leaf", predictionCol="_t", seed=0).fit(now.select("features", sign.alias("_g")))
-                placed = tree.transform(now).drop("_t")
-                left = placed.select("_leaf", (F.col("_y") - F.col(f"_p{k}")).alias("_r"))
-                steps = {x["_leaf"]: step * x["v"] for x in ranks.quantiles(left, ["_leaf"], "_r", {"v": q}).collect()}  # a row a leaf
-                self.trees[k].append((tree, steps))
-                now = placed.withColumn(f"_p{k}", F.col(f"_p{k}") + _added(steps)).drop("_leaf")
-            now = cut(now)
+        self.feats, self.qs = feats, qs
+        self.models = [boost.Model(0, 0, list(range(len(feats))), step, depth, min_rows=20, q=q) for q in qs]
+        self.edge = boost.fit(train.filter(F.col(label).isNotNull()), feats, [label], self.models, rounds)
+        self.start = [m.start for m in self.models]
 
     def predict(self, df: DataFrame, names: list[str]) -> DataFrame:
         """``df`` with one column for each quantile."""
-        out = self.prepared.transform(df.select("*", *[F.col(c).alias(f"_own_{c}") for c in self.feats]).withColumns({c: F.col(c).cast("double") for c in self.feats}))
-        for k, name in enumerate(names):
-            total = out.withColumn(f"_p{k}", F.lit(self.start[k]))
-            for tree, steps in self.trees[k]:
-                total = tree.transform(total).withColumn(f"_p{k}", F.col(f"_p{k}") + _added(steps)).drop("_t", "_leaf")
-            out = total
-        return out.select(*[F.col(f"_own_{c}").alias(c) if c in self.feats else F.col(c) for c in df.columns], *[F.col(f"_p{k}").alias(name) for k, name in enumerate(names)])
+        out = df.withColumn("_p", boost.predictions(self.feats, self.models, self.edge))
+        return out.select(*df.columns, *[F.col(f"_p.p{k}").alias(name) for k, name in enumerate(names)])
