@@ -7,9 +7,10 @@ than the constant band there.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.columns import r
-from ..operators import causal, metrics as M, quantile, skew
+from ..operators import causal, metrics as M, quantile
 from ..session import cut
 from ..sources import tables as t
 from . import sqlparts as S
@@ -25,25 +26,36 @@ BANDS = f"""{S.SAMPLES}, ct AS (SELECT player, quantile_cont(ts, 0.5) AS t1, qua
  tr AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY ts, seq, item) <= greatest(1, floor(0.8 * count(*) OVER (PARTITION BY player))) AS is_fit FROM ph WHERE NOT is_test)"""
 
 
+def dealt(h, hot):
+    """Train and test rows of the history, written once; ``is_fit``: one of the first four fifths of the player's train rows (at least one).
+
+    The train rows follow one another in the player's history, so a row's place among them is its place there less the rows before them."""
+    n = {"_before": F.count(F.when((F.col("phase") == "history") | F.col("ts").isNull(), 1)), "_n": F.count(F.when(F.col("phase") == "train", 1))}
+    if hot is None:
+        h = h.withColumns({k: c.over(W.partitionBy("player")) for k, c in n.items()})
+    else:
+        h = cut(h)
+        h = h.join(h.groupBy("player").agg(*[c.alias(k) for k, c in n.items()]), "player")
+    fit = F.col("h_n_firstplays") - F.col("_before") < F.greatest(F.lit(1), F.floor(F.lit(0.8) * F.col("_n")))
+    return cut(h.filter("phase <> 'history'").withColumn("is_fit", fit).drop("_before", "_n", "ts"))
+
+
 def judged(spark, sf):
     """(calibration rows, test rows) with the band lo, hi; and the heads."""
     fp, hot = t.samples(spark, sf), t.hot(spark, sf, "player")
-    h = cut(causal.phase(causal.history(fp, t.FP_ORDER, hot), hot).select(*KEY, "ts", "seq", (F.col("bp") / F.col("notes")).alias("ratio"), "phase", *CORE))
-    train, test = h.filter("phase = 'train'"), h.filter("phase = 'test'")
-    n = train.groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = skew.prefix(train, ["player"], t.FP_ORDER, {"_rk": ("rank",)}, hot).join(n, "player")
-    ranked = cut(ranked.withColumn("is_fit", F.col("_rk") <= F.greatest(F.lit(1), F.floor(F.lit(0.8) * F.col("_n")))).drop("_rk", "_n"))
-    fit = ranked.filter("is_fit")
-    heads = quantile.Heads(fit, CORE, "ratio", QS)
-    put = lambda d: cut(heads.predict(d.withColumn("y", F.col("ratio").cast("double")), ["lo", "hi"]).select(*KEY, "y", "lo", "hi"))
-    return fit, put(ranked.filter("not is_fit")), put(test), heads
+    h = causal.phase(causal.history(fp, t.FP_ORDER, hot), hot).select(*KEY, "ts", (F.col("bp") / F.col("notes")).alias("ratio"), "phase", *CORE)
+    rows = dealt(h, hot)
+    train, test = rows.filter("phase = 'train'"), rows.filter("phase = 'test'")
+    heads = quantile.Heads(train.filter("is_fit"), CORE, "ratio", QS)
+    put = lambda d: heads.predict(d.withColumn("y", F.col("ratio").cast("double")), ["lo", "hi"]).select(*KEY, "y", "lo", "hi")
+    return put(train.filter("not is_fit")), put(test), heads
 
 
 @query("mdl_quantile_band", f"""WITH {BANDS}, h AS (SELECT unnest([0.1, 0.9])::DOUBLE AS q), c AS (SELECT q, CASE q WHEN 0.1::DOUBLE THEN quantile_cont(ratio, 0.1) ELSE quantile_cont(ratio, 0.9) END AS v FROM tr, h WHERE is_fit GROUP BY q)
  SELECT q, count(*) AS n, round(avg(greatest(q * (ratio - v), (q - 1) * (ratio - v))), 4) AS pinball_constant, TRUE AS heads_are_better FROM te, c GROUP BY q""")
 def mdl_quantile_band(spark, sf):
     """Pinball loss of the constant band on the test rows, and whether the boosted heads' loss is lower."""
-    _, _, test, heads = judged(spark, sf)
+    _, test, heads = judged(spark, sf)
     y, rows = F.col("y"), []
     aggs = [F.count("y").alias("n")]
     for k, (q, name) in enumerate(zip(QS, ("lo", "hi"))):
@@ -55,7 +67,8 @@ def mdl_quantile_band(spark, sf):
 @query("evl_conformal", f"""WITH {BANDS} SELECT (SELECT count(*) FROM tr WHERE NOT is_fit) AS n_cal, (SELECT count(*) FROM te) AS n_test, 0.8::DOUBLE AS nominal, TRUE AS within_2_points""")
 def evl_conformal(spark, sf):
     """The heads' band, widened by the calibration rows' quantile: whether its coverage of the test rows is within 2 points of nominal."""
-    _, cal, test, _ = judged(spark, sf)
+    cal, test, _ = judged(spark, sf)
+    cal, test = cut(cal), cut(test)  # each is read twice or more
     c = M.conformal(cal, test, level=LEVEL).select("coverage")
     counts = cal.agg(F.count(F.lit(1)).alias("n_cal")).crossJoin(test.agg(F.count(F.lit(1)).alias("n_test"))).crossJoin(c)  # one row each
     return counts.select("n_cal", "n_test", F.lit(LEVEL).alias("nominal"), (F.abs(F.col("coverage") - LEVEL) <= 0.02).alias("within_2_points"))
