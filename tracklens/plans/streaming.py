@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.columns import epoch_seconds
 from ..sources import sinks
 from ..sources import tables as t
 from ..streaming import first_play as fs
@@ -26,15 +26,16 @@ def stm_first_play(spark, sf):
     """The log arrives in time order, slice after slice; each is drained from where the last one ended.  First plays are kept in
     event-time state and counted in streaming weekly windows."""
     src, out, ck = (sinks.scratch(spark, n) for n in ("log", "weeks", "commit"))
-    log = cut(timed_log(spark, sf))
-    last = log.agg(F.min("ts"), F.max("ts")).first()
-    for i in range(SLICES if last[0] is not None else 0):
-        lo, hi = (last[0] + (last[1] + 1 - last[0]) * k // SLICES for k in (i, i + 1))
-        log.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(src)
-        stream = fs.log_stream(spark, src, 1_000_000)
-        fs.run_windows(fs.weekly_windows(fs.first_plays_in_order(stream, KEEP)), out, ck)
-    if last[0] is None:
+    lo, hi = t.table(spark, sf, "orders", "o_orderdate").select(epoch_seconds("o_orderdate").alias("ts")).agg(F.min("ts"), F.max("ts")).first()
+    ends = [] if lo is None else [lo + (hi + 1 - lo) * k // SLICES for k in range(1, SLICES)]
+    sliced = sum(((F.col("ts") >= e).cast("int") for e in ends), F.lit(0)).alias("slice")
+    timed_log(spark, sf).filter("ts is not null").select("*", sliced).write.partitionBy("slice").parquet(src)
+    if spark.read.schema(fs.SCHEMA).parquet(src).isEmpty():
         return spark.createDataFrame([], "week string, n long")
+    for i in range(SLICES):
+        stream = fs.log_stream(spark, f"{src}/slice=[0-{i}]", 1_000_000)  # slice i has arrived
+        with fs.settings(spark, fs.ON_DISK | fs.NO_EMPTY_BATCHES):
+            fs.run_windows(fs.weekly_windows(fs.first_plays_in_order(stream, KEEP)), out, ck)
     return fs.latest_windows(spark, out).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n")
 
 
