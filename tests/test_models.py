@@ -167,3 +167,20 @@ def test_factors_read_written_frames(spark, monkeypatch):
     rows = spark.createDataFrame([(p, i, float(50 + p + i)) for p in range(4) for i in range(5)], "player long, item long, acc double")
     M.Factors(rows.filter("player <> item"), rows.filter("player = item"))
     assert len(seen) == 2 and all("/cut-" in f for pair in seen for d in pair for f in d.inputFiles()) and all(d.inputFiles() for pair in seen for d in pair)
+
+
+def test_fits_leave_nothing_behind(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(M, "LARGE", 0)
+    rows = spark.createDataFrame([(p, i, float(50 + p + i)) for p in range(6) for i in range(7)], "player long, item long, acc double")
+    train, test = rows.filter("player <> item"), rows.filter("player = item")
+    f = M.Factors(train, test)
+    kept = [f.residuals._cut, f.rows._cut]
+    where = os.path.dirname(kept[0])
+    before = {x for x in os.listdir(where) if x.startswith("cut-")}
+    assert f.predict(rank=2, iters=2).count() == 6
+    f.close()
+    assert not any(os.path.exists(x) for x in kept)
+    M.als_select(train, rows.filter("item = player + 1").select("player", "item"), [2], [0.3], [1, 2])
+    assert {x for x in os.listdir(where) if x.startswith("cut-")} <= before
